@@ -15,8 +15,9 @@ A document is the set of its distinct word shingles. Two documents link when
    Other classes emit every piece, empty ones included. The list of frequent shingles is
    bounded and steers cost only; results do not depend on it.
 4. Within a piece's group, neighbours and the first member are verified on whole sets, and
-   verified links give components. Then every pair of a group whose members still lie in
-   different components is verified as well, so that all links count.
+   verified links give components. Members of groups that still span components then meet
+   in blocks: a dense sketch of each set gives a Hamming distance that cannot exceed the
+   symmetric difference, and pairs of different components within the bound are verified.
 """
 
 from __future__ import annotations
@@ -33,7 +34,11 @@ from .components import components
 from .scratch import cut, partitions
 
 #: Most frequent shingles that may be told apart; only cost depends on it.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
+#: Shingles counted at once in a worker's search for frequent ones (8 bytes each).
+WINDOW = 3_000_000
+#: Members of a block of an open group; pairs of blocks are compared by sketches.
+BLOCK = 2048
 #: Candidate classes up to this number are broadcast to fetch their texts (16 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -73,32 +78,37 @@ def _class_id(found: np.ndarray) -> int:
 
 
 def _profile(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per document its set size and class; per chunk the shingles of at least four documents."""
+    """Per document its set size and class; per window of classes the shingles of at least four."""
+    names = ["doc_id", "mark", "n", "cls", "often"]
+
+    def counted(tokens: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
+        edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        count = np.diff(np.append(edge, len(flat)))
+        keep = count >= 4
+        none = pa.nulls(int(keep.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(count[keep], pa.int64()), none, pa.array(flat[edge[keep]].view(np.int64))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, size, done = [], 0, set()
         for batch in batches:
             ids, marks = batch.column(0), batch.column(2)
             for row, data, offsets in bw.chunks(batch.column(1)):
                 sets = shingle_sets(data, offsets, k)
-                n = len(sets)
+                n, classes = len(sets), [_class_id(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(row, n), marks.slice(row, n),
-                        pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_id(s) if len(s) else None for s in sets], pa.int64()),
-                        pa.nulls(n, pa.int64()),
-                    ],
-                    names=["doc_id", "mark", "n", "cls", "often"],
+                    [ids.slice(row, n), marks.slice(row, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int64())],
+                    names=names,
                 )
-                flat = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-                edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
-                count = np.diff(np.append(edge, len(flat)))
-                keep = count >= 4
-                m = int(keep.sum())
-                if m:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(count[keep]), pa.nulls(m, pa.int64()), pa.array(flat[edge[keep]].view(np.int64))],
-                        names=["doc_id", "mark", "n", "cls", "often"],
-                    )
+                for cls, found in zip(classes, sets, strict=True):
+                    if cls is not None and cls not in done:
+                        done.add(cls)
+                        tokens.append(found)
+                        size += len(found)
+                if size > WINDOW:
+                    yield counted(tokens)
+                    tokens, size, done = [], 0, set()
+        yield counted(tokens)
 
     return run
 
@@ -193,8 +203,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(*(np.array([x]) for x in held[:4]), np.array([held[4]]), np.array([False]))
 
 
+def parity_sketch(found: np.ndarray) -> np.ndarray:
+    """Bits (as bytes) flipped once by each shingle; eight bits a shingle, a power of two."""
+    bits = 64
+    while bits < 8 * len(found):
+        bits *= 2
+    odd = np.bincount((bw.mix(found ^ np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set with fewer bits: the positions are taken modulo ``size``."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
+
+
 def _sets(k: int):
-    """(class, set) of each text, once per task."""
+    """(class, set, size, sketch) of each text, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -204,9 +228,42 @@ def _sets(k: int):
                 for found in shingle_sets(data, offsets, k):
                     if len(found) and (cls := _class_id(found)) not in done:
                         done.add(cls)
-                        rows.append((cls, found.tobytes()))
+                        rows.append((cls, found.tobytes(), len(found), parity_sketch(found).tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cls", "found"])
+                    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["cls", "found", "n", "sketch"])
+
+    return run
+
+
+def _tile(num: int, den: int):
+    """Pairs of one tile whose sketches do not rule out a link; within components none."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, label, side, n = (table.column(c).to_numpy() for c in ("cls", "label", "side", "n"))
+        raw = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in table.column("sketch").combine_chunks()]
+        length = np.array([len(x) for x in raw])
+        levels = {}  # rows and folded sketches by sketch length; linked sizes differ by one doubling at most
+        for size in np.unique(length):
+            rows = np.flatnonzero((length == size) | (length == 2 * size))
+            levels[size] = rows, np.stack([_fold(raw[r], size) for r in rows])
+        left = np.flatnonzero(side != 1)  # 0: first block, 1: second block, 2: both at once
+        right = np.flatnonzero(side != 0)
+        out = []
+        for i in left:
+            bound = (den - num) * (n[right] + n[i]) // (den + num)
+            meet = right > i if side[i] == 2 else np.ones(len(right), dtype=bool)
+            may = right[meet & (np.abs(n[right] - n[i]) <= bound) & (label[right] != label[i])]
+            for size in (length[i], length[i] // 2):
+                near = may[np.minimum(length[may], length[i]) == size]
+                if len(near):
+                    rows, bits = levels[size]
+                    own, others = bits[np.searchsorted(rows, i)], bits[np.searchsorted(rows, near)]
+                    apart = np.bitwise_count(others ^ own).sum(axis=1, dtype=np.int64)
+                    near = near[apart <= (den - num) * (n[near] + n[i]) // (den + num)]
+                    out.append((np.minimum(cls[i], cls[near]), np.maximum(cls[i], cls[near])))
+        a, b = (np.concatenate([x[j] for x in out]) if out else np.zeros(0, np.int64) for j in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -229,6 +286,24 @@ def _verify(num: int, den: int):
     return run
 
 
+def open_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """(a, b) of different components within a home, by tiles of two blocks of its members.
+
+    A home of one block is one tile; a larger one has a tile for each pair of blocks, so that
+    no task holds more than two blocks, however large the home.
+    """
+    counts = members.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
+    dealt = members.join(counts, "home").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("cls", "home"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = dealt.select(
+        "home", "cls", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
+    tiles = tiles.join(sets.select("cls", "n", "sketch"), "cls").select("home", "i", "j", "cls", "label", "side", "n", "sketch")
+    return tiles.groupBy("home", "i", "j").applyInArrow(_tile(num, den), "a long, b long")
+
+
 def jaccard_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100)
 ) -> DataFrame:
@@ -262,7 +337,7 @@ def jaccard_components(
     heads = cut(heads.select(F.col("m.doc_id").alias("doc_id"), F.col("m.mark").alias("mark")).distinct(), "heads")
     wanted = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads
     texts = base.join(wanted, base["doc_id"].eqNullSafe(heads["doc_id"]) & (base["mark"] == heads["mark"]), "left_semi")
-    sets = cut(texts.select("text").mapInArrow(_sets(shingle), "cls long, found binary"), "sets")
+    sets = cut(texts.select("text").mapInArrow(_sets(shingle), "cls long, found binary, n long, sketch binary"), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
         left = candidates.join(sets.select(F.col("cls").alias("a"), F.col("found").alias("left")), "a")
@@ -271,13 +346,12 @@ def jaccard_components(
 
     links = verified(pairs)
     labels = components(links)
-    # Groups that still span components: all of their pairs, but those within a component.
+    # Groups that still span components: their members meet in blocks, and pairs of different
+    # components that the sketches cannot rule out are verified too.
     members = groups.select("key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
-    open_keys = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
-    members = cut(members.join(open_keys.select("key"), "key", "left_semi"), "open")
-    left, right = (members.select("key", F.col("cls").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab")
-    more = left.join(right, "key").where("a < b and a_label <> b_label").select("a", "b").distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    open_keys = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
+    members = cut(members.join(open_keys.select("key", "lo"), "key").select(F.col("lo").alias("home"), "cls", "label").distinct(), "open")
+    more = cut(open_pairs(members, sets, num, den).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     extra = verified(more)
     if extra.limit(1).count():
         labels = components(links.union(extra))

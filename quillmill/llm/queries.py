@@ -3,17 +3,87 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
+from . import decontam, jaccard, langid, licenses, neighbours, packing, quality, shards, substrings, toxicity
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_language(_table(spark, sf_dir, "documents"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched_words", "item_words")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digest(_table(spark, sf_dir, "documents"), depth=50)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), shingle=5, threshold=(80, 100))
 
 
-QUERIES = {f.__name__: f for f in (op9_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_best_fit_packing, op3_language, op4_licenses, op5_shards,
+        op6_neighbours, op7_decontamination, op8_substring_dedup, op9_jaccard_join, op10_toxicity,
+    )
+}
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+
+#: Repeats of fifty words are exact text conditions, so SQL can state them; likewise the
+#: nearest neighbours, whose recall is measured in tests, have none.
+ORACLES: dict[str, str] = {
+    "op8_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        win AS (SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS s
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+        least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+        hit AS (SELECT doc_id, p FROM win JOIN least USING (s) WHERE m < doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM hit),
+        lost AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+               sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN lost USING (doc_id)""",
+}
