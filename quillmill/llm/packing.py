@@ -12,6 +12,7 @@ their rank among pieces of equal length, in parallel.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +25,9 @@ from . import bytewords as bw
 from .ranks import with_rank
 from .scratch import cut
 
-#: Words whose ids a worker remembers; beyond it starts anew. It never changes results.
-REMEMBERED = 1_000_000
+#: Parts whose ids a worker remembers (some 40 bytes each); beyond it starts anew. It never
+#: changes results.
+REMEMBERED = 2_000_000
 
 
 class RoomTree:
@@ -91,62 +93,120 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 class _Encoder:
-    """Token ids of whole texts from remembered ids of their words.
+    """Token ids of whole texts from remembered ids of their parts.
 
-    The tokenizer splits at white space and drops it, so a text's ids are its words' ids one
-    after another; a word that is longer than a line, or seen first, goes through the tokenizer.
+    The tokenizer folds case, drops white space, and never joins what white space parts; nor
+    does it join an ASCII letter with ASCII punctuation other than an apostrophe. A text's ids
+    are therefore its parts' ids one after another. Unknown parts go through the tokenizer
+    together, with a control character between them. A chunk that holds "<|", as the special
+    tokens do, is split at white space alone and keeps its case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.begin = np.zeros(0, dtype=np.int64)
-        self.count = np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint32)
+        none = np.zeros(0, dtype=np.int64)
+        #: Sorted keys with where their ids begin and how many: a large table and a recent one.
+        self.known = [(np.zeros(0, dtype=np.uint64), none, none), (np.zeros(0, dtype=np.uint64), none, none)]
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.used = 0
+
+    def _tokenized(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part."""
+        if self.mark is None or any("\x01" in p for p in parts):
+            return [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode(" \x01 ".join(parts), add_special_tokens=False).ids, dtype=np.uint32)
+        return np.split(ids, np.flatnonzero(ids == self.mark))
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
         raw = data.tobytes()
-        texts = [raw[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        made = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.array([len(x) for x in made], dtype=np.int64)
-        fresh = np.fromiter((i for x in made for i in x), dtype=np.uint32, count=int(count.sum()))
-        begin = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, fresh])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.begin, self.count = np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
+        fresh, count = [], []
+        for at in range(0, len(starts), 512):
+            texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[at : at + 512].tolist(), ends[at : at + 512].tolist(), strict=True)]
+            made = self._tokenized(texts)
+            if isinstance(made[0], np.ndarray):  # all but the first begin with the mark
+                made = [made[0], *(x[1:] for x in made[1:])]
+            fresh += [np.asarray(x, dtype=np.uint32) for x in made]
+            count += [len(x) for x in made]
+        fresh, count = np.concatenate(fresh), np.array(count, dtype=np.int64)
+        begin = self.used + np.cumsum(count) - count
+        if self.used + len(fresh) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(fresh), dtype=np.uint32)])
+        self.ids[self.used : self.used + len(fresh)] = fresh
+        self.used += len(fresh)
+        self.known[1] = self._merged(self.known[1], (keys, begin, count))
+        if len(self.known[1][0]) > 200_000:
+            self.known = [self._merged(*self.known), tuple(x[:0] for x in self.known[1])]
+
+    @staticmethod
+    def _merged(into: tuple, new: tuple) -> tuple:
+        order = np.argsort(new[0])
+        at = np.searchsorted(into[0], new[0][order])
+        return tuple(np.insert(a, at, b[order]) for a, b in zip(into, new, strict=True))
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each key begin, and how many; -1 if unknown."""
+        begin, count = np.full(len(keys), -1), np.zeros(len(keys), dtype=np.int64)
+        for table, b, c in self.known:
+            if len(table):
+                at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+                hit = table[at] == keys
+                begin[hit], count[hit] = b[at[hit]], c[at[hit]]
+        return begin, count
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each row's first one (one entry more than rows)."""
         starts, ends, first = bw.words(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        keys, index, inverse = np.unique(bw.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
+        special = bool(((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any())
+        if not special:
+            kind = _KIND[data]
+            apart = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1  # a letter (1) beside a sign (2)
+            row = np.searchsorted(offsets, apart)
+            apart = apart[offsets[row] != apart]
+            starts, ends = np.sort(np.concatenate([starts, apart])), np.sort(np.concatenate([ends, apart]))
+            first = np.searchsorted(starts, offsets)
+        keys, index, inverse = np.unique(bw.word_hashes(data, starts, ends, lower=not special), return_index=True, return_inverse=True)
+        if special:
+            keys ^= np.uint64(0x2545F4914F6CDD1D)
+        if sum(len(t[0]) for t in self.known) > REMEMBERED:
             self.forget()
-        at = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), dtype=bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != keys[inside]
+        begin, count = self._find(keys)
+        new = begin < 0
         if new.any():
             self._learn(data, starts[index[new]], ends[index[new]], keys[new])
-            at = np.searchsorted(self.keys, keys)
-        at = at[inverse]
-        count, begin = self.count[at], self.begin[at]
+            begin, count = self._find(keys)
+        begin, count = begin[inverse], count[inverse]
         total = np.concatenate([[0], np.cumsum(count)])
         spread = np.repeat(begin - total[:-1], count) + np.arange(total[-1])
         return self.ids[spread], total[first]
 
 
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = 2
+
+_ENCODERS: dict[str, _Encoder] = {}
+
+
+def _encoder(path: str) -> _Encoder:
+    """One encoder in a worker process, whatever its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _Encoder(path)
+    return _ENCODERS[path]
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(path)
+        encoder = _encoder(path)
         stop = np.array([end_id], dtype="<u4")
         for batch in batches:
             for row, data, offsets in bw.chunks(batch.column(1)):
