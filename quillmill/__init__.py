@@ -1,3 +1,16 @@
 """Spark-native engine that turns documents and tables into fine-tuning datasets."""
 
 __version__ = "0.1.0"
+
+from .errors import ConfigError, FormatError, GenerationError, ProviderError, QuillmillError, TruncatedOutputError, ValidationError
+from .operators import chunk, curate, formats, generate, messages, model, validate
+from .operators.validate import ValidationReport, validate_jsonl, validate_records
+from .plans.build import BuildResult, build_dataset, build_examples, convert_jsonl, examples_of
+from .prompts import Prompts, by_lang
+from .sources.readers import read_documents, read_examples, read_jsonl, read_table
+
+__all__ = [
+    "BuildResult", "ConfigError", "FormatError", "GenerationError", "Prompts", "ProviderError", "QuillmillError", "TruncatedOutputError", "ValidationError",
+    "ValidationReport", "build_dataset", "build_examples", "by_lang", "chunk", "convert_jsonl", "curate", "examples_of", "formats", "generate", "messages",
+    "model", "read_documents", "read_examples", "read_jsonl", "read_table", "validate", "validate_jsonl", "validate_records", "__version__",
+]
