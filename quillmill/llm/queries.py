@@ -70,7 +70,7 @@ QUERIES = {
     )
 }
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 #: Repeats of fifty words are exact text conditions, so SQL can state them; likewise the
 #: nearest neighbours, whose recall is measured in tests, have none.
@@ -84,6 +84,6 @@ ORACLES: dict[str, str] = {
         gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM hit),
         lost AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
-               sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+               sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN lost USING (doc_id)""",
 }
