@@ -9,6 +9,7 @@ import re
 from collections.abc import Iterable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,10 @@ def _decoded(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, sha256) of a file, a folder (recursive) or a glob, in path order."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(path) from e
     return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
 
 
