@@ -12,9 +12,9 @@ class Rows:
 
     def __init__(self, lists: list[np.ndarray], values: list[np.ndarray] | None = None):
         self.start = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        self.index = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
-        self.value = np.concatenate(values).astype(np.float64) if values else np.ones(len(self.index))
-        self.row = np.repeat(np.arange(len(lists)), np.diff(self.start))
+        self.index = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
+        self.value = np.concatenate(values).astype(np.float32) if values else np.ones(len(self.index), np.float32)
+        self.row = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(self.start))
 
     def __len__(self) -> int:
         return len(self.start) - 1
