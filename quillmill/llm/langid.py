@@ -21,7 +21,7 @@ from .linear import Rows, bounded_sample, held_out, hinge_by_dual_descent, logis
 
 BITS = 16
 #: Rows of each language that the machines learn from, at most.
-SAMPLE = 1500
+SAMPLE = 800
 SCALE = 40.0
 
 #: Families of common language codes; any other code is a family of its own.
