@@ -88,6 +88,8 @@ class Machines:
     def predict(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language numbers and scores from margins (machine, row)."""
         n = margins.shape[1]
+        if not self.langs:
+            return np.zeros(n, dtype=np.int64), np.zeros(n)
 
         def contest(level: str, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
             won, least = np.zeros((len(names), n)), np.ones((len(names), n))
