@@ -22,7 +22,8 @@ from . import bytewords as bw
 from . import hashed
 from .linear import Rows, bounded_sample, held_out
 
-BITS = 18
+#: Bits of a term's number: enough that rare words do not fall on a telling one's number.
+BITS = 40
 #: Labelled rows of each label that the model learns from, at most.
 SAMPLE = 3000
 #: Terms kept, by their log-likelihood ratio.
@@ -35,7 +36,7 @@ def _featured(bits: int):
             for row, data, offsets in bw.chunks(batch.column(2)):
                 index, start = hashed.term_features(data, offsets, bits)
                 n = len(offsets) - 1
-                lists = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(index, pa.int32()))
+                lists = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(index, pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), lists], names=["doc_id", "label", "features"])
 
     return run
@@ -50,11 +51,17 @@ def _evidence(rows: Rows, toxic: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return np.where(c1 + c0 >= 5, gain, 0), np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))
 
 
-def fit(sample: list[tuple[int, np.ndarray]], bits: int = BITS, terms: int = TERMS, ridge: float = 0.3, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) from (label, feature numbers) rows; no thresholds without two grades."""
-    size, label = 1 << bits, np.array([x[0] for x in sample], dtype=np.int64)
+def fit(sample: list[tuple[int, np.ndarray]], terms: int = TERMS, ridge: float = 0.3, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kept term numbers, their weights, thresholds) from (label, term numbers) rows.
+
+    Without two labels there are no terms and no thresholds.
+    """
+    label = np.array([x[0] for x in sample], dtype=np.int64)
     if len(set(label.tolist())) < 2:
-        return np.zeros(size, np.float32), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    names = np.unique(np.concatenate([x[1] for x in sample]))
+    size = len(names)
+    sample = [(y, np.searchsorted(names, x)) for y, x in sample]
     rows, toxic = Rows([x[1] for x in sample]), label > 0
     gain, odds = _evidence(rows, toxic, size)
     if len(set(label.tolist())) == 2:
@@ -65,7 +72,8 @@ def fit(sample: list[tuple[int, np.ndarray]], bits: int = BITS, terms: int = TER
         grade = np.searchsorted(np.unique(label), label)
     top = int(grade.max())
     kept = np.argsort(-gain, kind="stable")[:terms]
-    kept = kept[gain[kept] > 3]
+    # Chance alone gives one of m terms a ratio of about log(m): what does not exceed it is noise.
+    kept = kept[gain[kept] > max(3.0, np.log(max(1, int((gain != 0).sum()))))]
     place = np.full(size, -1)
     place[kept] = np.arange(len(kept))
     part = [place[x[1]] for x in sample]
@@ -90,19 +98,22 @@ def fit(sample: list[tuple[int, np.ndarray]], bits: int = BITS, terms: int = TER
             state[k] += grads[k] ** 2
             value -= 0.5 * grads[k] / np.sqrt(state[k] + 1e-8)
         theta[:] = np.maximum.accumulate(theta + np.arange(top) * 1e-6)
-    full = np.zeros(size, np.float32)
-    full[kept] = weight
-    return full, theta
+    order = np.argsort(names[kept])
+    return names[kept][order], weight[order], theta
 
 
 def _score(model, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, theta = model.value
+        names, weight, theta = model.value
         for batch in batches:
             for row, data, offsets in bw.chunks(batch.column(2)):
                 index, start = hashed.term_features(data, offsets, bits)
                 n = len(offsets) - 1
-                eta = np.bincount(np.repeat(np.arange(n), np.diff(start)), weights=weight[index], minlength=n)
+                eta = np.zeros(n)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, index), len(names) - 1)
+                    hit = np.flatnonzero(names[at] == index)
+                    eta = np.bincount(np.searchsorted(start, hit, side="right") - 1, weights=weight[at[hit]], minlength=n)
                 chance = 1 / (1 + np.exp(-np.clip(eta[None, :] - theta[:, None], -30, 30))) if len(theta) else np.zeros((1, n))
                 grade = (chance >= 0.5).sum(axis=0)
                 yield pa.RecordBatch.from_arrays(
@@ -125,8 +136,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = bounded_sample(known.where((F.col("label") >= 0) & ~held_out("doc_id", *fold)).distinct(), "doc_id", "label", sample)
     learned = rows.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")  # `sample` rows a label at most
-    got = learned.mapInArrow(_featured(bits), "doc_id long, label int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    got = learned.mapInArrow(_featured(bits), "doc_id long, label int, features array<long>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     texts = [(y, np.asarray(f.values.to_numpy())) for y, f in zip(got["label"].to_pylist(), got["features"], strict=True)]
-    model = spark.sparkContext.broadcast(fit(texts, bits))
+    model = spark.sparkContext.broadcast(fit(texts))
     marked = rows.select("doc_id", held_out("doc_id", *fold).alias("held_out"), "text")
     return marked.mapInArrow(_score(model, bits), "doc_id long, held_out boolean, severity double, p_toxic double, grade int, toxic int")
