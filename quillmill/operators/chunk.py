@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.counters import APPROX, Counter
 
 
 def no_chunks(docs: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def _pack(docs: DataFrame, measure: Callable[[Column], Column], separator: int,
     """
     if most <= 0:
         raise ValueError("the largest size must be positive")
-    made = docs.withColumn("_blocks", T.blocks(F.col("text"))).withColumn("_sizes", F.transform("_blocks", measure))
+    made = docs.withColumn("_blocks", T.blocks(F.col("text"))).withColumn("_sizes", measure(F.col("_blocks")))
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("held"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("ends"))
 
     def step(s: Column, size: Column) -> Column:
@@ -51,11 +52,11 @@ def _pack(docs: DataFrame, measure: Callable[[Column], Column], separator: int,
 
 
 def paragraphs(docs: DataFrame, max_chars: int = 3000, min_chars: int = 200) -> DataFrame:
-    return _pack(docs, F.length, 2, max_chars, min_chars)
+    return _pack(docs, lambda b: F.transform(b, F.length), 2, max_chars, min_chars)
 
 
-def windows(docs: DataFrame, max_tokens: int = 800, min_tokens: int = 50) -> DataFrame:
-    return _pack(docs, T.approx_tokens, 1, max_tokens, min_tokens)
+def windows(docs: DataFrame, max_tokens: int = 800, min_tokens: int = 50, counter: Counter = APPROX) -> DataFrame:
+    return _pack(docs, counter.sizes, 1, max_tokens, min_tokens)
 
 
 CHUNKERS = {"none": no_chunks, "paragraphs": paragraphs, "window": windows}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..functions import text as T
+from ..functions.counters import APPROX, Counter
 from . import messages as M
 
 Step = tuple[str, Callable[[DataFrame], DataFrame]]
@@ -29,7 +30,7 @@ def normalize(examples: DataFrame) -> DataFrame:
     """Tidy every message. NFC is done once on a joined text per example, since Python functions
     cannot run inside array functions; plain ASCII texts skip it."""
     mark = "\ufdd0"
-    joined = F.array_join(F.transform("messages", lambda m: m["content"]), mark)
+    joined = F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), mark)
     parts = examples.withColumn("_all", joined)
     plain = parts.where(~F.col("_all").rlike(r"[^\x00-\u02ff\ufdd0]"))
     other = parts.where(F.col("_all").rlike(r"[^\x00-\u02ff\ufdd0]")).withColumn("_all", T.nfc(F.col("_all")))
@@ -57,8 +58,8 @@ def min_length(examples: DataFrame, least: int = 20, role: str = "assistant") ->
     return examples.where(M.text_length(F.col("messages"), role) >= least)
 
 
-def token_budget(examples: DataFrame, most: int = 16385) -> DataFrame:
-    return examples.where(M.example_tokens(F.col("messages")) <= most)
+def token_budget(examples: DataFrame, most: int = 16385, counter: Counter = APPROX) -> DataFrame:
+    return examples.where(M.example_tokens(F.col("messages"), counter) <= most)
 
 
 def _signatures(shingle: int, permutations: int):
@@ -128,12 +129,12 @@ def near_duplicate(examples: DataFrame, **options) -> DataFrame:
     return examples.join(dropped.select("id.seq", "id.sub").distinct(), ["seq", "sub"], "left_anti")
 
 
-def default_steps(deduplicate: bool = True, max_tokens: int | None = 16385) -> list[Step]:
+def default_steps(deduplicate: bool = True, max_tokens: int | None = None, counter: Counter = APPROX) -> list[Step]:
     steps: list[Step] = [("normalize", normalize)]
     if deduplicate:
         steps.append(("dedup", dedup))
     if max_tokens:
-        steps.append(("token_budget", lambda df: token_budget(df, max_tokens)))
+        steps.append(("token_budget", lambda df: token_budget(df, max_tokens, counter)))
     return steps
 
 
@@ -180,6 +181,6 @@ def grounded(answer: Column, source: Column, least: float = 0.2) -> Column:
     return F.lit(least <= 0) | (F.size(a) == 0) | (F.size(s) == 0) | (F.size(F.array_intersect(a, s)) / F.size(a) >= least)
 
 
-def token_stats(examples: DataFrame) -> DataFrame:
-    tokens = examples.select(M.example_tokens(F.col("messages")).alias("t"))
+def token_stats(examples: DataFrame, counter: Counter = APPROX) -> DataFrame:
+    tokens = examples.select(M.example_tokens(F.col("messages"), counter).alias("t"))
     return tokens.agg(F.count("t").alias("n"), F.min("t").alias("min"), F.max("t").alias("max"), F.bround(F.avg("t"), 1).alias("mean"), F.sum("t").alias("total"))

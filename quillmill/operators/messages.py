@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.counters import APPROX, Counter
 
 MESSAGE = "struct<role:string,content:string,name:string,weight:int>"
 ROLES = ("system", "user", "assistant")
@@ -35,17 +36,15 @@ def text_length(messages: Column, role: str | None = None) -> Column:
     return F.aggregate(chosen, F.lit(0), lambda a, m: a + F.length(m["content"]))
 
 
-def example_tokens(messages: Column) -> Column:
+def example_tokens(messages: Column, counter: Counter = APPROX) -> Column:
     """Three for the record and for each message, its role and content, and its name plus one."""
-    def one(m: Column) -> Column:
-        name = F.when(m["name"].isNotNull(), T.approx_tokens(m["name"]) + 1).otherwise(0)
-        return F.lit(3) + T.approx_tokens(m["role"]) + T.approx_tokens(m["content"]) + name
+    strings = F.flatten(F.transform(messages, lambda m: F.array(m["role"], m["content"], m["name"])))
+    named = F.size(F.filter(messages, lambda m: m["name"].isNotNull()))
+    return F.lit(3) + F.size(messages) * 3 + named + counter.total(strings)
 
-    return F.lit(3) + F.aggregate(messages, F.lit(0), lambda a, m: a + one(m))
 
-
-def assistant_tokens(messages: Column) -> Column:
-    return F.aggregate(F.filter(messages, lambda m: m["role"] == "assistant"), F.lit(0), lambda a, m: a + T.approx_tokens(m["content"]))
+def assistant_tokens(messages: Column, counter: Counter = APPROX) -> Column:
+    return counter.total(F.transform(F.filter(messages, lambda m: m["role"] == "assistant"), lambda m: m["content"]))
 
 
 def system_of(messages: Column) -> Column:

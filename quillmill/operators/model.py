@@ -6,6 +6,7 @@ error, so a build can skip chunks that failed; provider errors stop it.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -42,6 +43,12 @@ def json_in(text: str):
     return None
 
 
+def prompt_fingerprint(kind: str, prompts: Prompts) -> str:
+    """SHA-256 of what the model is told, so that a manifest shows when the wording changed."""
+    told = "\x1f".join((kind, getattr(prompts, KINDS[kind][1]), prompts.json_only, json.dumps(reply_schema(kind, 1), sort_keys=True)))
+    return hashlib.sha256(told.encode()).hexdigest()
+
+
 def items_in(got, key: str) -> list[dict]:
     rows = got.get(key, got.get("data")) if isinstance(got, dict) else got
     return [x for x in rows if isinstance(x, dict)] if isinstance(rows, list) else []
@@ -98,4 +105,4 @@ def generate_with_model(
 
 
 for _kind in KINDS:
-    generate.register(_kind, lambda df, kind=_kind, **o: generate_with_model(df, kind=kind, **o)[0])
+    generate.register(_kind, lambda df, kind=_kind, **o: generate_with_model(df, kind=kind, **o))

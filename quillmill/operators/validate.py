@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.counters import APPROX, Counter, get_counter
 from ..sources import readers
 from . import formats as R
 from . import messages as M
@@ -38,12 +39,12 @@ def issue_histogram(records: DataFrame) -> DataFrame:
     return records.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "issue")
 
 
-def token_stats(records: DataFrame, budget: int = 16385) -> DataFrame:
-    fine = records.where(F.size("issues") == 0).select(M.example_tokens(R.decode(F.col("rec"), F.col("fmt"))).alias("t"))
+def token_stats(records: DataFrame, budget: int = 16385, counter: Counter = APPROX) -> DataFrame:
+    fine = records.where(F.size("issues") == 0).select(M.example_tokens(R.decode(F.col("rec"), F.col("fmt")), counter).alias("t"))
     return fine.agg(F.count("t").alias("n"), F.min("t").alias("min"), F.max("t").alias("max"), F.avg("t").alias("mean"), F.count_if(F.col("t") > budget).alias("over_budget"))
 
 
-def validate_records(lines: DataFrame, fmt: str = "auto", budget: int = 16385, max_listed: int = 20) -> ValidationReport:
+def validate_records(lines: DataFrame, fmt: str = "auto", budget: int = 16385, max_listed: int = 20, counter: str | Counter | None = None) -> ValidationReport:
     """Report on (line_no, raw) rows; what reaches the driver has a fixed size."""
     records = readers.pinned(lines, fmt).cache()
     counts = records.agg(F.count(F.lit(1)), F.count_if(F.size("issues") == 0)).first()
@@ -52,10 +53,10 @@ def validate_records(lines: DataFrame, fmt: str = "auto", budget: int = 16385, m
     bad = records.where(F.size("issues") > 0).orderBy("line_no").select("line_no", "issues").limit(max_listed)
     report.invalid = [(r.line_no, tuple(r.issues)) for r in bad.collect()]
     if report.valid:
-        report.tokens = token_stats(records, budget).first().asDict()
+        report.tokens = token_stats(records, budget, get_counter(counter)).first().asDict()
     records.unpersist()
     return report
 
 
-def validate_jsonl(spark: SparkSession, path: str, fmt: str = "auto", budget: int = 16385, max_listed: int = 20) -> ValidationReport:
-    return validate_records(readers.read_jsonl(spark, path), fmt, budget, max_listed)
+def validate_jsonl(spark: SparkSession, path: str, fmt: str = "auto", budget: int = 16385, max_listed: int = 20, counter: str | Counter | None = None) -> ValidationReport:
+    return validate_records(readers.read_jsonl(spark, path), fmt, budget, max_listed, counter)

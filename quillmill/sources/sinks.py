@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import formats as R
+from .readers import numbered
 
 
 def encoded(examples: DataFrame, fmt: str) -> DataFrame:
@@ -19,30 +20,68 @@ def encoded(examples: DataFrame, fmt: str) -> DataFrame:
     return examples.select("seq", "sub", R.ENCODERS[R.get_format(fmt)](F.col("messages")).alias("value"))
 
 
-def write_jsonl(examples: DataFrame, path: str, fmt: str = "openai-chat", single_file: bool = True) -> int:
-    """Write examples in order and return their number.
+def _joined(rows: DataFrame, order: list[str], path: str) -> int:
+    """Write ``value`` in order as one file and return its lines.
 
-    One file is for datasets that one reader takes; otherwise a folder of part files, whose
-    names follow the order, is written in parallel.
+    Part files are written in parallel and joined as streams; rows never meet in one task.
     """
-    rows = encoded(examples, fmt)
-    if not single_file:
-        rows.repartitionByRange("seq", "sub").sortWithinPartitions("seq", "sub").select("value").write.mode("overwrite").text(path)
-        return rows.count()
     folder = f"{path}.parts"
-    rows.repartitionByRange("seq", "sub").sortWithinPartitions("seq", "sub").select("value").write.mode("overwrite").text(folder)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(folder)
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     number = 0
-    with open(path, "wb") as out:  # parts are joined as streams; rows never meet in one task
+    with open(path, "wb") as out:
         for part in sorted(Path(folder).glob("part-*")):
             with part.open("rb") as f:
-                shutil.copyfileobj(f, out)
-            with part.open("rb") as f:
-                number += sum(1 for _ in f)
+                while block := f.read(1 << 20):
+                    number += block.count(b"\n")
+                    out.write(block)
     shutil.rmtree(folder)
     return number
 
 
+def write_jsonl(examples: DataFrame, path: str, fmt: str = "openai-chat", single_file: bool = True) -> int:
+    """Write examples in order and return their number.
+
+    One file is for datasets that one reader takes; otherwise a folder of part files, whose
+    names follow the order, is written in parallel.
+    """
+    rows = encoded(examples, fmt)
+    if single_file:
+        return _joined(rows, ["seq", "sub"], path)
+    rows.repartitionByRange("seq", "sub").sortWithinPartitions("seq", "sub").select("value").write.mode("overwrite").text(path)
+    return rows.count()
+
+
+class JsonlWriter:
+    """Writes examples as JSONL files of one format."""
+
+    def __init__(self, fmt: str = "openai-chat", single_file: bool = True):
+        self.format, self.single_file = R.get_format(fmt), single_file
+
+    def write(self, examples: DataFrame, destination: str) -> int:
+        return write_jsonl(examples, destination, self.format, self.single_file)
+
+
+class InMemoryWriter:
+    """Keeps encoded records by destination on the driver, for tests of small datasets."""
+
+    def __init__(self, fmt: str = "openai-chat"):
+        self.format, self.records = R.get_format(fmt), {}
+
+    def write(self, examples: DataFrame, destination: str) -> int:
+        rows = encoded(examples, self.format).orderBy("seq", "sub").collect()
+        self.records[str(destination)] = [json.loads(r.value) for r in rows]
+        return len(rows)
+
+
+def write_lineage(train: DataFrame, validation: DataFrame, path: str) -> int:
+    """One JSON line an example with its split, its place in the split's file and its source."""
+    parts = [numbered(df.select(F.lit(i).alias("part"), F.lit(name).alias("split"), "seq", "sub", "source"), ["seq", "sub"], "index") for i, (name, df) in enumerate((("train", train), ("validation", validation)))]
+    rows = parts[0].unionByName(parts[1])
+    line = F.to_json(F.struct("split", F.col("index"), "source"), {"ignoreNullFields": "false"})
+    return _joined(rows.select("part", "index", line.alias("value")), ["part", "index"], path)
+
+
 def lineage(train: DataFrame, validation: DataFrame) -> DataFrame:
     """(split, seq, sub, source) of every kept example."""
     return train.select(F.lit("train").alias("split"), "seq", "sub", "source").union(validation.select(F.lit("validation").alias("split"), "seq", "sub", "source"))
