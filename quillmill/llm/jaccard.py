@@ -322,7 +322,7 @@ def jaccard_components(
     seen = cut(base.mapInArrow(_profile(shingle), "doc_id long, mark long, n long, cls long, often long"), "profile")
     profile = seen.where("often is null").select("doc_id", "mark", "n", "cls")
     top = seen.where("often is not null").groupBy("often").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "often").limit(FREQUENT)
-    often = np.sort(np.array([r[0] for r in top.select("often").collect()], dtype=np.int64).view(np.uint64))
+    often = np.sort(top.select("often").toArrow()["often"].to_numpy().view(np.uint64))  # as Arrow: rows as objects take some 100 MB
     hot = spark.sparkContext.broadcast(often)
 
     rows = base.select("text").mapInArrow(_emit(shingle, hot, num, den), "key long, cls long")
