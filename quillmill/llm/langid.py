@@ -7,6 +7,7 @@ three- and four-byte letter grams of the whole text and are fitted by dual coord
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -114,6 +115,19 @@ class Machines:
         return lang, score
 
 
+def _fitted(bits: int):
+    """The pickled machines of all feature rows of the one task; the driver gets weights alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := [x for x in batches if x.num_rows]:
+            rows = pa.Table.from_batches(got).sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+            lists, values = ([np.asarray(x.values.to_numpy()) for x in rows[c]] for c in ("features", "values"))
+            machines = Machines(rows["lang"].to_pylist(), Rows(lists, values), bits)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machines)], pa.binary())], names=["model"])
+
+    return run
+
+
 def _predict(model, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines: Machines = model.value
@@ -165,9 +179,9 @@ def identify_language(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, f
     usable = rows.where(F.col("text").isNotNull() & (F.trim("text") != "") & ~held_out("doc_id", *fold))
     chosen = bounded_sample(usable.select("doc_id", "lang"), "doc_id", "lang", sample)
     learned = usable.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text")  # `sample` rows a language at most
-    got = learned.mapInArrow(_featured(bits), "doc_id long, lang string, features array<int>, values array<float>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    lists, values = ([np.asarray(x.values.to_numpy()) for x in got[c]] for c in ("features", "values"))
-    machines = Machines(got["lang"].to_pylist(), Rows(lists, values), bits)
+    features = learned.mapInArrow(_featured(bits), "doc_id long, lang string, features array<int>, values array<float>")
+    found = features.repartition(1).mapInArrow(_fitted(bits), "model binary").toArrow()["model"].to_pylist()  # the sample is bounded
+    machines = pickle.loads(found[0]) if found else Machines([], Rows([], []), bits)
     model = spark.sparkContext.broadcast(machines)
     marked = rows.select("doc_id", held_out("doc_id", *fold).alias("held_out"), "text")
     return marked.mapInArrow(_predict(model, bits), "doc_id long, held_out boolean, lang_pred string, score double")
