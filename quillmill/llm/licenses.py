@@ -1,7 +1,7 @@
 """Licence scans by a trained paragraph classifier, in DataFrame operations only.
 
-A paragraph is a line. Its features are word pairs and triples, and single licence words. A softmax regression, trained on the driver from fixed templates and
-counter-examples, weighs them for each licence family and for the class ``unknown``, whose
+A paragraph is a line. Its features are runs of one to three words that hold a word of the
+templates other than a function word. A softmax regression, trained on the driver from fixed templates and counter-examples, weighs them for each licence family and for the class ``unknown``, whose
 temperature is calibrated on paragraphs kept from training. A prediction is confirmed by
 comparison with the family's templates: enough of the paragraph's, or the template's, word
 pairs must be shared. Training touches no table, so its size is fixed.
@@ -10,7 +10,7 @@ pairs must be shared. Training touches no table, so its size is fixed.
 from __future__ import annotations
 
 import re
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -32,6 +32,7 @@ TEMPLATES = {
         "This software is distributed under the terms of the MIT License.",
         "SPDX-License-Identifier: MIT",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
+        "Released under MIT.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
     "gpl": (
@@ -54,6 +55,7 @@ TEMPLATES = {
     ),
     "bsd": (
         "Licensed under the BSD 3-Clause License.",
+        "BSD 3-Clause",
         "Use of this source code is governed by a BSD-style license.",
         "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -71,6 +73,8 @@ TEMPLATES = {
     ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
+        "Available under CC BY 4.0.",
+        "Creative Commons Attribution 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Text is available under the Creative Commons Attribution-ShareAlike License, CC BY-SA 4.0.",
     ),
@@ -109,8 +113,11 @@ OTHERS = (
     "Permission was granted to build the house at the end of the road.",
 )
 UNKNOWN = "unknown"
-# Letters that mark a word as a licence word (an anchor).
-STEMS = ("licen", "copyright", "permi", "redistribut", "spdx", "domain", "unencumbered", "propriet", "noncommercial", "unauthorized", "gpl", "gnu", "apache", "mozilla", "warrant")
+# Function words, which tell nothing of a licence when they stand alone.
+FUNCTION = frozenset(
+    "a all an and any are as at be been but by can either every for from had has have he her his i if in into is it its may must no not of on or "
+    "our shall she should so than that the their them then there these they this those to was we were which who will with without you your".split()
+)
 
 
 def words_of(text: str) -> list[str]:
@@ -121,13 +128,18 @@ def grams_of(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
+def sentences_of(text: str) -> list[str]:
+    """The text's sentences and clauses, each of which can stand as a notice of its own."""
+    return [x for x in re.split(r"(?<=[a-z)][.;])\s+", text) if len(words_of(x)) > 2]
+
+
 def training_rows(seed: int = 3, each: int = 12) -> list[tuple[str, list[str]]]:
-    """Templates, counter-examples, and variants of both with words dropped, added or swapped."""
+    """Templates, their sentences, counter-examples, and variants with words dropped or added."""
     rng = np.random.default_rng(seed)
     rows: list[tuple[str, list[str]]] = []
     vocabulary = sorted({w for t in OTHERS for w in words_of(t)})
     for family, texts in [*TEMPLATES.items(), (UNKNOWN, OTHERS)]:
-        for text in texts:
+        for text in dict.fromkeys(x for t in texts for x in (t, *sentences_of(t))):
             words = words_of(text)
             rows.append((family, words))
             for _ in range(each):
@@ -139,19 +151,19 @@ def training_rows(seed: int = 3, each: int = 12) -> list[tuple[str, list[str]]]:
     for _ in range(40 * each):  # salads: licence words without their order are no licence
         mixed = pool if rng.random() < 0.3 else vocabulary
         rows.append((UNKNOWN, [mixed[i] for i in rng.integers(len(mixed), size=int(rng.integers(1, 25)))]))
-    return rows
+    return rows + [(UNKNOWN, [w]) for w in pool for _ in range(3)]  # nor is one word alone
 
 
 @lru_cache(maxsize=1)
 def trained(rounds: int = 400, ridge: float = 0.002) -> tuple[list[str], dict[str, list[float]], list[float], frozenset[str]]:
     """(classes, weights of each feature, biases, anchor words), temperature applied.
 
-    Features are n-grams that hold an anchor, a template word with one of ``STEMS``; so a
-    paragraph without any stem has no features and is unknown.
+    Features are n-grams that hold an anchor, a template word that is no function word; a
+    paragraph without any feature has the biases alone and is unknown.
     """
     rows = training_rows()
     classes = sorted(TEMPLATES) + [UNKNOWN]
-    anchors = frozenset(w for texts in TEMPLATES.values() for t in texts for w in words_of(t) if any(x in w for x in STEMS))
+    anchors = frozenset(w for texts in TEMPLATES.values() for t in texts for w in words_of(t)) - FUNCTION
     found = [sorted(g for g in grams_of(w) if anchors & set(g.split())) for _, w in rows]
     counts: dict[str, int] = {}
     for grams in found:
@@ -211,17 +223,15 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     scanned each; a null doc_id is returned as such. Paragraphs count from 0.
     """
     spark = docs.sparkSession
-    classes, weights, biases, _ = trained()
-
-    def cued(body: Column) -> Column:
-        low = F.lower(body)
-        return reduce(lambda a, b: a | b, (low.contains(x) for x in STEMS))
-
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(cued(F.col("text")))
-    lines = base.select("doc_id", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("paragraph", "line")).where(cued(F.col("line")))
+    classes, weights, biases, anchors = trained()
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    lines = base.select("doc_id", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("paragraph", "line")).withColumn("words", _words(F.col("line")))
+    # Lines without a feature are unknown whatever else they hold, so nothing is lost here.
+    lines = lines.where(F.exists("words", lambda w: w.isin(sorted(anchors))))
+    known = lines.withColumn("grams", F.filter(_grams(F.col("words")), lambda g: g.isin(sorted(weights)))).where(F.size("grams") > 0)
     table = spark.createDataFrame([(g, *w) for g, w in sorted(weights.items())], "gram string, " + ", ".join(f"w{i} double" for i in range(len(classes))))
-    keyed = lines.select("doc_id", "paragraph", F.xxhash64("line").alias("mark"), "line", _words(F.col("line")).alias("words"))
-    grams = keyed.select("mark", F.explode(_grams(F.col("words"))).alias("gram"), "line").distinct()
+    keyed = known.select("doc_id", "paragraph", F.xxhash64("line").alias("mark"), "line", "grams")
+    grams = keyed.select("mark", F.explode("grams").alias("gram"), "line").distinct()
     summed = grams.join(F.broadcast(table), "gram").groupBy("mark", "line").agg(*(F.sum(f"w{i}").alias(f"s{i}") for i in range(len(classes))))
     logits = [F.exp(F.col(f"s{i}") + F.lit(b)) for i, b in enumerate(biases)]
     total = sum(logits[1:], logits[0])

@@ -223,6 +223,16 @@ def test_licenses(spark):
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
 
+def test_licenses_find_every_template_and_sentence(spark):
+    """No word list in front of the classifier: what a template says is found, alone too."""
+    asked = [(f, x) for f, texts in licenses.TEMPLATES.items() for t in texts for x in {t, *licenses.sentences_of(t)}]
+    asked += [("proprietary", "All rights reserved."), ("mit", "Released under MIT"), ("cc-by", "Available under CC BY 4.0"), ("cc-by", "Creative Commons Attribution 4.0"), ("bsd", "BSD 3-Clause")]
+    prose = [*licenses.OTHERS, "Mit.", "Mit und.", "Ungte mit.", "Of the.", "All of the work was done in version 3.", "He reserved a table for two.", "1. 2. 3. 4. 0."]
+    got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, [x for _, x in asked] + prose)).collect()}
+    assert [x for i, x in enumerate(asked) if i not in got or (got[i].family, got[i].confirmed) != (x[0], True)] == []
+    assert [prose[i - len(asked)] for i in got if i >= len(asked)] == []
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(6)
