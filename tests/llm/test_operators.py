@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quillmill.llm import decontam, jaccard, langid, licenses, neighbours, packing, quality, shards, substrings, toxicity
@@ -202,6 +203,24 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert neighbours.nearest(frame.where("vec_id > 8000 and vec_id < 9030"), frame).count() == 0
 
 
+def test_neighbours_of_near_copies_at_the_production_block(spark):
+    """A third of a full block are near copies, whose codes hardly differ: recall stays whole."""
+    rng = np.random.default_rng(11)
+    n, d = neighbours.BLOCK, 32
+    x = rng.normal(size=(n, d))
+    x[: n // 3] = x[0] + 0.02 * rng.normal(size=(n // 3, d))
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = defaultdict(dict)
+    for r in neighbours.nearest(frame, frame.where("vec_id % 100 = 0"), k=20).collect():
+        got[r.query_id][r["rank"]] = r.vec_id
+    for q in range(0, n, 100):
+        score = (x.astype(float) * x[q].astype(float)).sum(axis=1)
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(n), -score))[:20]
+        assert [got[q][i + 1] for i in range(20)] == best.tolist()
+
+
 def test_decontamination_tolerates_substitutions(spark):
     rng = random.Random(8)
     item = [f"b{i}" for i in range(30)]
