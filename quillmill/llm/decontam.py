@@ -4,7 +4,9 @@ A mask of fixed word positions ("110101" reads the first, second, fourth and six
 words) hashes only what it reads, so a substitution at another position leaves the hash as it
 is. Hashes of all windows of documents and benchmark items are joined; each hit fixes an
 alignment of the two texts, and the alignment is verified word by word: the best run in which
-an equal word scores 1 and an unequal one -2 must hold enough equal words.
+an equal word scores 1 and an unequal one -2 must hold enough equal words, or the whole item
+must have enough of them. The masks leave no gap there: an item of six words or more with a
+fifth of its words substituted, wherever they stand, shares a seed with its source.
 """
 
 from __future__ import annotations
@@ -14,8 +16,11 @@ from pyspark.sql import functions as F
 
 from .scratch import cut
 
-#: Fixed masks: five words each, read over six to nine.
-MASKS = ("111011", "1101011", "110010011")
+#: Fixed masks: five words each, read over six to nine, and four in a row, without which some
+#: items of 7, 10 and 15 words have no seed left.
+MASKS = ("111011", "1101011", "110010011", "1111")
+#: Masks of short items: below six words all of them, for six words with one substituted three.
+SHORT = {n: "1" * n for n in range(1, 6)} | {6: "111"}
 #: Benchmark hashes (16 bytes each) and hit documents up to these numbers are broadcast.
 BROADCAST_HASHES, BROADCAST_DOCS = 2_000_000, 500_000
 
@@ -32,26 +37,30 @@ def seeds(df: DataFrame, keys: list[str], masks: tuple[str, ...] = MASKS) -> Dat
     shifted = F.arrays_zip(*(F.slice("h", i + 1, F.greatest(F.size("h") - i, F.lit(0))).alias(f"w{i}") if i else F.col("h").alias("w0") for i in offsets))
     rows = df.where(F.size("h") >= min(len(m) for m in masks)).select(*keys, F.posexplode(shifted).alias("at", "w"))
     made = []
-    for number, mask in enumerate(masks):
+    for mask in masks:
         read = [F.col("w").getField(f"w{i}") for i, c in enumerate(mask) if c == "1"]
-        made.append(F.when(read[-1].isNotNull(), F.xxhash64(F.lit(number), *read)))
+        made.append(F.when(read[-1].isNotNull(), F.xxhash64(F.lit(mask), *read)))
     return rows.select(*keys, "at", F.explode(F.array(*made)).alias("seed")).where("seed is not null")
 
 
-def _best_run(doc: Column, item: Column, diagonal: Column) -> Column:
-    """Equal words of the best-scoring run along the alignment ``doc position - item position``."""
+def _equal_words(doc: Column, item: Column, diagonal: Column) -> Column:
+    """(words, all): equal words of the best-scoring run, and of the whole overlap, along the
+    alignment ``doc position - item position``."""
     first = F.greatest(F.lit(0), -diagonal)
     stop = F.least(F.size(item), F.size(doc) - diagonal)
     equal = F.transform(F.sequence(first, F.greatest(stop - 1, first)), lambda i: F.get(doc, i + diagonal) == F.get(item, i))
-    start = F.struct(*(F.lit(0).alias(c) for c in ("score", "equal", "best", "words")))
+    start = F.struct(*(F.lit(0).alias(c) for c in ("score", "equal", "best", "words", "all")))
 
     def step(s: Column, same: Column) -> Column:
         score = F.greatest(F.lit(0), s["score"] + F.when(same, 1).otherwise(-2))
         count = F.when(score == 0, 0).otherwise(s["equal"] + F.when(same, 1).otherwise(0))
         better = score > s["best"]
-        return F.struct(score.alias("score"), count.alias("equal"), F.when(better, score).otherwise(s["best"]).alias("best"), F.when(better, count).otherwise(s["words"]).alias("words"))
+        return F.struct(
+            score.alias("score"), count.alias("equal"), F.when(better, score).otherwise(s["best"]).alias("best"),
+            F.when(better, count).otherwise(s["words"]).alias("words"), (s["all"] + F.when(same, 1).otherwise(0)).alias("all"),
+        )
 
-    return F.aggregate(equal, start, step, lambda s: s["words"])
+    return F.aggregate(equal, start, step, lambda s: F.struct(s["words"].alias("words"), s["all"].alias("all")))
 
 
 def contaminated(
@@ -61,16 +70,22 @@ def contaminated(
     """(doc_id, mark, item_id, matched_words, item_words): verified overlaps, one row a pair.
 
     A pair counts if some alignment's best run holds at least ``least_words`` equal words, or
-    ``share`` of the item's words if that is fewer. ``mark`` is the whole text's xxhash64, so
+    ``share`` of the item's words if that is fewer, or if its whole overlap holds that share;
+    an item below six words must be there word for word. ``matched_words`` are those of the
+    run, or of the overlap where only it suffices. ``mark`` is the whole text's xxhash64, so
     that rows of one id with different texts stay apart; repeated rows give one row. Null and
-    empty texts, null item ids, and items shorter than the shortest mask match nothing; a null
-    doc_id is returned as such.
+    empty texts, null item ids, and items without words match nothing; a null doc_id is returned
+    as such.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text")).where("text is not null")
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), word_hashes(F.col(item_text).cast("string")).alias("h")).where("item_id is not null and h is not null")
-    asked = seeds(items, ["item_id"], masks).withColumnRenamed("at", "item_at")
+    short = {r["n"]: SHORT[r["n"]] for r in items.select(F.size("h").alias("n")).where(F.col("n").isin(*SHORT)).distinct().collect()}
+    asked = seeds(items.where(F.size("h") > 5), ["item_id"], masks)
+    for n, mask in short.items():
+        asked = asked.union(seeds(items.where(F.size("h") == n), ["item_id"], (mask,)))
+    asked = asked.distinct().withColumnRenamed("at", "item_at")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_HASHES else asked
-    found = seeds(base.withColumn("h", word_hashes(F.col("text"))), ["doc_id", "mark"], masks)
+    found = seeds(base.withColumn("h", word_hashes(F.col("text"))), ["doc_id", "mark"], tuple(dict.fromkeys((*masks, *short.values()))))
     hits = found.join(asked, "seed").select("doc_id", "mark", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = cut(hits, "hits")
     hit_docs = hits.select("doc_id", "mark").distinct()
@@ -79,6 +94,8 @@ def contaminated(
     bodies = cut(base.join(hit_docs, same, "left_semi").select("doc_id", "mark", word_hashes(F.col("text")).alias("d")), "bodies")
     at = hits.join(items, "item_id")
     pairs = at.join(bodies, at["doc_id"].eqNullSafe(bodies["doc_id"]) & (at["mark"] == bodies["mark"])).select(at["doc_id"], at["mark"], "item_id", "diagonal", "h", "d")
-    scored = pairs.select("doc_id", "mark", "item_id", F.size("h").alias("item_words"), _best_run(F.col("d"), F.col("h"), F.col("diagonal")).alias("words"))
-    best = scored.groupBy("doc_id", "mark", "item_id").agg(F.max("words").alias("matched_words"), F.first("item_words").alias("item_words"))
-    return best.where(F.col("matched_words") >= F.least(F.lit(least_words), F.ceil(F.col("item_words") * share)))
+    scored = pairs.select("doc_id", "mark", "item_id", F.size("h").alias("item_words"), _equal_words(F.col("d"), F.col("h"), F.col("diagonal")).alias("e"))
+    part = F.when(F.col("item_words") < 6, F.col("item_words")).otherwise(F.ceil(F.col("item_words") * share))
+    words = F.when(F.col("e.words") >= F.least(F.lit(least_words), part), F.col("e.words")).when(F.col("e.all") >= part, F.col("e.all"))
+    best = scored.withColumn("words", words).groupBy("doc_id", "mark", "item_id")
+    return best.agg(F.max("words").alias("matched_words"), F.first("item_words").alias("item_words")).where("matched_words is not null")

@@ -235,6 +235,31 @@ def test_decontamination_tolerates_substitutions(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_decontamination_of_short_items_with_a_fifth_substituted(spark):
+    """Wherever the substitutions stand, at the ends and evenly spaced among them."""
+    rng = random.Random(5)
+    texts, items, expected = [], [], set()
+    for n in [6, 7, 9, *range(10, 21)]:
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        least = -(-4 * n // 5)
+        for cut in {1, 2, 3, 4} if n > 14 else {n - least, n - least + 1}:
+            for spots in [{1, n - 2}, {4, 8, 12}, {3, 7, 11, 15}, {2, 5, 9, 13}, *(set(rng.sample(range(n), cut)) for _ in range(12))]:
+                if len(spots) != cut or max(spots) >= n:
+                    continue
+                filler = [f"f{rng.randrange(500)}" for _ in range(20)]
+                if n - cut >= least:
+                    expected.add((len(texts), n))
+                elif n > 14:
+                    continue  # longer items may count by their best run
+                texts.append(" ".join(filler + [w if k not in spots else f"s{k}" for k, w in enumerate(item)] + filler))
+    items += [(103, "short whole thing"), (104, "one other")]
+    expected |= {(len(texts), 103)}
+    texts += ["before Short, whole thing after", "short whole other thing", "one more other"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(table(spark, texts), bench).collect()} == expected
+
+
 def test_licenses(spark):
     texts = ["text here\nLicensed under the Apache License, Version 2.0.\nmore", "Released under the MIT License.", "He has a fishing license for the lake.", None, "", "This work is licensed under the GNU General Public License, version 3.\r\nLicensed under CC BY-NC 4.0.", "Permission was granted to build the house."]
     got = {(r.doc_id, r.paragraph, r.family, r.confirmed) for r in licenses.scan_licenses(table(spark, texts)).collect()}
