@@ -304,12 +304,13 @@ def open_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, block: i
     return tiles.groupBy("home", "i", "j").applyInArrow(_tile(num, den), "a long, b long")
 
 
-def jaccard_components(
+def jaccard_rows(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100)
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+    """(doc_id, mark, n_shingles, label, component_id) for every row of ``docs``.
 
-    ``component_id`` is the smallest id reachable by links, a row's own included. Rows
+    ``mark`` is the text's xxhash64 and ``label`` tells components apart, which ids shared by
+    rows of different texts do not; it is null for rows without words. ``component_id`` is the smallest id reachable by links, a row's own included. Rows
     without words (null text too) have an empty set and link with nothing. Rows of equal
     sets link whatever their ids; a null id counts as larger than all. Repeated rows are
     returned each. Other columns of ``docs`` are ignored, so their names cannot clash.
@@ -359,6 +360,13 @@ def jaccard_components(
     ids = ids.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     ids = cut(ids, "ids")
     whole = ids.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = ids.join(whole, "label").select("cls", "component_id")
+    found = ids.join(whole, "label").select("cls", "label", "component_id")
     out = profile.join(found, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100)
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``; see ``jaccard_rows``."""
+    return jaccard_rows(docs, doc_id, text, shingle, threshold).select("doc_id", "n_shingles", "component_id")

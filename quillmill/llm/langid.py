@@ -128,7 +128,7 @@ def _fitted(bits: int):
     return run
 
 
-def _predict(model, bits: int):
+def _predict(model, bits: int, whole: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines: Machines = model.value
         weight = np.ascontiguousarray(machines.weight.T)
@@ -161,15 +161,18 @@ def _predict(model, bits: int):
                         some[i] = any(c.isalpha() for c in texts[int(i)].as_py())
                 names = [machines.langs[k] if ok and machines.langs else "und" for k, ok in zip(lang, some, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(names, pa.string()), pa.array(np.where(some, score, 0.0))],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
+                    [
+                        batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(names, pa.string()), pa.array(np.where(some, score, 0.0)),
+                        *(batch.column(i).slice(row, n) for i in range(2 if whole else 3, batch.num_columns)),
+                    ],
+                    names=["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[2 if whole else 3 :]],
                 )
 
     return run
 
 
-def identify_language(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, fold: tuple[int, int] = (3, 1)) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row of ``docs``.
+def identify_language(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, fold: tuple[int, int] = (3, 1), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row of ``docs``, and its columns ``carry``.
 
     Learned from rows with a language outside the held-out fold. Texts that are null or
     have no letter, and all texts if nothing can be learned, are ``und`` with score 0.
@@ -183,5 +186,10 @@ def identify_language(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, f
     found = features.repartition(1).mapInArrow(_fitted(bits), "model binary").toArrow()["model"].to_pylist()  # the sample is bounded
     machines = pickle.loads(found[0]) if found else Machines([], Rows([], []), bits)
     model = spark.sparkContext.broadcast(machines)
-    marked = rows.select("doc_id", held_out("doc_id", *fold).alias("held_out"), "text")
-    return marked.mapInArrow(_predict(model, bits), "doc_id long, held_out boolean, lang_pred string, score double")
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    carried = [F.col(c).alias(f"carry_{c}") for c in carry if c != "text"]  # the text goes along once
+    marked = docs.select(ids, held_out("doc_id", *fold).alias("held_out"), F.col("text").cast("string").alias("text"), *carried)
+    whole = "text" in carry
+    kinds = ", text string" * whole + "".join(f", carry_{c} {docs.schema[c].dataType.simpleString()}" for c in carry if c != "text")
+    out = marked.mapInArrow(_predict(model, bits, whole), f"doc_id long, held_out boolean, lang_pred string, score double{kinds}")
+    return out.select("doc_id", "held_out", "lang_pred", "score", *(F.col("text" if c == "text" else f"carry_{c}").alias(c) for c in carry))

@@ -40,3 +40,41 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert texts[105] == rows[-2][1] and passage not in texts[106] and texts[0] == clean[0][1]
     assert kept["benchmark_decontamination"] == kept["ngram_jaccard_join"] - {104}
     assert kept["best_fit_packing"] == kept["benchmark_decontamination"]
+
+
+def test_stages_decide_on_rows_not_ids(spark, tmp_path):
+    """Repeated rows, one id with different texts, and null ids."""
+    pytest.importorskip("public_tokenizers")
+    rng = random.Random(7)
+    stock = "the and of thing with tion able".split()
+
+    def text(n=80):
+        return " ".join("".join(rng.choices(stock, k=3)) for _ in range(n))
+
+    clean = [(i, text()) for i in range(40)]
+    item, passage = text(30), text(60)
+    other, bare, shared, second = text(), text(), text(), text(60)
+    ordered = [(60 + i, f"{second} {text()}") for i in range(12)]  # of these the smallest id keeps the passage
+    rows = clean + ordered + [
+        (0, clean[0][1]), (0, clean[0][1]),  # repeated rows
+        (5, clean[1][1]), (6, other),  # one id, other texts: a copy of another document, and a document
+        (7, text() + " " + item),  # contaminated namesake of a clean row
+        (None, bare), (None, bare), (None, clean[2][1]), (None, "12 34"), (None, text() + " " + item),  # null ids
+        (50, passage + " " + shared), (50, text() + " " + passage), (None, text() + " " + passage),  # a passage under one id and none
+    ]
+    full = [(i, t, "en", "s", len(t)) for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(full, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = cut(stage(spark, docs, str(tmp_path)), name)
+        kept[name] = sorted([(r.doc_id is None, r.doc_id, r.text) for r in docs.collect()], key=str)
+    assert len(kept["language_id"]) == len(rows) - 1
+    whole = sorted([(i is None, i, t) for i, t in {*rows} - {(5, clean[1][1]), (None, clean[2][1]), (None, "12 34")}], key=str)
+    assert kept["ngram_jaccard_join"] == whole
+    assert [i for _, i, t in kept["substring_dedup"] if passage in t] == [50] and [i for _, i, t in kept["substring_dedup"] if second in t] == [60]
+    assert len(kept["substring_dedup"]) == len(whole)
+    left = {(i, t) for _, i, t in kept["benchmark_decontamination"]}
+    assert left >= {*clean, (6, other), (None, bare)} and len(left) == len(kept["benchmark_decontamination"]) == len(whole) - 2
+    assert not any(item in t for _, t in left)
