@@ -1,6 +1,6 @@
 """Corpus pipeline: five stages over ``documents``, each written and read again.
 
-Language ID keeps texts with a recognised language, the n-gram Jaccard join keeps one
+Language ID drops texts without a letter and nothing else, the n-gram Jaccard join keeps one
 document of each near-duplicate group, substring dedup cuts passages that repeat an earlier
 document, decontamination drops documents that hold benchmark passages, and best-fit packing
 turns what is left into sequences.
@@ -36,7 +36,11 @@ def join_rows(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; ``und`` goes (no text, or no letter in it)."""
+    """Documents whose text has a letter: only ``und`` goes (no text, or no letter in it).
+
+    Neither the language found nor its score decides anything here, and ``lang`` stays as it is;
+    where no language can be learned, all texts are ``und`` and go.
+    """
     found = langid.identify_language(docs, carry=tuple(c for c in COLUMNS if c != "doc_id"))
     return found.where("lang_pred <> 'und' and text is not null").select(COLUMNS)
 
