@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -54,13 +54,16 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows; null texts count as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
     if not n:
         return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1]
+    _, offsets, data = column.buffers()  # null rows have no bytes
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    if column.null_count and (np.diff(offsets)[column.is_null().to_numpy(zero_copy_only=False)] > 0).any():
+        yield from chunks(column.fill_null(""))
+        return
     row = 0
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, side="right")) - 1
@@ -88,6 +91,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def single_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words with one space after each, and where each begins and ends there."""
+    size = ends - starts
+    stop = np.cumsum(size + 1) - 1
+    out = np.full(int(stop[-1]) + 1 if len(stop) else 0, 0x20, dtype=np.uint8)
+    solid = np.ones(len(out), dtype=bool)
+    solid[stop] = False
+    out[solid] = data[~_SPACE[data]]
+    return out.tobytes(), stop - size, stop
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hash of each word's bytes; ``lower`` folds A-Z."""
     if not len(starts):

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.llm import decontam, jaccard, langid, licenses, neighbours, packing, quality, shards, substrings, toxicity
 from quillmill.llm.components import components
@@ -92,8 +93,8 @@ def test_components_of_chains(spark):
     assert got == {x: min(names[:80]) for x in names[:80]} | {x: min(names[80:]) for x in names[80:]}
 
 
-@pytest.mark.parametrize("max_nodes", [1_000_000, 20])
-def test_substring_dedup_is_exact(spark, corpus, max_nodes):
+@pytest.mark.parametrize("max_segments", [4096, 1, 3])
+def test_substring_dedup_is_exact(spark, corpus, max_segments):
     lists, first = [words_of(t) for t in corpus], {}
     for i, w in enumerate(lists):
         for p in range(len(w) - 49):
@@ -103,13 +104,46 @@ def test_substring_dedup_is_exact(spark, corpus, max_nodes):
         gone = {q for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] < i for q in range(p, p + 50)}
         kept = " ".join(x for q, x in enumerate(w) if q not in gone)
         expected[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeat_digest(table(spark, corpus), max_nodes=max_nodes).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeat_digest(table(spark, corpus), max_segments=max_segments).collect()}
     assert got == expected and any(n for _, n, _ in expected.values())
     whole = substrings.remove_repeats(table(spark, corpus))
     assert {"lang", "mark", "key", "kept"} <= set(whole.columns) and whole.count() == len(corpus)
     assert substrings.repeat_digest(table(spark, [texts := corpus[0]], [None])).first().n_removed == 0 and texts
 
 
+def test_suffix_ranks_sort_suffixes_by_words():
+    rng = random.Random(12)
+    for depth in (1, 2, 5, 8, 50):
+        sizes = [rng.randrange(1, 90) for _ in range(12)]
+        ids = np.array([rng.randrange(3) for _ in range(sum(sizes))])
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        ranks = substrings.suffix_ranks(ids, ends, depth)
+        plain = [tuple(ids[p : min(p + depth, ends[p])]) for p in range(len(ids))]
+        places = {x: i for i, x in enumerate(sorted(set(plain)))}
+        dense = np.unique(ranks, return_inverse=True)[1]
+        assert [places[x] for x in plain] == dense.tolist()
+
+
+def test_substring_dedup_defined_cases(spark):
+    """Repeated rows, null and clashing columns, very long and empty texts, empty tables."""
+    rng = random.Random(14)
+    passage = " ".join(f"p{rng.randrange(900)}" for _ in range(60))
+    long = " ".join(f"x{i % 70_001}" for i in range(120_000))
+    rows = [(1, passage + " a", "k"), (1, passage + " a", "k"), (1, "b " + passage, "k"), (2, "c " + passage + " d", None), (None, passage, "k"), (3, None, "k"), (4, "", "k"), (5, long, "k"), (6, long + " " + passage, "k")]
+    schema = "doc_id long, text string, kept string"
+    frame = spark.createDataFrame(rows, schema)
+    for name in ("spans", "_id", "_mark", "at_id", "mark", "n_words", "n_removed", "c0", "text_mark"):
+        frame = frame.withColumn(name, F.lit(1))
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(frame).collect())
+    whole = lambda i, t: (str(i), len(t.split()), 0, t)
+    assert got == sorted([
+        whole(1, passage + " a"), whole(1, passage + " a"), whole(1, "b " + passage), ("2", 62, 60, "c d"), whole(None, passage), ("3", 0, 0, ""), ("4", 0, 0, ""),
+        whole(5, long), ("6", 120_060, 120_060, ""),
+    ])
+    assert set(substrings.remove_repeats(frame).columns) == (set(frame.columns) - {"text"})
+    assert substrings.repeat_digest(frame.limit(0)).count() == 0 and substrings.repeat_digest(spark.createDataFrame([(1, "few words")], "doc_id int, text string")).first().n_removed == 0
+
+
 def naive_best_fit(lengths, capacity):
     rooms = []
     for x in sorted(lengths, reverse=True):
