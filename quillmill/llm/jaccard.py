@@ -3,7 +3,8 @@
 A document is the set of its distinct word shingles. Two documents link when
 ``den * intersection >= num * union`` in exact integers. The join loses no link:
 
-1. Equal sets share a class id (a hash of the set); classes, not documents, are joined.
+1. Equal sets share a class id (a hash of the set); classes, not documents, are joined. A
+   second hash of the set tells apart sets that fall on one id: 128 bits decide.
 2. Sizes fall into geometric bands. In a band whose largest size is ``hi`` a sketch has
    ``P`` pieces; every shingle flips one bit of one piece by XOR. A piece's 2**64 bits are
    kept sparsely, as the XOR of its set bits' hashes. Every shingle in which two sets differ
@@ -36,7 +37,11 @@ from .scratch import cut, partitions
 #: Most frequent shingles that may be told apart; only cost depends on it.
 FREQUENT = 1 << 18
 #: Shingles counted at once in a worker's search for frequent ones (8 bytes each).
-WINDOW = 3_000_000
+WINDOW = 1 << 20
+#: Classes that a worker remembers so as not to send them twice; then it begins anew.
+MEMORY = 1 << 16
+#: Class ids that differing sets fall on: n * n / 2**65 of n sets, some 300 of 1e11. More is an error.
+CONFLICTS = 1 << 20
 #: Members of a block of an open group; pairs of blocks are compared by sketches.
 BLOCK = 2048
 #: Candidate classes up to this number are broadcast to fetch their texts (16 bytes each).
@@ -51,8 +56,9 @@ def _bands(limit: int) -> np.ndarray:
     return np.array(edges, dtype=np.int64)
 
 
-def _pieces(hi: int) -> int:
-    return -(-hi * 28 // 100) + 8
+def _pieces(hi: int, num: int, den: int) -> int:
+    """More pieces than linked sets of a band can differ in shingles; a few more spare rehashed ties."""
+    return _links_bound(hi, hi * den // num, num, den) + -(-hi * 3 // 100) + 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool = True) -> list[np.ndarray]:
@@ -73,21 +79,36 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool = Tr
     return out
 
 
-def _class_id(found: np.ndarray) -> int:
-    return int(bw.mix(np.array([bw.mix(found + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ np.uint64(len(found))], dtype=np.uint64)).view(np.int64)[0])
+def _class_id(found: np.ndarray, add: int = 0x5851F42D4C957F2D) -> int:
+    return int(bw.mix(np.array([bw.mix(found + np.uint64(add)).sum(dtype=np.uint64) ^ np.uint64(len(found))], dtype=np.uint64)).view(np.int64)[0])
+
+
+def _second_id(found: np.ndarray) -> int:
+    return _class_id(found, 0x14057B7EF767814F)
+
+
+def _told_apart(cls: int, found: np.ndarray, conflicts: frozenset[int]) -> int:
+    """The class id, or for one that differing sets share, a mix of both ids."""
+    return cls if cls not in conflicts else _mixed(cls, _second_id(found))
+
+
+def _mixed(cls: int, second: int) -> int:
+    return int(bw.mix(np.array([cls], np.int64).view(np.uint64) ^ bw.mix(np.array([second], np.int64).view(np.uint64))).view(np.int64)[0])
 
 
 def _profile(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per document its set size and class; per window of classes the shingles of at least four."""
-    names = ["doc_id", "mark", "n", "cls", "often"]
+    """Per document its set size and both class ids; per window of classes the shingles of at least four."""
+    names = ["doc_id", "mark", "n", "cls", "second", "often"]
 
     def counted(tokens: list[np.ndarray]) -> pa.RecordBatch:
-        flat = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
+        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+        tokens.clear()
+        flat.sort()
         edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(flat)))
         keep = count >= 4
         none = pa.nulls(int(keep.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(count[keep], pa.int64()), none, pa.array(flat[edge[keep]].view(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([none, none, pa.array(count[keep], pa.int64()), none, none, pa.array(flat[edge[keep]].view(np.int64))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, size, done = [], 0, set()
@@ -97,7 +118,10 @@ def _profile(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 sets = shingle_sets(data, offsets, k)
                 n, classes = len(sets), [_class_id(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, n), marks.slice(row, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int64())],
+                    [
+                        ids.slice(row, n), marks.slice(row, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()),
+                        pa.array([_second_id(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int64()),
+                    ],
                     names=names,
                 )
                 for cls, found in zip(classes, sets, strict=True):
@@ -129,7 +153,7 @@ def piece_keys(found: np.ndarray, hot: np.ndarray, edges: np.ndarray, num: int,
     out = []
     for band in range(bottom, top + 1):
         hi = int(edges[band + 1]) - 1
-        size = _pieces(hi)
+        size = _pieces(hi, num, den)
         piece = (place % np.uint64(size)).astype(np.int64)
         order = np.argsort(piece, kind="stable")
         sorted_pieces = piece[order]
@@ -147,16 +171,16 @@ def piece_keys(found: np.ndarray, hot: np.ndarray, edges: np.ndarray, num: int,
     return np.concatenate(out)
 
 
-def _emit(k: int, hot, num: int, den: int):
+def _emit(k: int, hot, conflicts, num: int, den: int):
     """(key, class) rows of every class that a chunk holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, edges = hot.value, _bands(1 << 20)
+        often, edges, shared = hot.value, _bands(1 << 20), conflicts.value
         for batch in batches:
             for _, data, offsets in bw.chunks(batch.column(0)):
                 keys, classes, done = [], [], set()
                 for found in shingle_sets(data, offsets, k):
-                    if not len(found) or (cls := _class_id(found)) in done:
+                    if not len(found) or (cls := _told_apart(_class_id(found), found, shared)) in done:
                         continue
                     done.add(cls)
                     if len(found) >= edges[-2]:
@@ -217,16 +241,18 @@ def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
 
 
-def _sets(k: int):
-    """(class, set, size, sketch) of each text, once per task."""
+def _sets(k: int, conflicts):
+    """(class, set, size, sketch) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done, shared = set(), conflicts.value
         for batch in batches:
             for _, data, offsets in bw.chunks(batch.column(0)):
                 rows = []
+                if len(done) > MEMORY:
+                    done.clear()
                 for found in shingle_sets(data, offsets, k):
-                    if len(found) and (cls := _class_id(found)) not in done:
+                    if len(found) and (cls := _told_apart(_class_id(found), found, shared)) not in done:
                         done.add(cls)
                         rows.append((cls, found.tobytes(), len(found), parity_sketch(found).tobytes()))
                 if rows:
@@ -239,13 +265,17 @@ def _sets(k: int):
 def _tile(num: int, den: int):
     """Pairs of one tile whose sketches do not rule out a link; within components none."""
 
+    reach = 1  # largest ratio of linked sets' sketch lengths
+    while reach * num < den:
+        reach *= 2
+
     def run(table: pa.Table) -> pa.Table:
         cls, label, side, n = (table.column(c).to_numpy() for c in ("cls", "label", "side", "n"))
         raw = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in table.column("sketch").combine_chunks()]
         length = np.array([len(x) for x in raw])
-        levels = {}  # rows and folded sketches by sketch length; linked sizes differ by one doubling at most
+        levels = {}  # by sketch length, the rows that can link with one of it, and their folded sketches
         for size in np.unique(length):
-            rows = np.flatnonzero((length == size) | (length == 2 * size))
+            rows = np.flatnonzero((length >= size) & (length <= size * reach))
             levels[size] = rows, np.stack([_fold(raw[r], size) for r in rows])
         left = np.flatnonzero(side != 1)  # 0: first block, 1: second block, 2: both at once
         right = np.flatnonzero(side != 0)
@@ -254,7 +284,7 @@ def _tile(num: int, den: int):
             bound = (den - num) * (n[right] + n[i]) // (den + num)
             meet = right > i if side[i] == 2 else np.ones(len(right), dtype=bool)
             may = right[meet & (np.abs(n[right] - n[i]) <= bound) & (label[right] != label[i])]
-            for size in (length[i], length[i] // 2):
+            for size in np.unique(np.minimum(length[may], length[i])):
                 near = may[np.minimum(length[may], length[i]) == size]
                 if len(near):
                     rows, bits = levels[size]
@@ -320,13 +350,22 @@ def jaccard_rows(
         raise ValueError("threshold must lie in (0, 1]")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     base = base.withColumn("mark", F.xxhash64("text"))
-    seen = cut(base.mapInArrow(_profile(shingle), "doc_id long, mark long, n long, cls long, often long"), "profile")
-    profile = seen.where("often is null").select("doc_id", "mark", "n", "cls")
+    seen = cut(base.mapInArrow(_profile(shingle), "doc_id long, mark long, n long, cls long, second long, often long"), "profile")
+    profile = seen.where("often is null").select("doc_id", "mark", "n", "cls", "second")
+    twice = profile.groupBy("cls").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).where("lo <> hi").select("cls")
+    shared = frozenset(twice.limit(CONFLICTS + 1).toArrow()["cls"].to_pylist())
+    if len(shared) > CONFLICTS:
+        raise RuntimeError("more class ids are shared than chance allows")
+    conflicts = spark.sparkContext.broadcast(shared)
+    if shared:
+        apart = F.udf(_mixed, "long")
+        profile = profile.withColumn("cls", F.when(F.col("cls").isin(*shared), apart("cls", "second")).otherwise(F.col("cls")))
+    profile = profile.drop("second")
     top = seen.where("often is not null").groupBy("often").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "often").limit(FREQUENT)
     often = np.sort(top.select("often").toArrow()["often"].to_numpy().view(np.uint64))  # as Arrow: rows as objects take some 100 MB
     hot = spark.sparkContext.broadcast(often)
 
-    rows = base.select("text").mapInArrow(_emit(shingle, hot, num, den), "key long, cls long")
+    rows = base.select("text").mapInArrow(_emit(shingle, hot, conflicts, num, den), "key long, cls long")
     rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "cls")
     groups = cut(rows.mapInArrow(_groups, "key long, cls long, first long, prev long"), "groups")
 
@@ -338,7 +377,7 @@ def jaccard_rows(
     heads = cut(heads.select(F.col("m.doc_id").alias("doc_id"), F.col("m.mark").alias("mark")).distinct(), "heads")
     wanted = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads
     texts = base.join(wanted, base["doc_id"].eqNullSafe(heads["doc_id"]) & (base["mark"] == heads["mark"]), "left_semi")
-    sets = cut(texts.select("text").mapInArrow(_sets(shingle), "cls long, found binary, n long, sketch binary"), "sets")
+    sets = cut(texts.select("text").mapInArrow(_sets(shingle, conflicts), "cls long, found binary, n long, sketch binary"), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
         left = candidates.join(sets.select(F.col("cls").alias("a"), F.col("found").alias("left")), "a")
@@ -361,8 +400,9 @@ def jaccard_rows(
     ids = cut(ids, "ids")
     whole = ids.groupBy("label").agg(F.min("least").alias("component_id"))
     found = ids.join(whole, "label").select("cls", "label", "component_id")
-    out = profile.join(found, "cls", "left")
-    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = profile.join(found, "cls").select("doc_id", "mark", "n", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+    empty = profile.where("cls is null").select("doc_id", "mark", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+    return out.union(empty).withColumnRenamed("n", "n_shingles")
 
 
 def jaccard_components(

@@ -45,11 +45,14 @@ def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def test_jaccard_join_is_exact(spark, corpus):
-    sets = []
-    for text in corpus:
-        w = [x.lower() for x in words_of(text)]
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+def shingles_of(text):
+    w = [x.lower() for x in words_of(text)]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(texts, num=80, den=100):
+    """(set size, smallest place of the component) of each text."""
+    sets = [shingles_of(t) for t in texts]
     parent = list(range(len(sets)))
 
     def root(x):
@@ -60,11 +63,47 @@ def test_jaccard_join_is_exact(spark, corpus):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if a and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+            if a and den * both >= num * (len(a) + len(sets[j]) - both):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, corpus)).collect()}
-    assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
+    return {i: (len(s), root(i)) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("num", [80, 20, 55, 100])
+def test_jaccard_join_is_exact(spark, corpus, num):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, corpus), threshold=(num, 100)).collect()}
+    assert got == brute_components(corpus, num)
+
+
+def test_jaccard_pieces_lose_no_link():
+    """Linked sets share a piece at any threshold, whatever shingles count as frequent."""
+    rng = np.random.default_rng(5)
+    for num in (20, 50, 80, 95):
+        for _ in range(40):
+            n = int(rng.integers(1, 300))
+            found = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            apart = int(rng.integers(0, jaccard._links_bound(n, n, num, 100) + 1))
+            keep = found[rng.permutation(n)[: max(1, n - apart // 2)]]
+            other = np.unique(np.append(keep, rng.integers(0, 2**63, apart // 2, dtype=np.uint64)))
+            both = len(np.intersect1d(found, other))
+            if 100 * both < num * (n + len(other) - both):
+                continue
+            hot = np.sort(rng.permutation(found)[: n // 2])
+            a, b = (jaccard.piece_keys(x, hot, jaccard._bands(1 << 20), num, 100) for x in (found, other))
+            assert len(np.intersect1d(a, b))
+
+
+def test_jaccard_defined_cases(spark, monkeypatch):
+    """Empty tables, null ids, repeated rows, very long texts; sets that fall on one class id stay apart."""
+    assert jaccard.jaccard_components(table(spark, [])).count() == 0
+    assert jaccard.jaccard_components(table(spark, [None, "", " "])).where("component_id = doc_id and n_shingles = 0").count() == 3
+    long = " ".join(f"x{i % 50_021}" for i in range(60_000))
+    texts = ["a b c d e f", "a b c d e f", "A B c d e f", long, long + " end", "a b c d e f"]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, texts, [4, 4, 2, 7, 9, None])).collect())
+    assert got == sorted([("4", 2, 2), ("4", 2, 2), ("2", 2, 2), ("None", 2, 2), ("7", 50_021, 7), ("9", 50_022, 7)])
+    assert jaccard._told_apart(5, np.arange(3, dtype=np.uint64), frozenset()) == 5
+    one, two = (jaccard._told_apart(5, np.arange(n, dtype=np.uint64), frozenset({5})) for n in (3, 4))
+    assert one != two and one == jaccard._mixed(5, jaccard._second_id(np.arange(3, dtype=np.uint64)))
 
 
 def test_jaccard_open_blocks_do_not_change_pairs(spark):
