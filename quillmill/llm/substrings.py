@@ -39,9 +39,9 @@ from .scratch import cut, partitions
 #: Words of the anchor that ends a prefix.
 ANCHOR = 8
 #: Distinct segments of a subtree (up to 2 * depth words each, some 7 KB at work).
-MAX_SEGMENTS = 4096
+MAX_SEGMENTS = 1024
 #: Segments that fetch words: up to this number their places (60 bytes each) are broadcast.
-BROADCAST_SEGMENTS = 200_000
+BROADCAST_SEGMENTS = 10_000
 
 _RUNS = "key long, seg binary, doc_id long, mark long, at int, n int"
 _WORDS = "key long, seg binary, doc_id long, last long, n int, words binary, hot boolean"
