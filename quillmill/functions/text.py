@@ -19,6 +19,8 @@ LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACES}]"
 FENCE = rf"(?m)^([{SPACES}&&[^\n]]*(?:```|~~~))"
+#: Characters from the first combining mark on; those below compose to themselves.
+COMPOSABLE = r"[^\x00-\u02ff\ufdd0]"
 #: Noncharacters, never part of text: they mark places while a text is taken apart.
 _HERE, _BREAK = "\ufdd0", "\ufdd1"
 
@@ -34,8 +36,9 @@ def _casefold(texts: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition; Spark has no builtin for it."""
-    return _nfc(text)
+    """Canonical composition; Spark has no builtin for it. Texts without characters that it could
+    change stay in the JVM."""
+    return F.coalesce(_nfc(F.when(text.rlike(COMPOSABLE), text)), text)
 
 
 def casefold(text: Column, full: bool = False) -> Column:
@@ -114,8 +117,3 @@ def headed(text: Column) -> Column:
     parts = F.split(marked, _HERE)
     return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
 
-
-def shingles(found: Column, k: int) -> Column:
-    """Distinct runs of ``k`` words; none for fewer words."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(found, i, k), " "))
-    return F.when(F.size(found) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))

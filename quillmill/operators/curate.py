@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError
 from ..functions import text as T
 from ..functions.counters import APPROX, Counter
 from . import messages as M
+from .near import near_duplicate
+
+__all__ = ["dedup", "default_steps", "grounded", "min_length", "near_duplicate", "normal_content", "normalize", "run", "split", "split_examples", "terms", "token_budget", "token_stats"]
 
 Step = tuple[str, Callable[[DataFrame], DataFrame]]
 
@@ -28,30 +26,23 @@ def normal_content(content: Column, compose: bool = True) -> Column:
 
 def normalize(examples: DataFrame) -> DataFrame:
     """Tidy every message. NFC is done once on a joined text per example, since Python functions
-    cannot run inside array functions; plain ASCII texts skip it."""
+    cannot run inside array functions."""
     mark = "\ufdd0"
-    joined = F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), mark)
-    parts = examples.withColumn("_all", joined)
-    plain = parts.where(~F.col("_all").rlike(r"[^\x00-\u02ff\ufdd0]"))
-    other = parts.where(F.col("_all").rlike(r"[^\x00-\u02ff\ufdd0]")).withColumn("_all", T.nfc(F.col("_all")))
-
-    def tidy(df: DataFrame) -> DataFrame:
-        bodies = df.withColumn("_bodies", F.transform(F.split("_all", mark), lambda c: normal_content(c, compose=False)))
-        made = F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), F.get("_bodies", i).alias("content"), m["name"].alias("name"), m["weight"].alias("weight")))
-        return bodies.withColumn("messages", made).drop("_all", "_bodies")
-
-    return tidy(plain).union(tidy(other))
+    joined = T.nfc(F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), mark))
+    bodies = examples.withColumn("_bodies", F.transform(F.split(joined, mark), lambda c: normal_content(c, compose=False)))
+    made = F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), F.get("_bodies", i).alias("content"), m["name"].alias("name"), m["weight"].alias("weight")))
+    return bodies.withColumn("messages", made).drop("_bodies")
 
 
 def dedup(examples: DataFrame, key: str = "all") -> DataFrame:
-    """The first example of each fingerprint. Only (fingerprint, order) is grouped, with partial
-    aggregation; a hot fingerprint costs one row a task."""
+    """The first example of each fingerprint, in one pass over the input: rows travel with their
+    fingerprint, and partial aggregation leaves a hot one a single row a task."""
     if key not in ("all", "user"):
         raise ValueError(f"unknown dedup key {key!r}")
     roles = ("user",) if key == "user" else M.ROLES
-    marked = examples.withColumn("_fp", M.fingerprint(F.col("messages"), roles))
-    first = marked.groupBy("_fp").agg(F.min(F.struct("seq", "sub")).alias("k")).select(F.col("k.seq").alias("seq"), F.col("k.sub").alias("sub"))
-    return marked.drop("_fp").join(first, ["seq", "sub"], "left_semi")
+    row = F.struct(*(F.col(c) for c in examples.columns))
+    first = examples.select(M.fingerprint(F.col("messages"), roles).alias("fp"), row.alias("row"), F.struct("seq", "sub").alias("at"))
+    return first.groupBy("fp").agg(F.min_by("row", "at").alias("row")).select("row.*")
 
 
 def min_length(examples: DataFrame, least: int = 20, role: str = "assistant") -> DataFrame:
@@ -62,73 +53,6 @@ def token_budget(examples: DataFrame, most: int = 16385, counter: Counter = APPR
     return examples.where(M.example_tokens(F.col("messages"), counter) <= most)
 
 
-def _signatures(shingle: int, permutations: int):
-    """Arrow function from texts to MinHash signatures of their distinct word runs; null for short texts."""
-    rng = np.random.default_rng(20_011)
-    odd, shift = (rng.integers(1, 2**63, permutations, dtype=np.uint64) for _ in range(2))
-    odd |= np.uint64(1)
-
-    def one(text: str | None):
-        found = re.findall(r"\w+", unicodedata.normalize("NFC", text or "").casefold())
-        runs = {" ".join(found[i : i + shingle]) for i in range(len(found) - shingle + 1)}
-        if not runs:
-            return None
-        hashes = pd.util.hash_array(np.array(sorted(runs), dtype=object))
-        least = np.full(permutations, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for at in range(0, len(hashes), 4096):
-            mixed = hashes[at : at + 4096, None] * odd + shift
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            mixed ^= mixed >> np.uint64(32)
-            least = np.minimum(least, mixed.min(axis=0))
-        return least.view(np.int64)
-
-    @F.pandas_udf("array<long>")
-    def signed(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return signed
-
-
-def near_duplicate_pairs(examples: DataFrame, threshold: float = 0.9, shingle: int = 5, permutations: int = 64, bands: int = 16, roles: tuple[str, ...] = M.ROLES) -> DataFrame:
-    """(first, second) order keys of pairs that share a band and agree in enough permutations."""
-    if not 0 < threshold <= 1:
-        raise ConfigError("threshold must lie in (0, 1]")
-    if permutations % bands:
-        raise ConfigError("permutations must be a multiple of bands")
-    body = F.array_join(F.transform(F.filter("messages", lambda m: m["role"].isin(*roles)), lambda m: m["content"]), " ")
-    signed = examples.select(F.struct("seq", "sub").alias("id"), _signatures(shingle, permutations)(body).alias("sig")).where("sig is not null")
-    rows = permutations // bands
-    keyed = signed.select("id", "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))).alias("band", "key"))
-    left, right = (keyed.select("band", "key", F.col("id").alias(n), F.col("sig").alias(f"{n}_sig")) for n in ("first", "second"))
-    same = F.aggregate(F.zip_with("first_sig", "second_sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
-    near = left.join(right, ["band", "key"]).where("first < second").where(same / permutations >= threshold)
-    return near.select("first", "second").distinct()
-
-
-def near_duplicate(examples: DataFrame, **options) -> DataFrame:
-    """Greedy in order: an example goes if an earlier *kept* one is near.
-
-    Solved in rounds over the sparse pair graph: an example is kept once all its earlier
-    neighbours are dropped, dropped once one is kept. Texts below the shingle size stay.
-    """
-    spark = examples.sparkSession
-    pairs = near_duplicate_pairs(examples, **options)
-    pairs = pairs.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else pairs.cache()
-    open_pairs, dropped = pairs, None
-    while open_pairs.limit(1).count():
-        later = open_pairs.select(F.col("second").alias("id")).distinct()
-        kept = open_pairs.select(F.col("first").alias("id")).distinct().join(later, "id", "left_anti")
-        gone = open_pairs.join(kept, open_pairs["first"] == kept["id"], "left_semi").select(F.col("second").alias("id")).distinct()
-        dropped = gone if dropped is None else dropped.union(gone)
-        done = gone.union(kept)
-        open_pairs = open_pairs.join(done, open_pairs["first"] == done["id"], "left_anti").join(gone, open_pairs["second"] == gone["id"], "left_anti")
-        open_pairs = open_pairs.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else open_pairs.cache()
-    if dropped is None:
-        return examples
-    return examples.join(dropped.select("id.seq", "id.sub").distinct(), ["seq", "sub"], "left_anti")
-
-
 def default_steps(deduplicate: bool = True, max_tokens: int | None = None, counter: Counter = APPROX) -> list[Step]:
     steps: list[Step] = [("normalize", normalize)]
     if deduplicate:
@@ -158,19 +82,37 @@ def run(examples: DataFrame, steps: list[Step], counts: bool = True) -> tuple[Da
 def split(examples: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """``examples`` with ``split``: ``max(1, floor(n * fraction))`` validation rows by a seeded rank.
 
-    The rank orders SHA-256 of seed, fingerprint and order key; two thresholds at most reach the driver.
+    The rank orders SHA-256 of seed, fingerprint and order key; a count for each of 65,536 slices
+    of the ranks, and the threshold, reach the driver.
     """
     if not 0 <= fraction < 1:
         raise ValueError("the fraction must lie in [0, 1)")
-    marked = examples.withColumn("_r", F.sha2(F.concat_ws("|", F.lit(str(seed)), M.fingerprint(F.col("messages")), "seq", "sub"), 256))
-    n = marked.count()
-    if fraction == 0 or n < 2:
+    rank = F.sha2(F.concat_ws("|", F.lit(str(seed)), M.fingerprint(F.col("messages")), "seq", "sub"), 256)
+    marked = examples.withColumn("_r", rank)
+    if fraction == 0:
+        return examples.withColumn("split", F.lit("train"))
+    # Ranks are even, so the first 16 bits part them into at most 65,536 slices of like size; only
+    # the slice that holds the last validation row is sorted.
+    sliced = marked.select(F.substring("_r", 1, 4).alias("slice"))
+    counts = sorted((r[0], r[1]) for r in sliced.groupBy("slice").count().collect())
+    n = sum(c for _, c in counts)
+    if n < 2:
         return examples.withColumn("split", F.lit("train"))
     wanted = max(1, int(n * fraction))
-    last = marked.select("_r").orderBy("_r").limit(wanted).agg(F.max("_r")).first()[0]
+    for edge, number in counts:
+        if number >= wanted:
+            break
+        wanted -= number
+    last = marked.select("_r").where(F.substring("_r", 1, 4) == edge).orderBy("_r").limit(wanted).agg(F.max("_r")).first()[0]
     return marked.withColumn("split", F.when(F.col("_r") <= last, "validation").otherwise("train")).drop("_r")
 
 
+def split_examples(examples: DataFrame, fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, validation) of ``split``."""
+    parted = split(examples, fraction, seed)
+    return tuple(parted.where(F.col("split") == name).drop("split") for name in ("train", "validation"))
+
+
 def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(T.casefold(text), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0)))
 

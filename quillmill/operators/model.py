@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from ..errors import GenerationError, TruncatedOutputError
 from ..functions import text as T
-from ..prompts import EN, Prompts
+from ..prompts import Wording, wording
 from . import curate, generate
 from . import messages as M
 
-KINDS = {"llm-qa": ("pairs", "pairs_task", ("question", "", "answer")), "llm-instruction": ("items", "items_task", ("instruction", "input", "output"))}
+KINDS = {"llm-qa": ("pairs", "pairs", ("question", "", "answer")), "llm-instruction": ("items", "items", ("instruction", "input", "output"))}
 
 
 def reply_schema(kind: str, n: int) -> dict:
@@ -43,9 +43,9 @@ def json_in(text: str):
     return None
 
 
-def prompt_fingerprint(kind: str, prompts: Prompts) -> str:
+def prompt_fingerprint(kind: str, prompts: Wording) -> str:
     """SHA-256 of what the model is told, so that a manifest shows when the wording changed."""
-    told = "\x1f".join((kind, getattr(prompts, KINDS[kind][1]), prompts.json_only, json.dumps(reply_schema(kind, 1), sort_keys=True)))
+    told = "\x1f".join((kind, prompts[KINDS[kind][1]], prompts["again"], json.dumps(reply_schema(kind, 1), sort_keys=True)))
     return hashlib.sha256(told.encode()).hexdigest()
 
 
@@ -54,11 +54,11 @@ def items_in(got, key: str) -> list[dict]:
     return [x for x in rows if isinstance(x, dict)] if isinstance(rows, list) else []
 
 
-def asked(provider, kind: str, text: str, prompts: Prompts, n: int, retries: int, temperature: float) -> list[tuple[str, str]]:
+def asked(provider, kind: str, text: str, prompts: Wording, n: int, retries: int, temperature: float) -> list[tuple[str, str]]:
     """Pairs from one chunk. A cut-off reply halves the number asked for; other bad ones are asked again."""
     key, task, (ask, more, reply) = KINDS[kind]
     while True:
-        talk = [{"role": "user", "content": getattr(prompts, task).replace("{n}", str(n)).replace("{text}", text)}]
+        talk = [{"role": "user", "content": prompts.filled(task, n=n, text=text)}]
         for _ in range(retries + 1):
             got = provider.complete(talk, reply_schema(kind, n), temperature)
             rows = items_in(json_in(got.text), key)
@@ -70,7 +70,7 @@ def asked(provider, kind: str, text: str, prompts: Prompts, n: int, retries: int
                 return [(q, a) for q, a in made if q and a]
             if got.finish_reason == "length":
                 break
-            talk = talk + [{"role": "assistant", "content": got.text}, {"role": "user", "content": prompts.json_only}]
+            talk = talk + [{"role": "assistant", "content": got.text}, {"role": "user", "content": prompts["again"]}]
         else:
             raise GenerationError("no usable JSON in the reply")
         if n <= 1:
@@ -79,25 +79,25 @@ def asked(provider, kind: str, text: str, prompts: Prompts, n: int, retries: int
 
 
 def generate_with_model(
-    chunks: DataFrame, provider: Callable[[], object], kind: str = "llm-qa", prompts: Prompts = EN, per_chunk: int = 3, max_input_tokens: int = 6000,
+    chunks: DataFrame, provider: Callable[[], object], kind: str = "llm-qa", prompts: Wording = wording(), per_chunk: int = 3, max_input_tokens: int = 6000,
     max_retries: int = 1, min_grounding: float = 0.2, temperature: float = 0.2, system: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(examples, errors). Oversized chunks fail without a call; ungrounded answers go."""
-    rows = chunks.where(~T.is_blank(F.col("text"))).select("seq", generate.ref().alias("source"), "text")
+    rows = chunks.where(~T.is_blank(F.col("text"))).select("seq", generate.place(F.lit(0)).alias("sub"), generate.ref().alias("source"), "text")
     small = T.approx_tokens(F.col("text")) <= max_input_tokens
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = provider()
         for batch in batches:
             out = []
-            for seq, source, text in batch.itertuples(index=False):
+            for seq, sub, source, text in batch.itertuples(index=False):
                 try:
-                    out += [(seq, i, source, text, q, a, None) for i, (q, a) in enumerate(asked(model, kind, text, prompts, per_chunk, max_retries, temperature))]
+                    out += [(seq, sub + i, source, text, q, a, None) for i, (q, a) in enumerate(asked(model, kind, text, prompts, per_chunk, max_retries, temperature))]
                 except GenerationError as e:
-                    out.append((seq, 0, source, None, None, None, str(e)))
+                    out.append((seq, sub, source, None, None, None, str(e)))
             yield pd.DataFrame(out, columns=["seq", "sub", "source", "text", "question", "answer", "error"])
 
-    made = rows.where(small).mapInPandas(run, "seq long, sub int, source string, text string, question string, answer string, error string").cache()
+    made = rows.where(small).mapInPandas(run, "seq long, sub long, source string, text string, question string, answer string, error string").cache()
     fine = made.where("error is null").where(curate.grounded(F.col("answer"), F.col("text"), min_grounding))
     examples = fine.select("seq", "sub", "source", M.qa(F.col("question"), F.col("answer"), F.lit(system) if system else None).alias("messages"))
     large = rows.where(~small).select("source", F.lit(f"more than {max_input_tokens} tokens").alias("error"))

@@ -17,8 +17,8 @@ from ..functions.counters import Counter, get_counter
 from ..operators import chunk, curate, generate
 from ..operators import formats as R
 from ..operators import model as L
-from ..prompts import by_lang
-from ..sources import readers, sinks
+from ..prompts import wording
+from ..sources import paths, readers, sinks
 
 #: Sources and errors that a manifest lists itself; beyond that all go to a folder beside it.
 LISTED = 1000
@@ -30,6 +30,9 @@ class BuildResult:
     train: DataFrame
     validation: DataFrame
     report: list[dict]
+    #: All sources (source, sha256, chars) and errors (source, error); None where a build has none.
+    sources: DataFrame | None = None
+    errors: DataFrame | None = None
     paths: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -105,36 +108,36 @@ class DatasetBuilder:
             "output": {"format": self.writer.format, "files": []},
             "stats": {"token_counter": self.counter.name, "tokens": curate.token_stats(parted, self.counter).first().asDict()},
         }
-        result = BuildResult(manifest, train, validation, report)
+        result = BuildResult(manifest, train, validation, report, read, errors)
         if out:
-            self._save(result, out, read, errors if failed > LISTED else None)
+            self._save(result, out)
         return result
 
-    def _save(self, result: BuildResult, out: str, read: DataFrame | None, errors: DataFrame | None) -> None:
+    def _save(self, result: BuildResult, out: str) -> None:
         """A folder for a path without suffix, else a file with its companions beside it."""
+        spark = result.train.sparkSession
         base, suffix = os.path.splitext(out)
         names = {"train": out, "validation": f"{base}.validation{suffix}", "manifest": f"{out}.manifest.json", "lineage": f"{out}.lineage.jsonl"}
         if not suffix:
             names = {k: f"{out}/{k}.{'json' if k == 'manifest' else 'jsonl'}" for k in names}
         for name, rows in (("train", result.train), ("validation", result.validation)):
             if name == "validation" and not result.counts["validation"]:
-                if os.path.exists(names[name]):
-                    os.remove(names[name])  # a stale file of an earlier build
+                paths.remove(spark, names[name])  # a stale file of an earlier build
                 continue
             entry = {"name": os.path.basename(names[name]), "records": self.writer.write(rows, names[name])}
-            if os.path.isfile(names[name]):
-                entry["sha256"] = sinks.sha256_of_file(names[name])
+            if paths.is_file(spark, names[name]):
+                entry["sha256"] = paths.sha256(spark, names[name])
             result.manifest["output"]["files"].append(entry)
             result.paths[name] = names[name]
         if self.write_lineage:
             sinks.write_lineage(result.train, result.validation, names["lineage"])
             result.paths["lineage"] = names["lineage"]
-        for name, rows in (("sources", read if len(result.manifest["sources"]) == LISTED else None), ("errors", errors)):
-            if rows is not None:
+        for name, rows in (("sources", result.sources), ("errors", result.errors)):
+            if rows is not None and len(result.manifest[name]) == LISTED:  # there may be more
                 result.paths[name] = f"{out}/{name}" if not suffix else f"{out}.{name}"
                 rows.write.mode("overwrite").json(result.paths[name])
         result.paths["manifest"] = names["manifest"]
-        sinks.write_manifest(result.manifest, names["manifest"])
+        sinks.write_manifest(spark, result.manifest, names["manifest"])
 
 
 def _items(sources) -> list:
@@ -228,7 +231,7 @@ def build_dataset(
         return DatasetBuilder(name, described=described, **common).finish(_template_rows(spark, sources, options), None, documents, out)
     title, cutter, options = _planned(name if isinstance(generator, str) else generator, chunker, lang, chunk_options, dict(options), provider, model)
     if generate.needs_provider(name):
-        params |= {"model": model or "", "prompts": L.prompt_fingerprint(name, options.get("prompts") or by_lang(lang))}
+        params |= {"model": model or "", "prompts": L.prompt_fingerprint(name, options.get("prompts") or wording(lang))}
     described = {"generator": {"name": name, "params": params}, "chunker": {"name": title}}
     made = DatasetBuilder(name if isinstance(generator, str) else generator, cutter, options=options, described=described, **common)
     return made.build(documents, out)

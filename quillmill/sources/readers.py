@@ -6,6 +6,7 @@ import bz2
 import gzip
 import lzma
 import re
+import uuid
 from collections.abc import Iterable
 
 import pandas as pd
@@ -16,8 +17,14 @@ from pyspark.sql import functions as F
 from ..errors import FormatError, ValidationError
 from ..functions import text as T
 from ..operators import formats as R
+from ..tables import cut, shared_dir
+from . import paths
 
 DOCUMENTS = "seq long, source string, text string, sha256 string, index int"
+#: Archives that Spark's own line readers do not open.
+_FOREIGN = r"(?i)\.(gzip|xz|lzma)$"
+#: Splits of a dataset whose line numbers are broadcast (some 200 bytes each).
+BROADCAST_SPLITS = 100_000
 _OPEN = {"gz": gzip.decompress, "gzip": gzip.decompress, "xz": lzma.decompress, "lzma": lzma.decompress, "bz2": bz2.decompress}
 
 
@@ -34,13 +41,20 @@ def _decoded(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         yield rows.assign(text=texts).drop(columns="content")
 
 
+def _plain(path):
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, sha256) of a file, a folder (recursive) or a glob, in path order."""
+    """(path, content) of a file, a folder (recursive) or a glob; content is read only where it is used."""
+    wanted = paths.expanded(spark, path)
+    if not wanted:
+        raise FileNotFoundError(path)
     try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(wanted)
     except AnalysisException as e:
         raise FileNotFoundError(path) from e
-    return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    return found.select(_plain("path").alias("path"), "content")
 
 
 def read_documents(spark: SparkSession, sources) -> DataFrame:
@@ -83,11 +97,47 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     return ranged.join(F.broadcast(sizes.select("_p", "_before")), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
 
 
+def _cut_text(df: DataFrame, name: str) -> DataFrame:
+    """``cut``, with text that is no UTF-8 told as such."""
+    try:
+        return cut(df, name)
+    except Exception as e:  # what a job raises carries the message of the task
+        if told := re.search(r"([^\s\]]+): cannot be read as UTF-8 text", str(e)):
+            raise FormatError(told[0]) from e
+        raise
+
+
+def _lines(spark: SparkSession, wanted: list[str]) -> DataFrame:
+    """(path, line_no, raw) of all lines of files that Spark opens itself, read in splits.
+
+    Each split numbers its lines, and the counts of the splits before it are added.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").text(wanted)
+    rows = read.select(_plain("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"), "value")
+    rows = rows.where(~F.col("path").rlike(_FOREIGN))
+    bad = F.raise_error(F.concat("path", F.lit(": cannot be read as UTF-8 text")))
+    rows = _cut_text(rows.withColumn("value", F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(bad.cast("string"))), "lines")
+    sizes = rows.groupBy("path", "split").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cut(sizes.select("path", "split", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift")), "splits")
+    starts = F.broadcast(starts) if starts.count() <= BROADCAST_SPLITS else starts
+    return rows.join(starts, ["path", "split"]).select("path", (F.col("i") + F.col("shift")).alias("line_no"), F.col("value").alias("raw"))
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, raw): lines that are not blank, numbered from 1 with blank ones counted."""
-    texts = _files(spark, path).mapInPandas(_decoded, "path string, text string")
-    rows = texts.select("path", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("i", "raw"))
-    return rows.select("path", (F.col("i") + 1).cast("long").alias("line_no"), T.strip(F.col("raw")).alias("raw")).where("raw <> ''")
+    """(path, line_no, raw): lines that are not blank, numbered from 1 with blank ones counted.
+
+    Plain, .gz and .bz2 files are read by lines, plain ones in splits; .xz, .lzma and .gzip files
+    whole, one task each.
+    """
+    files = _files(spark, path)
+    foreign = files.where(F.col("path").rlike(_FOREIGN))
+    rows = _lines(spark, paths.expanded(spark, path))
+    if foreign.select("path").limit(1).count():
+        texts = foreign.mapInPandas(_decoded, "path string, text string")
+        more = texts.select("path", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("i", "raw"))
+        rows = rows.union(more.select("path", (F.col("i") + 1).cast("long").alias("line_no"), "raw"))
+    return rows.select("path", "line_no", T.strip(F.col("raw")).alias("raw")).where("raw <> ''")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -122,29 +172,44 @@ def read_examples(spark: SparkSession, path: str, input_format: str = "auto", on
         if bad:
             raise ValidationError(f"{bad[0].path}:{bad[0].line_no}: {', '.join(sorted(set(bad[0].issues)))}", tuple(bad[0].issues))
     fine = rows.where(F.size("issues") == 0)
-    return fine.select(F.col("line_no").alias("seq"), F.lit(0).alias("sub"), F.lit(None).cast("string").alias("source"), R.decode(F.col("rec"), F.col("fmt")).alias("messages"))
+    # Files follow each other in the order of their paths; a listing of paths is small.
+    order = rows.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file"))
+    fine = fine.join(F.broadcast(order), "path")
+    seq = (F.col("file") * F.lit(2**40) + F.col("line_no")).alias("seq")
+    return fine.select(seq, F.lit(0).alias("sub"), F.lit(None).cast("string").alias("source"), R.decode(F.col("rec"), F.col("fmt")).alias("messages"))
+
+
+def _unpacked(spark: SparkSession, path: str) -> str:
+    """``path``, or a folder of the shared place with the text of an archive that Spark does not open."""
+    if not re.search(_FOREIGN, path):
+        return path
+    folder = f"{shared_dir(spark).rstrip('/')}/quillmill/unpacked-{uuid.uuid4().hex}"
+    _files(spark, path).mapInPandas(_decoded, "path string, text string").select("text").write.text(folder)
+    return folder
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a CSV, JSONL or JSON file. CSV cells are strings, missing ones empty; the separator
-    is the commonest of , ; tab | in the head. JSON is an array of objects, or one under data,
-    records, rows or items."""
-    text = _files(spark, path).mapInPandas(_decoded, "path string, text string").select("text").first()
-    if text is None:
+    """Rows of a CSV, JSONL or JSON file, plain or compressed. CSV cells are strings, missing ones
+    empty; the separator is the commonest of , ; tab | in the head. JSON is an array of objects,
+    or one under data, records, rows or items. Of the file only the head reaches the driver."""
+    if not _files(spark, path).select("path").limit(1).count():
         raise FileNotFoundError(path)
-    body, name = text[0], re.sub(r"\.(gz|gzip|xz|lzma|bz2)$", "", path.lower())
-    suffix = name.rpartition(".")[2]
-    head = body.lstrip().split("\n", 1)[0]
-    if suffix == "csv" or (suffix not in ("json", "jsonl", "ndjson") and re.search("[,;\t]", head) and not head.startswith(("{", "["))):
-        separator = max(",;\t|", key=lambda c: body[:4096].split("\n", 1)[0].count(c))
-        return spark.read.csv(path, header=True, sep=separator, quote='"', escape='"', multiLine='"' in body, nullValue="\ufdd0", emptyValue="").na.fill("")
-    if suffix in ("jsonl", "ndjson") or (suffix != "json" and body.lstrip().startswith("{")):
-        lines = read_jsonl(spark, path)
-        bad = lines.where(~F.coalesce(R.is_object(F.try_parse_json("raw")), F.lit(False))).agg(F.min("line_no")).first()[0]
+    suffix = re.sub(r"\.(gz|gzip|xz|lzma|bz2)$", "", path.lower()).rpartition(".")[2]
+    path = _unpacked(spark, path)
+    lines = spark.read.text(path)
+    head = next((r[0] for r in lines.where(F.trim("value") != "").limit(1).collect()), "")[:4096]
+    if suffix == "csv" or (suffix not in ("json", "jsonl", "ndjson") and re.search("[,;\t]", head) and not head.lstrip().startswith(("{", "["))):
+        separator = max(",;\t|", key=head.count)
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        over = bool(lines.where(quotes % 2 == 1).limit(1).count())  # a cell goes on in the next line
+        return spark.read.csv(path, header=True, sep=separator, quote='"', escape='"', multiLine=over, nullValue="\ufdd0", emptyValue="").na.fill("")
+    if suffix in ("jsonl", "ndjson") or (suffix != "json" and head.lstrip().startswith("{")):
+        records = read_jsonl(spark, path)
+        bad = records.where(~F.coalesce(R.is_object(F.try_parse_json("raw")), F.lit(False))).agg(F.min("line_no")).first()[0]
         if bad is not None:
             raise FormatError(f"{path}:{bad}: a line must be a JSON object")
         return spark.read.json(path)
-    whole = spark.createDataFrame([(body,)], "value string").select(F.try_parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json(F.regexp_replace("value", "^\ufeff", "")).alias("v"))
     kind = whole.select(F.schema_of_variant("v")).first()[0]
     if kind is None:
         raise FormatError(f"{path}: not JSON")

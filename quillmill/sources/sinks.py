@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
-import shutil
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import formats as R
+from . import paths
 from .readers import numbered
 
 
@@ -23,19 +20,14 @@ def encoded(examples: DataFrame, fmt: str) -> DataFrame:
 def _joined(rows: DataFrame, order: list[str], path: str) -> int:
     """Write ``value`` in order as one file and return its lines.
 
-    Part files are written in parallel and joined as streams; rows never meet in one task.
+    Part files are written in parallel and joined as streams in the same file system; rows never
+    meet in one task.
     """
-    folder = f"{path}.parts"
+    spark, folder = rows.sparkSession, f"{path}.parts"
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(folder)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    number = 0
-    with open(path, "wb") as out:
-        for part in sorted(Path(folder).glob("part-*")):
-            with part.open("rb") as f:
-                while block := f.read(1 << 20):
-                    number += block.count(b"\n")
-                    out.write(block)
-    shutil.rmtree(folder)
+    number = spark.read.text(folder).count()
+    paths.join_parts(spark, folder, path)
+    paths.remove(spark, folder)
     return number
 
 
@@ -87,20 +79,9 @@ def lineage(train: DataFrame, validation: DataFrame) -> DataFrame:
     return train.select(F.lit("train").alias("split"), "seq", "sub", "source").union(validation.select(F.lit("validation").alias("split"), "seq", "sub", "source"))
 
 
-def sha256_of_file(path: str) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            digest.update(block)
-    return digest.hexdigest()
+def write_manifest(spark: SparkSession, manifest: dict, path: str) -> None:
+    paths.write_text(spark, path, json.dumps(manifest, ensure_ascii=False, indent=2) + "\n")
 
 
-def write_manifest(manifest: dict, path: str) -> None:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(manifest, ensure_ascii=False, indent=2) + "\n")
-
-
-def read_manifest(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])

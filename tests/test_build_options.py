@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill import cli, errors, providers
-from quillmill.config import Settings, normal_host
+from quillmill.config import Environment, web_address
 from quillmill.functions import text as T
 from quillmill.functions.counters import APPROX, Counter, get_counter
 from quillmill.operators import chunk, curate, formats, validate
@@ -67,10 +67,10 @@ def test_null_content_keeps_its_place(spark):
 
 
 def test_settings():
-    got = Settings.from_env({"QUILLMILL_PROVIDER": " OpenAI ", "OLLAMA_HOST": "box:1/", "GOOGLE_API_KEY": "g", "GEMINI_API_KEY": " ", "OPENAI_API_KEY": ""})
-    assert (got.provider, got.model, got.ollama_host, got.openai_key, got.gemini_key) == ("openai", None, "http://box:1", None, "g")
-    assert got.model_for("openai") == "gpt-4o-mini" and Settings(model="m").model_for("openai") == "m" and Settings().model_for("own") == ""
-    assert normal_host("") == "http://localhost:11434" and normal_host("https://x/") == "https://x"
+    got = Environment({"QUILLMILL_PROVIDER": " OpenAI ", "OLLAMA_HOST": "box:1/", "GOOGLE_API_KEY": "g", "GEMINI_API_KEY": " ", "OPENAI_API_KEY": ""})
+    assert (got.provider, got.url("ollama"), got.key("openai"), got.own_url("openai"), got.key("gemini")) == ("openai", "http://box:1", None, None, "g")
+    assert got.model("openai") == "gpt-4o-mini" and Environment({"QUILLMILL_MODEL": "m"}).model("openai") == "m" and got.model("own") == ""
+    assert Environment({}).url("ollama") == "http://localhost:11434" and Environment({}).provider == "ollama" and web_address("https://x/") == "https://x"
 
 
 def test_providers():
@@ -94,17 +94,17 @@ def test_providers():
     got = gemini.complete([{"role": "system", "content": "s"}, *talk, {"role": "assistant", "content": "x"}], {"type": "object"})
     assert got.text == "ok" and got.finish_reason == "length" and seen["config"]["system_instruction"] == "s"
     assert [c["role"] for c in seen["contents"]] == ["user", "model"] and "response_json_schema" in seen["config"]
-    for bad in (lambda: providers.GeminiProvider("m"), lambda: providers.create("nobody"), lambda: providers.create("openai", settings=Settings())):
+    for bad in (lambda: providers.GeminiProvider("m"), lambda: providers.create("nobody"), lambda: providers.create("openai", settings=Environment({}))):
         with pytest.raises(errors.ConfigError):
             bad()
     providers.register("echo", lambda model, settings, **o: FakeProvider(lambda m: model))
     assert providers.create("echo", "big").complete(talk).text == "big" and "echo" in providers.available()
-    assert providers.takes_schema("0.5.0") and providers.takes_schema("dev") and not providers.takes_schema("0.4.9-rc1")
+    assert [providers.Server("h", v, ()).takes_schema for v in ("0.5.0", "dev", "0.4.9-rc1")] == [True, True, False]
 
     def opener(request, timeout):
         return io.BytesIO(b'{"version": "0.9.1"}' if request.full_url.endswith("version") else b'{"models": [{"name": "m"}]}')
 
-    assert providers.probe("box", opener) == {"host": "http://box", "version": "0.9.1", "models": ["m"]}
+    assert providers.probe("box", opener) == providers.Server("http://box", "0.9.1", ("m",))
 
     def down(request, timeout):
         raise OSError("down")
@@ -156,7 +156,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     out = str(tmp_path / "o")
     told = ["build", str(table), "-o", out, "--user", "Price of {name}?", "--assistant", "{price} coins", "--system", "s", "--valid", "0.5", "--lineage", "--tokens", "approx", "--max-tokens", "500"]
     assert cli.main(told) == 0 and "kept 2" in capsys.readouterr().out
-    manifest = sinks.read_manifest(f"{out}/manifest.json")
+    manifest = sinks.read_manifest(spark, f"{out}/manifest.json")
     assert [s["step"] for s in manifest["curation"]] == ["normalize", "dedup", "token_budget"] and manifest["sources"][0]["chars"] == len(table.read_text())
     assert manifest["counts"]["train"] == manifest["counts"]["validation"] == 1
     assert {json.loads(x)["source"] for x in open(f"{out}/lineage.jsonl")} == {str(table)}
@@ -165,5 +165,5 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["validate", f"{out}/train.jsonl", "--tokens", "words"]) == 2
     assert cli.main(["build", str(table), "-o", out, "--user", "only one"]) == 2
     assert cli.main(["build", str(tmp_path / "*.none"), "-o", out, "-g", "qa"]) == 2
-    monkeypatch.setattr(providers, "probe", lambda host: {"host": host, "version": "0.1.0", "models": []})
+    monkeypatch.setattr(providers, "probe", lambda host: providers.Server(host, "0.1.0", ()))
     assert cli.main(["setup"]) == 0 and "too old" in capsys.readouterr().out

@@ -14,7 +14,7 @@ from quillmill.functions import text as T
 from quillmill.operators import chunk, curate, formats, generate, model, validate
 from quillmill.operators import messages as M
 from quillmill.plans import build
-from quillmill.prompts import EN, by_lang
+from quillmill.prompts import wording
 from quillmill.providers import Completion, FakeProvider
 from quillmill.sources import readers
 
@@ -99,7 +99,7 @@ def test_template_and_columns(spark):
         generate.detect_columns(["messages"])
     assert generate.detect_columns(["instruction", "input", "output"]) == ("instruction", "output", "input")
     assert generate.for_source("x.CSV.gz") == "template" and generate.for_source("a.md") == "markdown"
-    assert by_lang("PT_BR").lang == "pt-br"
+    assert wording("PT_BR").lang == wording("pt").lang == "pt-br"
     with pytest.raises(errors.ConfigError):
         generate.create("nothing")
 
@@ -196,5 +196,5 @@ def test_model_generator(spark):
         return '```json\n{"pairs": [{"question": "what fox", "answer": "quick brown jumps"}, {"question": "x", "answer": "unrelated nonsense entirely"}]}\n```'
 
     rows = docs(spark, "the quick brown fox jumps", "broken text here", "a long one", "  ")
-    made, failed = model.generate_with_model(rows, lambda: FakeProvider(reply), prompts=EN)
+    made, failed = model.generate_with_model(rows, lambda: FakeProvider(reply), prompts=wording("en"))
     assert qa(made) == [("what fox", "quick brown jumps")] and failed.count() == 2
