@@ -7,6 +7,7 @@ spelled out. All functions take and return Columns; null in gives null out.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,12 +47,17 @@ def casefold(text: Column, full: bool = False) -> Column:
     return _casefold(text) if full else F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{SPACES}]+|[{SPACES}]+$", "")
 
 
 def is_blank(text: Column) -> Column:
-    return strip(text) == ""
+    return ~text.rlike(rf"[^{SPACES}]")
 
 
 def collapse(text: Column) -> Column:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunk, curate, generate, validate
+from .operators import chunk, curate, generate, model, validate
 from .operators import formats as R
 from .operators import messages as M
 from .plans import build
+from .prompts import wording
+from .providers import FakeProvider
 from .sources import readers, sinks
+from .streaming.dedup import dedup_stream
+from .tables import shared_dir
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -43,8 +50,8 @@ def _conversations(spark, sf) -> DataFrame:
 
 
 def _structured(spark, sf) -> DataFrame:
-    """Documents of one source and language as blocks of one text, in the order of ids."""
-    docs = _t(spark, sf, "documents").groupBy("source", "lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"), F.min("doc_id").alias("seq"))
+    """Up to 200 documents of one source and language as blocks of one text, in the order of ids."""
+    docs = _t(spark, sf, "documents").groupBy("source", "lang", F.expr("doc_id div 200")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"), F.min("doc_id").alias("seq"))
     return docs.select("seq", F.concat_ws("-", "source", "lang").alias("source"), F.array_join(F.transform("d", lambda x: x["text"]), "\n\n").alias("text"), F.lit("").alias("sha256"), F.lit(0).alias("index"))
 
 
@@ -226,7 +233,7 @@ def lineage_counts(spark, sf):
     return rows.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-_STRUCT = "s AS (SELECT min(doc_id) AS seq, source || '-' || lang AS source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text, list(text ORDER BY doc_id) AS b FROM documents GROUP BY documents.source, lang)"
+_STRUCT = "s AS (SELECT min(doc_id) AS seq, source || '-' || lang AS source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text, list(text ORDER BY doc_id) AS b FROM documents GROUP BY documents.source, lang, doc_id // 200)"
 
 
 @query(f"WITH {_STRUCT} SELECT seq, len(b)::INT AS n_blocks, sum(length(x))::BIGINT AS chars FROM s, unnest(b) AS u(x) GROUP BY seq, b")
@@ -290,10 +297,23 @@ def faq_pairs(spark, sf):
     return made.select("seq", F.get("messages", 0)["content"].alias("question"), F.get("messages", 1)["content"].alias("answer"))
 
 
-@query()
+# Letters outside ASCII become ASCII ones of the same case, since the oracle's word edges are ASCII.
+_FOREIGN, _PLAIN = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "A" * 23 + "A" * 7 + "a" * 32
+_CAP = r"[A-Z][\p{L}\p{N}_]+"
+_CAND = rf"(\"[^\"]{{3,40}}\"|“[^”]{{3,40}}”|\b\d[\d.,/:%-]*\b|\b[A-Z]{{2,}}\b|\b{_CAP}(?:\s+{_CAP})*\b)"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, source, translate(text, '{_FOREIGN}', '{_PLAIN}') AS text FROM documents WHERE length(text) >= 120),
+  p AS (SELECT doc_id, source, string_split(regexp_replace(text, '{_CAND}', chr(64976) || '\1' || chr(64976), 'g'), chr(64976)) AS p FROM d),
+  c AS (SELECT doc_id, p, unnest(range(1, len(p), 2)) AS i, source FROM p),
+  k AS (SELECT * FROM c WHERE length(p[i + 1]) >= 3 AND (i > 1 OR p[1] <> '') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY md5('42|' || source || '#0|0|' || i)) <= 2)
+  SELECT doc_id AS seq, p[i + 1] AS answer, length(array_to_string(p[1 : i], ''))::INT AS at FROM k""")
 def cloze_questions(spark, sf):
-    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "source", "text", F.lit("").alias("sha256"), F.lit(0).alias("index"))
-    return generate.cloze(docs).select("seq", "sub", F.get("messages", 1)["content"].alias("answer"))
+    flat = F.translate("text", _FOREIGN, _PLAIN)
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "source", flat.alias("text"), F.lit("").alias("sha256"), F.lit(0).alias("index"))
+    made = generate.cloze(docs).select("seq", F.get("messages", 0)["content"].alias("q"), F.get("messages", 1)["content"].alias("answer"))
+    body = F.substring("q", len(wording()["blank"]) - len("{text}") + 1, 2**31 - 1)
+    return made.select("seq", "answer", (F.instr(body, "____") - 1).alias("at"))
 
 
 _TERMS = r"list_distinct(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]{{4,}}'))"
@@ -315,14 +335,227 @@ def curation_report(spark, sf):
     return spark.createDataFrame([(r["step"], r["in"], r["out"]) for r in report], "step string, n_in long, n_out long")
 
 
-@query()
+_MINHASH = r"""w AS (SELECT id, regexp_extract_all(replace(lower(nfc_normalize(t)), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS w FROM e),
+  g AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+  h AS (SELECT id, ('0x' || substr(md5(g), 1, 8))::BIGINT % 2147483647 AS h FROM g),
+  p AS (SELECT i, 1 + ('0x' || substr(md5('a' || i), 1, 8))::BIGINT % 2147483646 AS a, ('0x' || substr(md5('b' || i), 1, 8))::BIGINT % 2147483647 AS b FROM range(64) AS r(i)),
+  v AS (SELECT id, i, min((h * a + b) % 2147483647) AS v FROM h, p GROUP BY id, i),
+  k AS (SELECT id, i // 4 AS band, string_agg(v::VARCHAR, '|' ORDER BY i) AS k FROM v GROUP BY 1, 2),
+  c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k AS x JOIN k AS y USING (band, k) WHERE x.id < y.id),
+  near AS (SELECT a, b FROM c JOIN v AS x ON x.id = a JOIN v AS y ON y.id = b AND y.i = x.i GROUP BY a, b HAVING sum((x.v = y.v)::INT) >= 0.9 * 64),
+  n AS (SELECT row_number() OVER (ORDER BY b) AS r, b, list(a) AS before FROM near GROUP BY b),
+  walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS gone UNION ALL
+    SELECT n.r, CASE WHEN len(list_filter(n.before, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, n.b) ELSE gone END FROM walk JOIN n ON n.r = walk.r + 1),
+  lost AS (SELECT unnest(arg_max(gone, r)) AS id FROM walk)"""
+
+
+@query(f"WITH RECURSIVE e AS (SELECT doc_id AS id, text AS t FROM documents), {_MINHASH} SELECT doc_id AS seq FROM documents WHERE doc_id NOT IN (SELECT id FROM lost)")
 def near_duplicates_kept(spark, sf):
     return curate.near_duplicate(_doc_examples(spark, sf), roles=("assistant",)).select("seq")
 
 
-@query()
+def _chunk_examples(spark, sf) -> DataFrame:
+    """An example for each chunk of several documents, so that chunks of one text share its number."""
+    chunks = chunk.paragraphs(_structured(spark, sf), max_chars=700)
+    return chunks.select("seq", generate.place(F.lit(0)).alias("sub"), "source", "index", M.qa(F.concat(F.lit("Part of "), "source"), F.col("text")).alias("messages"))
+
+
+_CHUNKED = _packed("length(x)", 2, 700, 200)
+
+
+@query(f"SELECT arg_min(seq, seq * 1000 + index) AS seq, arg_min(index, seq * 1000 + index) AS index FROM ({_CHUNKED}) JOIN (SELECT min(doc_id) AS seq, lang, source FROM documents GROUP BY source, lang, doc_id // 200) USING (seq) GROUP BY source, lang, {_NORM.format('text')}")
+def chunked_dedup(spark, sf):
+    return curate.dedup(_chunk_examples(spark, sf)).select("seq", "index")
+
+
+@query(f"SELECT min(seq) AS seq, arg_min(index, seq * 1000 + index) AS index FROM ({_CHUNKED}) JOIN (SELECT min(doc_id) AS seq, lang, source FROM documents GROUP BY source, lang, doc_id // 200) USING (seq) GROUP BY source, lang")
+def chunked_dedup_user(spark, sf):
+    return curate.dedup(_chunk_examples(spark, sf), "user").select("seq", "index")
+
+
+@query(f"""WITH RECURSIVE q AS ({_CHUNKED}), e AS (SELECT seq * 1000 + index AS id, text AS t FROM q), {_MINHASH} SELECT seq, index FROM q WHERE seq * 1000 + index NOT IN (SELECT id FROM lost)""")
+def chunked_near_duplicates(spark, sf):
+    return curate.near_duplicate(_chunk_examples(spark, sf), roles=("assistant",)).select("seq", "index")
+
+
+@query(f"""WITH q AS ({_CHUNKED}), s AS (SELECT min(doc_id) AS seq, source || '-' || lang AS source FROM documents GROUP BY documents.source, lang, doc_id // 200),
+  e AS (SELECT seq, index, sha256('user' || chr(31) || {_NORM.format("'Part of ' || source")} || chr(30) || 'assistant' || chr(31) || {_NORM.format('text')} || chr(30)) AS fp FROM q JOIN s USING (seq)),
+  r AS (SELECT seq, index, row_number() OVER (ORDER BY sha256('42|' || fp || '|' || seq || '|' || index::BIGINT * 4294967296)) AS k, count(*) OVER () AS n FROM e)
+  SELECT seq, index, CASE WHEN k <= greatest(1, CAST(floor(n * 0.1) AS INT)) THEN 'validation' ELSE 'train' END AS split FROM r""")
+def chunked_split(spark, sf):
+    return curate.split(_chunk_examples(spark, sf), 0.1, 42).select("seq", "index", "split")
+
+
+_ACCENTED = "CASE doc_id % 2 WHEN 0 THEN replace(text, 'e', chr(233)) ELSE replace(text, 'e', 'e' || chr(769)) END"
+
+
+@query(f"SELECT min(doc_id) AS seq FROM documents GROUP BY {_NORM.format(_ACCENTED)}")
+def composed_dedup(spark, sf):
+    """Letters composed in some documents and decomposed in others."""
+    docs = _t(spark, sf, "documents")
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("e"), F.lit("é"))).otherwise(F.replace("text", F.lit("e"), F.lit("é")))
+    rows = docs.select(F.col("doc_id").alias("seq"), F.lit(0).alias("sub"), "source", M.qa(F.lit("q"), text).alias("messages"))
+    return curate.dedup(rows).select("seq")
+
+
+@query(f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq, text FROM documents), s AS (SELECT seq, {_SENT} AS s FROM d),
+  w AS (SELECT seq, s, unnest(range(0, len(s) - 3, 4)) AS i FROM s WHERE len(s) >= 4),
+  e AS (SELECT seq, i // 4 AS sub, array_to_string(s[i + 1 : i + 3], ' ') AS c, s[i + 4] AS t FROM w),
+  x AS (SELECT seq, sub, sha256('user' || chr(31) || {_NORM.format("'Continue the following text. ' || c")} || chr(30) || 'assistant' || chr(31) || {_NORM.format('t')} || chr(30)) AS fp FROM e WHERE length(c) >= 80 AND length(t) >= 40),
+  k AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY fp ORDER BY seq, sub) = 1),
+  r AS (SELECT seq, sub, row_number() OVER (ORDER BY sha256('42|' || fp || '|' || seq || '|' || sub)) AS k, count(*) OVER () AS n FROM k)
+  SELECT seq, sub, CASE WHEN k <= greatest(1, CAST(floor(n * 0.1) AS INT)) THEN 'validation' ELSE 'train' END AS split FROM r""")
 def build_default(spark, sf):
     """Documents through a whole build: continuation examples, default curation and a split."""
-    docs = _t(spark, sf, "documents").select("text", "source")
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text", "source")
     result = build.build_dataset(spark, [docs], generator="continuation", validation_fraction=0.1)
     return result.train.select("seq", "sub", F.lit("train").alias("split")).union(result.validation.select("seq", "sub", F.lit("validation")))
+
+
+def _own_place(spark, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/quillmill/{uuid.uuid4().hex}/{name}"
+
+
+@query("SELECT event_id AS seq, row_number() OVER (ORDER BY event_id) + (row_number() OVER (ORDER BY event_id) - 1) // 10 AS line_no FROM events")
+def jsonl_lines(spark, sf):
+    """A JSONL file with a blank line after each tenth record, written in order and read again."""
+    rank = F.row_number().over(Window.orderBy("event_id"))
+    rows = _t(spark, sf, "events").select(F.col("event_id").alias("seq"), rank.alias("r"))
+    line = F.concat(F.lit('{"id": '), "seq", F.when(F.col("r") % 10 == 0, F.lit("}\n")).otherwise(F.lit("}")))
+    sinks.joined(rows.select("seq", line.alias("value")), ["seq"], path := _own_place(spark, "lines.jsonl"))
+    got = readers.read_jsonl(spark, path)
+    return got.select(F.get_json_object("raw", "$.id").cast("long").alias("seq"), "line_no")
+
+
+def _table_back(spark, sf, write) -> DataFrame:
+    rows = _t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("question"), F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("answer"))
+    path = write(rows)
+    return readers.read_table(spark, path).select("question", "answer")
+
+
+_PARTS = "SELECT p_partkey::VARCHAR AS question, p_name || ', \"' || p_type || '\"' AS answer FROM part"
+
+
+@query(_PARTS)
+def csv_table(spark, sf):
+    def write(rows):
+        rows.write.option("header", True).option("sep", ";").option("quoteAll", True).option("escape", '"').csv(path := _own_place(spark, "part.csv"))
+        return path
+
+    return _table_back(spark, sf, write)
+
+
+@query(_PARTS)
+def csv_table_compressed(spark, sf):
+    def write(rows):
+        rows.write.option("header", True).option("compression", "gzip").option("escape", '"').csv(path := _own_place(spark, "part.csv"))
+        return path
+
+    return _table_back(spark, sf, write)
+
+
+@query(_PARTS)
+def jsonl_table(spark, sf):
+    def write(rows):
+        rows.write.json(path := _own_place(spark, "part.jsonl"))
+        return path
+
+    return _table_back(spark, sf, write)
+
+
+@query(_PARTS)
+def json_table(spark, sf):
+    def write(rows):
+        whole = rows.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("question", "answer"))).alias("records"))).alias("value"))
+        whole.coalesce(1).write.text(path := _own_place(spark, "part.json"))
+        return path
+
+    return _table_back(spark, sf, write)
+
+
+@query("SELECT doc_id, sha256(text || chr(10)) AS sha256, (length(text) + 1)::INT AS chars FROM documents")
+def document_files(spark, sf):
+    """Each document as a file in a folder of its own, read as documents."""
+    folder = _own_place(spark, "documents")
+    _t(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(folder)
+    got = readers.read_documents(spark, folder)
+    return got.select(F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "sha256", F.length("text").alias("chars"))
+
+
+@query(f"""WITH {_CONV}, f AS (SELECT conv_id, m FROM conv WHERE len({_ISSUES}) = 0), l AS (SELECT conv_id, m, row_number() OVER (ORDER BY conv_id) AS n FROM f)
+  SELECT n AS seq, array_to_string(list_transform(m, lambda x: x.role || ':' || x.text), '|') AS told FROM l""")
+def examples_file(spark, sf):
+    """Valid conversations through the JSONL sink and the reader of datasets."""
+    conv = _conversations(spark, sf).where(F.size(M.issues(F.col("messages"))) == 0)
+    sinks.JsonlWriter("openai-chat").write(conv, path := _own_place(spark, "chat.jsonl"))
+    back = readers.read_examples(spark, path)
+    return back.select("seq", F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|").alias("told"))
+
+
+@query(f"""WITH {_CONV}, s AS (SELECT conv_id, CASE WHEN m[1].role = 'system' THEN m[1].text END AS system, CASE WHEN m[1].role = 'system' THEN m[2:] ELSE m END AS t FROM conv WHERE len({_ISSUES}) = 0)
+  SELECT conv_id AS seq, coalesce('system:' || system || '|', '') || 'user:' || t[1].text || '|assistant:' || t[2].text AS told FROM s WHERE len(t) = 2 AND t[1].role = 'user' AND t[2].role = 'assistant'""")
+def encode_decode_alpaca(spark, sf):
+    fine = _conversations(spark, sf).where(R.alpaca_fits(F.col("messages")) & (F.size(M.issues(F.col("messages"))) == 0))
+    back = fine.select("seq", R.decode_alpaca(F.try_parse_json(R.encode_alpaca(F.col("messages")))).alias("m"))
+    return back.select("seq", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|").alias("told"))
+
+
+@query(f"WITH {_CONV} SELECT conv_id AS seq, coalesce(list_sum(list_transform(list_filter(m, lambda x: x.role = 'assistant'), lambda x: {_approx('x.text')})), 0)::INT AS tokens FROM conv")
+def assistant_tokens(spark, sf):
+    return _conversations(spark, sf).select("seq", M.assistant_tokens(F.col("messages")).alias("tokens"))
+
+
+@query(f"""WITH {_CONV}, i AS (SELECT {_ISSUES} AS i FROM conv) SELECT count(*) AS total, count(*) FILTER (len(i) = 0) AS valid, (SELECT count(*) FROM (SELECT DISTINCT unnest(i) FROM i)) AS kinds,
+  coalesce(sum(len(list_filter(i, lambda x: x = 'last_not_assistant'))), 0)::BIGINT AS unanswered FROM i""")
+def validation_report(spark, sf):
+    report = validate.validate_records(_records(spark, sf).select("path", "line_no", "raw"))
+    row = (report.total, report.valid, len(report.issues), report.issues.get("last_not_assistant", 0))
+    return spark.createDataFrame([row], "total long, valid long, kinds long, unanswered long")
+
+
+@query("SELECT p_partkey AS seq, CASE WHEN p_size % 3 = 0 THEN 'Be ' || p_brand END AS system, trim(p_name) || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || p_type ELSE '' END AS question, trim(p_brand) AS answer FROM part")
+def template_context_and_system(spark, sf):
+    part = _t(spark, sf, "part").select(
+        "p_partkey", F.col("p_name").alias("instruction"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("").alias("input"),
+        F.col("p_brand").alias("output"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Be "), "p_brand")).otherwise(" ").alias("system"),
+    )
+    made = generate.template(part, seq="p_partkey")
+    return made.select("seq", M.system_of(F.col("messages")).alias("system"), F.element_at("messages", -2)["content"].alias("question"), F.element_at("messages", -1)["content"].alias("answer"))
+
+
+@query("SELECT p_partkey AS seq, 'Price of ' || p_name AS question, printf('%.2f', p_retailprice) || ' for ' || lpad(p_size::VARCHAR, 3, '0') AS answer FROM part")
+def template_format_specs(spark, sf):
+    made = generate.template(_t(spark, sf, "part"), "Price of {p_name}", "{p_retailprice:.2f} for {p_size:03d}", seq="p_partkey")
+    return made.select("seq", F.get("messages", 0)["content"].alias("question"), F.get("messages", 1)["content"].alias("answer"))
+
+
+@query(r"SELECT doc_id AS seq, len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::INT AS words, (len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END)::INT AS lines FROM documents WHERE text <> ''")
+def text_words_and_lines(spark, sf):
+    docs = _t(spark, sf, "documents").where("text <> ''")
+    return docs.select(F.col("doc_id").alias("seq"), F.size(T.words(F.col("text"))).alias("words"), F.size(T.lines(F.col("text"))).alias("lines"))
+
+
+def _opening(talk) -> str:
+    words = talk[0]["content"].rpartition("\n\n")[2].split(" ")
+    return json.dumps({"pairs": [{"question": f"What begins with {words[0]}?", "answer": " ".join(words[:8])}, {"question": "", "answer": "x"}]})
+
+
+@query(f"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)
+  SELECT doc_id AS seq, 'What begins with ' || string_split(t, ' ')[1] || '?' AS question, array_to_string(string_split(t, ' ')[1:8], ' ') AS answer FROM t WHERE t <> '' AND {_approx('t')} <= 6000""")
+def model_pairs(spark, sf):
+    """A model's pairs by a scripted provider: size guard, JSON in the reply, grounding."""
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "source", flat.alias("text"), F.lit("").alias("sha256"), F.lit(0).alias("index"))
+    made, _ = model.generate_with_model(docs, lambda: FakeProvider(_opening))
+    return made.select("seq", F.get("messages", 0)["content"].alias("question"), F.get("messages", 1)["content"].alias("answer"))
+
+
+@query(f"SELECT DISTINCT sha256({_NORM.format('event_type || props')}) AS fingerprint FROM events")
+def streamed_dedup(spark, sf):
+    """The exact dedup of streams over all events as one available batch."""
+    schema = _t(spark, sf, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").withColumn("told", F.concat("event_type", "props")).withColumn("ts", F.col("ts").cast("timestamp"))
+    out, state = _own_place(spark, "stream"), _own_place(spark, "state")
+    stream = dedup_stream(rows, "told", "ts").select("fingerprint").writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("fingerprint string").parquet(out)

@@ -81,7 +81,8 @@ def expanded(spark: SparkSession, path: str) -> list[str]:
     """``path`` itself, or the files that a glob with ``**`` names, which Spark does not know."""
     if "**" not in path:
         return [path]
-    root = re.match(r"(.*/)?[^/]*?(?=[*?\[])", path)[0].rpartition("/")[0] or ("/" if path.startswith("/") else ".")
+    fixed = re.match(r"[^*?\[]*", path)[0]  # up to the first sign of a glob
+    root = fixed.rpartition("/")[0] or ("/" if fixed.startswith("/") else ".")
     fs, target = _at(spark, root)
     if not fs.exists(target):
         return []

@@ -17,7 +17,7 @@ def encoded(examples: DataFrame, fmt: str) -> DataFrame:
     return examples.select("seq", "sub", R.ENCODERS[R.get_format(fmt)](F.col("messages")).alias("value"))
 
 
-def _joined(rows: DataFrame, order: list[str], path: str) -> int:
+def joined(rows: DataFrame, order: list[str], path: str) -> int:
     """Write ``value`` in order as one file and return its lines.
 
     Part files are written in parallel and joined as streams in the same file system; rows never
@@ -39,7 +39,7 @@ def write_jsonl(examples: DataFrame, path: str, fmt: str = "openai-chat", single
     """
     rows = encoded(examples, fmt)
     if single_file:
-        return _joined(rows, ["seq", "sub"], path)
+        return joined(rows, ["seq", "sub"], path)
     rows.repartitionByRange("seq", "sub").sortWithinPartitions("seq", "sub").select("value").write.mode("overwrite").text(path)
     return rows.count()
 
@@ -71,7 +71,7 @@ def write_lineage(train: DataFrame, validation: DataFrame, path: str) -> int:
     parts = [numbered(df.select(F.lit(i).alias("part"), F.lit(name).alias("split"), "seq", "sub", "source"), ["seq", "sub"], "index") for i, (name, df) in enumerate((("train", train), ("validation", validation)))]
     rows = parts[0].unionByName(parts[1])
     line = F.to_json(F.struct("split", F.col("index"), "source"), {"ignoreNullFields": "false"})
-    return _joined(rows.select("part", "index", line.alias("value")), ["part", "index"], path)
+    return joined(rows.select("part", "index", line.alias("value")), ["part", "index"], path)
 
 
 def lineage(train: DataFrame, validation: DataFrame) -> DataFrame:

@@ -198,3 +198,127 @@ def test_model_generator(spark):
     rows = docs(spark, "the quick brown fox jumps", "broken text here", "a long one", "  ")
     made, failed = model.generate_with_model(rows, lambda: FakeProvider(reply), prompts=wording("en"))
     assert qa(made) == [("what fox", "quick brown jumps")] and failed.count() == 2
+
+
+def test_continuation_of_a_very_long_document(spark):
+    """More blocks than once fitted a 32-bit place; all places differ."""
+    block = " ".join(f"This is sentence number {i} and it is long enough to count." for i in range(4))
+    made = generate.continuation(docs(spark, "\n\n".join([block] * 22_000)))
+    assert made.count() == 22_000 == made.select("seq", "sub").distinct().count()
+
+
+def test_keys_are_unique_over_chunks(spark):
+    """A passage repeated in another document's second chunk goes, and nothing else."""
+    para = [" ".join(f"{w}{i} is a word of sentence {i}." for i in range(30)) for w in "abc"]
+    cut = chunk.paragraphs(docs(spark, "\n\n".join(para[:2]), "\n\n".join([para[2], para[0]])), max_chars=300, min_chars=10)
+    made = generate.continuation(cut)
+    assert made.count() == made.select("seq", "sub").distinct().count()
+    whole = cut.select("seq", generate.place(F.lit(0)).alias("sub"), "source", M.qa(F.lit("q"), F.col("text")).alias("messages"))
+    assert whole.count() == 4 and curate.dedup(whole).count() == 3 and curate.near_duplicate(whole, roles=("assistant",)).count() == 3
+
+
+def test_fingerprints_compose(spark):
+    made = examples(spark, ("q", "café au lait"), ("q", "café  au LAIT"), ("q", "cafe au lait"))
+    assert sorted(r.seq for r in curate.dedup(made).collect()) == [0, 2]
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """Exact and near copies in one band: heads drop them, whatever the pairs; a plain greedy pass agrees."""
+    import random
+
+    from quillmill.operators import near
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(160):
+        w = base.copy()
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            w[rng.randrange(120)] = f"x{rng.randrange(10)}"
+        texts.append(" ".join(w))
+    made = examples(spark, *(("q", t) for t in texts))
+    signed = {r.seq: r.sig for r in made.select("seq", near.signatures(5, 64)(F.get("messages", 1)["content"]).alias("sig")).collect()}
+    kept = []
+    for i in range(160):
+        same = lambda j: sum(a == b for a, b in zip(signed[i], signed[j])) / 64  # noqa: B023, E731
+        band = lambda j: any(signed[i][b : b + 4] == signed[j][b : b + 4] for b in range(0, 64, 4))  # noqa: B023, E731
+        if not any(band(j) and same(j) >= 0.9 for j in kept):
+            kept.append(i)
+    assert 1 < len(kept) < 100
+    for dense in (near.DENSE, 0):
+        near.DENSE, old = dense, near.DENSE
+        try:
+            assert sorted(r.seq for r in curate.near_duplicate(made, roles=("assistant",)).collect()) == kept
+        finally:
+            near.DENSE = old
+
+
+def test_split_takes_the_smallest_ranks(spark):
+    made = examples(spark, *(("q", f"answer {i}") for i in range(300)))
+    for fraction in (0.01, 0.3, 0.999):
+        train, validation = curate.split_examples(made, fraction)
+        assert validation.count() == max(1, int(300 * fraction)) and train.count() + validation.count() == 300
+    assert curate.split(made.limit(1), 0.5).first().split == "train" and curate.split(made.limit(0), 0.5).count() == 0
+
+
+def test_compressed_tables_and_recursive_globs(spark, tmp_path):
+    body = "pergunta;resposta\n\"a;\nb\";c\nd;\n".encode()
+    for name, pack in (("t.csv.xz", lzma.compress), ("t.csv.gzip", gzip.compress), ("t.csv.gz", gzip.compress)):
+        (tmp_path / name).write_bytes(pack(body))
+        assert [tuple(r) for r in readers.read_table(spark, str(tmp_path / name)).collect()] == [("a;\nb", "c"), ("d", "")], name
+    for name, pack in (("t.jsonl.xz", lzma.compress), ("t.jsonl.gz", gzip.compress)):
+        (tmp_path / name).write_bytes(pack(b'{"question": "x", "answer": "y"}\n'))
+        assert readers.read_table(spark, str(tmp_path / name)).first().question == "x"
+    deep = tmp_path / "in" / "a" / "b"
+    deep.mkdir(parents=True)
+    for path in (tmp_path / "in" / "x.md", deep / "y.md", deep / "z.txt"):
+        path.write_text("text")
+    got = readers.read_documents(spark, str(tmp_path / "in/**/*.md")).collect()
+    assert sorted(r.source.rpartition("/")[2] for r in got) == ["x.md", "y.md"]
+    with pytest.raises(FileNotFoundError):
+        readers.read_documents(spark, str(tmp_path / "in/**/*.none"))
+
+
+def test_jsonl_lines_over_files_and_splits(spark, tmp_path):
+    for name, n in (("a.jsonl", 3000), ("b.jsonl.gz", 40), ("c.jsonl.xz", 5)):
+        text = "".join(json.dumps({"messages": [{"role": "user", "content": f"{name}{i}"}, {"role": "assistant", "content": "x" * 50}]}) + "\n" + "\n" * (i % 7 == 0) for i in range(n)).encode()
+        (tmp_path / name).write_bytes({"gz": gzip.compress, "xz": lzma.compress}.get(name.rpartition(".")[2], bytes)(text))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        lines = readers.read_jsonl(spark, str(tmp_path))
+        for r in lines.select("path", "line_no", F.get_json_object("raw", "$.messages[0].content").alias("c")).collect():
+            name, i = re.fullmatch(r"(.*?(?:jsonl|gz|xz))(\d+)", r.c).groups()
+            assert r.path.endswith(name) and r.line_no == int(i) + 1 + (int(i) + 6) // 7
+        made = readers.read_examples(spark, str(tmp_path))
+        assert made.count() == 3045 == made.select("seq").distinct().count()
+        assert [r.messages[0].content for r in made.orderBy("seq").limit(2).collect()] == ["a.jsonl0", "a.jsonl1"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "bad.jsonl").write_bytes(b"\xff\xfe\n")
+    with pytest.raises(errors.FormatError, match="UTF-8"):
+        readers.read_jsonl(spark, str(tmp_path / "bad.jsonl"))
+
+
+def test_template_specs_and_attributes(spark):
+    table = spark.createDataFrame([(1, "a", 2.5, ("v",)), (2, None, 3.0, ("w",))], "id int, name string, price double, more struct<k:string>")
+    assert [r[0] for r in table.select(generate.rendered("{name:>3}|{price:.2f}|{more[k]}|{id!r}|{{x}}", table.columns)).collect()] == ["a|2.50|v|1|{x}", "|3.00|w|2|{x}"]
+    for bad in ("{none}", "{", "{name.x} {no:3}"):
+        with pytest.raises(errors.ConfigError):
+            generate.rendered(bad, table.columns)
+
+
+def test_build_results_hold_all_sources_and_errors(spark):
+    rows = docs(spark, *("# T\n" + "w " * 60 for _ in range(3)))
+    result = build.build_dataset(spark, rows, generator="markdown")
+    assert result.sources.count() == 3 and result.errors is None
+
+
+def test_streamed_dedup(spark, tmp_path):
+    from quillmill.streaming.dedup import dedup_stream
+
+    rows = spark.createDataFrame([("café A",), ("café  a",), ("b",)], "told string").withColumn("at", F.timestamp_seconds(F.lit(1000)))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = dedup_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "told", "at")
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
