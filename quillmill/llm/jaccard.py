@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .components import components
-from .scratch import cut, partitions
+from .scratch import cut
 
 #: Most frequent shingles that may be told apart; only cost depends on it.
 FREQUENT = 1 << 18
@@ -366,7 +366,7 @@ def jaccard_rows(
     hot = spark.sparkContext.broadcast(often)
 
     rows = base.select("text").mapInArrow(_emit(shingle, hot, conflicts, num, den), "key long, cls long")
-    rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "cls")
+    rows = rows.repartition("key").sortWithinPartitions("key", "cls")
     groups = cut(rows.mapInArrow(_groups, "key long, cls long, first long, prev long"), "groups")
 
     near = groups.select(F.col("first").alias("a"), F.col("cls").alias("b")).union(groups.select("prev", "cls"))

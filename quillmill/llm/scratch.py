@@ -1,56 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables of the operators; see ``quillmill.tables``."""
 
-``cut`` writes a frame as Parquet under ``spark.checkpoint.dir`` and reads it back, which
-cuts lineage in a way that survives lost executors and is never recomputed.
-"""
+from ..tables import clear, cut, shared_dir
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where it is unset and local."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="quillmill-")
-    spark.sparkContext.setCheckpointDir(made)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and return a frame that reads the written table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quillmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear() -> None:
-    """Delete what ``cut`` has written; frames that still read it end here."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone at exit
-            return
-
-
-atexit.register(clear)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+__all__ = ["clear", "cut", "shared_dir"]

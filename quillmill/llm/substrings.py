@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .scratch import cut, partitions
+from .scratch import cut
 
 #: Words of the anchor that ends a prefix.
 ANCHOR = 8
@@ -239,7 +239,7 @@ def repeated_spans(
     bodies = base.join(places, (F.col("doc_id") == F.col("_id")) & (F.col("mark") == F.col("_mark")))
     words = cut(bodies.select("doc_id", "text", "asked").mapInArrow(_fetched(depth), _WORDS), "words")
 
-    trees = words.where("not hot").repartition(partitions(spark), "key").sortWithinPartitions("key", "seg").mapInArrow(_subtrees(depth, max_segments), _FOUND)
+    trees = words.where("not hot").repartition("key").sortWithinPartitions("key", "seg").mapInArrow(_subtrees(depth, max_segments), _FOUND)
     hot = words.where("hot")
     nodes = hot.groupBy("words").agg(F.min("doc_id").alias("least"))
     deep = hot.join(nodes, "words").where("least < last").select("key", "seg", F.col("n").alias("lo"), (F.col("n") + 1).alias("hi"), "least")
