@@ -1,13 +1,15 @@
 """Language identification by hierarchical discrimination.
 
 A first stage tells language families apart; within a family, one-versus-one linear support
-vector machines separate the related languages. All machines read relative frequencies of
-three- and four-byte letter grams of the whole text and are fitted by dual coordinate descent.
+vector machines separate the related languages, and only the chosen family's machines read a
+text. All read relative frequencies of three- and four-byte letter grams of the whole text and
+are fitted by dual coordinate descent. Codes that no listed family has are gathered into
+families of up to ``GATHERED`` by the likeness of their mean frequencies, so that the number of
+machines grows hardly faster than that of languages.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,13 +20,16 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from . import hashed
-from .linear import Rows, bounded_sample, held_out, hinge_by_dual_descent, logistic_scale
+from .linear import FEATURES, Rows, bounded_sample, fitted_in_one_task, held_out, hinge_by_dual_descent, logistic_scale
 
 BITS = 16
 #: Rows of each language that the machines learn from, at most.
 SAMPLE = 800
 SCALE = 40.0
 
+#: Languages of a family that is gathered from unlisted codes, at most.
+GATHERED = 8
+
 #: Families of common language codes; any other code is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy"),
@@ -36,8 +41,24 @@ FAMILIES = {
 }
 
 
-def family(code: str) -> str:
-    return next((name for name, codes in FAMILIES.items() if code in codes), f"own:{code}")
+def families_of(langs: list[str], rows: Rows, bits: int) -> dict[str, str]:
+    """Each code's family: the listed one, or one gathered with the unlisted codes most like it."""
+    found = {x: next((name for name, codes in FAMILIES.items() if x in codes), "") for x in sorted(set(langs))}
+    loose = [x for x, name in found.items() if not name]
+    if not loose:
+        return found
+    names = np.array(langs, dtype=object)
+    mean = np.stack([rows.transposed_dot((names == x).astype(float), 1 << bits) for x in loose])
+    mean /= np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
+    like = mean @ mean.T
+    rest = list(range(len(loose)))
+    while rest:
+        head = rest.pop(0)
+        near = sorted(rest, key=lambda i: -like[head, i])[: GATHERED - 1]
+        near = [i for i in near if like[head, i] >= 0.3]
+        rest = [i for i in rest if i not in near]
+        found |= {loose[i]: f"like:{loose[head]}" for i in [head, *near]}
+    return found
 
 
 def frequencies(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -69,86 +90,81 @@ class Machines:
 
     def __init__(self, langs: list[str], rows: Rows, bits: int):
         self.langs = sorted(set(langs))
-        self.families = sorted({family(x) for x in self.langs})
-        self.pairs: list[tuple[str, str, str]] = [("family", a, b) for a, b in combinations(self.families, 2)]
-        for name in self.families:
-            self.pairs += [("lang", a, b) for a, b in combinations([x for x in self.langs if family(x) == name], 2)]
-        size = 1 << bits
-        self.weight, self.bias, self.curve = np.zeros((max(1, len(self.pairs)), size), np.float32), np.zeros(len(self.pairs)), []
-        names = np.array(langs, dtype=object)
-        for i, (level, a, b) in enumerate(self.pairs):
-            of = np.array([family(x) for x in langs], dtype=object) if level == "family" else names
-            chosen = np.flatnonzero((of == a) | (of == b))
+        self.family = families_of(langs, rows, bits)
+        self.families = sorted(set(self.family.values()))
+        size, names = 1 << bits, np.array(langs, dtype=object)
+        of = np.array([self.family[x] for x in langs], dtype=object)
+
+        def fit(codes: np.ndarray, a: str, b: str):
+            """(weights, bias, slope, shift): of the rows of two codes a fifth is kept for the curve."""
+            chosen = np.flatnonzero((codes == a) | (codes == b))
             held = chosen[::5] if len(chosen) >= 10 else chosen
             fitted = np.setdiff1d(chosen, held) if len(chosen) >= 10 else chosen
-            sign = np.where(of == a, 1, -1)
-            w, c = hinge_by_dual_descent(rows.take(fitted), sign[fitted], size, epochs=12)
-            self.weight[i], self.bias[i] = w, c
-            self.curve.append(logistic_scale(rows.take(held).dot(w) + c, (sign[held] == 1).astype(int)))
-
-    def predict(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language numbers and scores from margins (machine, row)."""
-        n = margins.shape[1]
-        if not self.langs:
-            return np.zeros(n, dtype=np.int64), np.zeros(n)
-
-        def contest(level: str, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            won, least = np.zeros((len(names), n)), np.ones((len(names), n))
-            for i, (kind, a, b) in enumerate(self.pairs):
-                if kind == level and a in names and b in names:
-                    s, t = self.curve[i]
-                    p = 1 / (1 + np.exp(-np.clip(s * margins[i] + t, -30, 30)))
-                    for name, q in ((a, p), (b, 1 - p)):
-                        won[names.index(name)] += (q > 0.5) + q / (2 * len(names))
-                        least[names.index(name)] = np.minimum(least[names.index(name)], q)
+            w, c = hinge_by_dual_descent(rows.take(fitted), np.where(codes[fitted] == a, 1, -1), size, epochs=12)
+            w[0] = 0  # the number of places that hold no gram
+            return w.astype(np.float16), c, *logistic_scale(rows.take(held).dot(w) + c, (codes[held] == a).astype(int))
+
+        self.between = {(a, b): fit(of, a, b) for a, b in combinations(self.families, 2)}
+        self.within = {f: {(a, b): fit(names, a, b) for a, b in combinations(self.members(f), 2)} for f in self.families}
+
+    def members(self, family: str) -> list[str]:
+        return [x for x in self.langs if self.family[x] == family]
+
+    def predict(self, grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language numbers, scores and numbers of grams, for rows whose grams lie between offsets."""
+        n = len(offsets) - 1
+        lang, score, used = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        filled = np.flatnonzero(np.diff(offsets) > 0)
+        if not self.langs or not len(filled):
+            return lang, score, used
+        used[filled] = sum(np.add.reduceat((g > 0).astype(np.float64), offsets[filled]) for g in grams)
+
+        def contest(names: list[str], machines: dict, some: np.ndarray, grams: np.ndarray, starts: np.ndarray):
+            """The winner of each row and the least chance it has against another."""
+            won, least = np.zeros((len(names), len(some))), np.ones((len(names), len(some)))
+            for (a, b), (w, c, slope, shift) in machines.items():
+                margin = sum(np.add.reduceat(w[g].astype(np.float64), starts) for g in grams) / np.maximum(used[some], 1) * SCALE + c
+                p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -30, 30)))
+                for name, q in ((a, p), (b, 1 - p)):
+                    i = names.index(name)
+                    won[i] += (q > 0.5) + q / (2 * len(names))
+                    least[i] = np.minimum(least[i], q)
             best = won.argmax(axis=0)
-            return best, least[best, np.arange(n)]
+            return best, least[best, np.arange(len(some))]
 
-        chosen, sure = contest("family", self.families)
-        lang, score = np.zeros(n, dtype=np.int64), sure.copy()
+        chosen, sure = contest(self.families, self.between, filled, grams, offsets[filled])
         for f, name in enumerate(self.families):
-            own = [x for x in self.langs if family(x) == name]
-            best, p = contest("lang", own)
-            mine = chosen == f
-            lang[mine] = np.array([self.langs.index(x) for x in own])[best[mine]]
-            score[mine] *= p[mine]
-        return lang, score
-
+            mine = filled[chosen == f]
+            if not len(mine):
+                continue
+            sizes = np.diff(offsets)
+            ours = np.zeros(n, bool)
+            ours[mine] = True
+            own = grams[:, np.repeat(ours, sizes)] if len(mine) < len(filled) else grams
+            members = self.members(name)
+            best, p = contest(members, self.within[name], mine, own, np.cumsum(sizes[mine]) - sizes[mine])
+            lang[mine] = np.array([self.langs.index(x) for x in members])[best]
+            score[mine] = sure[chosen == f] * p
+        return lang, score, used
 
-def _fitted(bits: int):
-    """The pickled machines of all feature rows of the one task; the driver gets weights alone."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if got := [x for x in batches if x.num_rows]:
-            rows = pa.Table.from_batches(got).sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-            lists, values = ([np.asarray(x.values.to_numpy()) for x in rows[c]] for c in ("features", "values"))
-            machines = Machines(rows["lang"].to_pylist(), Rows(lists, values), bits)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machines)], pa.binary())], names=["model"])
+def _machines(bits: int):
+    def fit(rows: pa.Table) -> Machines:
+        lists, values = ([np.asarray(x.values.to_numpy()) for x in rows[c]] for c in ("features", "values"))
+        return Machines(rows["lang"].to_pylist(), Rows(lists, values), bits)
 
-    return run
+    return fit
 
 
 def _predict(model, bits: int, whole: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines: Machines = model.value
-        weight = np.ascontiguousarray(machines.weight.T)
         for batch in batches:
             for row, data, offsets in bw.chunks(batch.column(2)):
                 n = len(offsets) - 1
                 grams, _ = hashed.letter_grams(data, offsets, bits)
-                margins = np.zeros((weight.shape[1], n))
                 filled = np.flatnonzero(np.diff(offsets) > 0)
-                used = np.zeros(n)
-                if len(filled):
-                    used[filled] = sum(np.add.reduceat((g > 0).astype(np.float64), offsets[filled]) for g in grams)
-                    for i in range(weight.shape[1]):
-                        column = machines.weight[i].copy()
-                        column[0] = 0
-                        margins[i, filled] = sum(np.add.reduceat(column[g].astype(np.float64), offsets[filled]) for g in grams)
-                margins = margins / np.maximum(used, 1) * SCALE
-                if len(machines.pairs):
-                    margins += machines.bias[:, None]
-                lang, score = machines.predict(margins)
+                lang, score, used = machines.predict(grams, offsets)
                 texts = batch.column(2).slice(row, n)
                 plain = hashed.letter_bytes(data) != 0x20
                 some = np.zeros(n, dtype=bool)
@@ -171,20 +187,24 @@ def _predict(model, bits: int, whole: bool = False):
     return run
 
 
-def identify_language(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, fold: tuple[int, int] = (3, 1), carry: tuple[str, ...] = ()) -> DataFrame:
+def identify_language(
+    docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, fold: tuple[int, int] = (3, 1), carry: tuple[str, ...] = (), features: int = FEATURES
+) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs``, and its columns ``carry``.
 
-    Learned from rows with a language outside the held-out fold. Texts that are null or
-    have no letter, and all texts if nothing can be learned, are ``und`` with score 0.
+    Learned from rows with a language outside the held-out fold, up to ``sample`` rows and
+    ``features`` features of each. Texts that are null or have no letter, and all texts if nothing
+    can be learned, are ``und`` with score 0. Texts are read whole, however long. Repeated rows
+    are judged each, alike; rows with a null id are judged, and not learned from; of languages
+    level in votes the first in order wins; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = rows.where(F.col("text").isNotNull() & (F.trim("text") != "") & ~held_out("doc_id", *fold))
     chosen = bounded_sample(usable.select("doc_id", "lang"), "doc_id", "lang", sample)
     learned = usable.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text")  # `sample` rows a language at most
-    features = learned.mapInArrow(_featured(bits), "doc_id long, lang string, features array<int>, values array<float>")
-    found = features.repartition(1).mapInArrow(_fitted(bits), "model binary").toArrow()["model"].to_pylist()  # the sample is bounded
-    machines = pickle.loads(found[0]) if found else Machines([], Rows([], []), bits)
+    made = learned.mapInArrow(_featured(bits), "doc_id long, lang string, features array<int>, values array<float>")
+    machines = fitted_in_one_task(made, "lang", _machines(bits), features) or Machines([], Rows([], []), bits)
     model = spark.sparkContext.broadcast(machines)
     ids = F.col("doc_id").cast("long").alias("doc_id")
     carried = [F.col(c).alias(f"carry_{c}") for c in carry if c != "text"]  # the text goes along once

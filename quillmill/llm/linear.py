@@ -1,8 +1,13 @@
-"""Linear models fitted on the driver from a bounded sample (numpy only)."""
+"""Linear models fitted in one task from a bounded sample (numpy only)."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,14 +88,45 @@ def logistic_scale(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]
     return a / spread, b
 
 
+#: Features of each label that a model learns from, at most: very long texts do not make the
+#: sample's size unbounded.
+FEATURES = 2_000_000
+
+
 def bounded_sample(rows: DataFrame, key: str, label: str, limit: int) -> DataFrame:
     """At most ``limit`` rows of each label, those with the smallest hashes of the key.
 
     It needs only these two columns, is the same in every run, and can be broadcast: it has
-    ``limit`` rows a label at most.
+    ``limit`` rows a label at most. Counts give each label a bound on its hashes that leaves a
+    few more than ``limit`` rows (six deviations more, so that hardly ever one is missing); only
+    these are sorted, so a hot label does not meet in one task.
     """
+    rows = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    counts = rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_rows"))
+    place = (F.xxhash64(key) / 2.0**64 + 0.5)  # even over 0 to 1
+    near = rows.join(F.broadcast(counts), rows[label] == F.col("_label")).where(place * F.col("_rows") < limit + 6 * limit**0.5 + 50)
     order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return rows.where(F.col(key).isNotNull() & F.col(label).isNotNull()).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n", "_label", "_rows")
+
+
+def fitted_in_one_task(features: DataFrame, label: str, fit: Callable[[pa.Table], object], most: int = FEATURES) -> object:
+    """What ``fit`` makes of a table of (doc_id, ``label``, features, ...) rows; None without rows.
+
+    Of each label come rows in the order of their ids' hashes until ``most`` features are held.
+    The table lives in one task and only the model, pickled, reaches the driver.
+    """
+    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id", F.size("features"))
+    held = features.withColumn("_sum", F.sum(F.size("features").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    held = held.where(F.col("_sum") <= most).drop("_sum")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := [x for x in batches if x.num_rows]:
+            rows = pa.Table.from_batches(got)
+            rows = rows.take(pa.compute.sort_indices(rows.select(["doc_id", label]), [("doc_id", "ascending"), (label, "ascending")]))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    found = held.repartition(1).mapInArrow(run, "model binary").toArrow()["model"].to_pylist()
+    return pickle.loads(found[0]) if found else None
 
 
 def held_out(doc_id: str, parts: int, part: int):

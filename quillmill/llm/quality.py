@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from . import hashed
-from .linear import Rows, bounded_sample, held_out, hinge_by_dual_descent, logistic_scale
+from .linear import FEATURES, Rows, bounded_sample, fitted_in_one_task, held_out, hinge_by_dual_descent, logistic_scale
 
 BITS = 18
 #: Labelled rows of each class that the model learns from, at most.
@@ -87,20 +87,28 @@ def _score(model, bits: int, cut: float):
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, bits: int = BITS, threshold: float = 0.7, fold: tuple[int, int] = (4, 2)) -> DataFrame:
+def labelled(table: pa.Table) -> list[tuple[int, np.ndarray]]:
+    return [(y, np.asarray(f.values.to_numpy())) for y, f in zip(table["label"].to_pylist(), table["features"], strict=True)]
+
+
+def score_quality(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, bits: int = BITS, threshold: float = 0.7, fold: tuple[int, int] = (4, 2), features: int = FEATURES
+) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
     Labels of the held-out fold, null labels and labels other than 0 and 1 are not learned
-    from. Null and empty texts have no features and are scored by the bias. Repeated rows are
-    scored each; a null id is not held out.
+    from; at most ``sample`` rows and ``features`` features of each class are. Null and empty
+    texts have no features and are scored by the bias; texts of any length are scored whole.
+    Repeated rows are scored each, alike; a null id is not held out; without labels of both
+    classes all scores are equal; an empty table gives an empty one. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = bounded_sample(known.where(F.col("label").isin(0, 1) & ~held_out("doc_id", *fold)).distinct(), "doc_id", "label", sample)
     learned = rows.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")  # `sample` rows a class at most
-    got = learned.mapInArrow(_featured(bits), "doc_id long, label int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    texts = [(y, np.asarray(f.values.to_numpy())) for y, f in zip(got["label"].to_pylist(), got["features"], strict=True)]
-    model = spark.sparkContext.broadcast(fit(texts, bits))
+    made = learned.mapInArrow(_featured(bits), "doc_id long, label int, features array<int>")
+    found = fitted_in_one_task(made, "label", lambda rows: fit(labelled(rows), bits), features)
+    model = spark.sparkContext.broadcast(found or fit([], bits))
     marked = rows.select("doc_id", held_out("doc_id", *fold).alias("held_out"), "text")
     return marked.mapInArrow(_score(model, bits, threshold), "doc_id long, held_out boolean, score double, predicted int")

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from . import hashed
-from .linear import Rows, bounded_sample, held_out
+from .linear import FEATURES, Rows, bounded_sample, fitted_in_one_task, held_out
+from .quality import labelled
 
 #: Bits of a term's number: enough that rare words do not fall on a telling one's number.
 BITS = 40
@@ -124,20 +125,22 @@ def _score(model, bits: int):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, bits: int = BITS, fold: tuple[int, int] = (4, 2)) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, bits: int = BITS, fold: tuple[int, int] = (4, 2), features: int = FEATURES) -> DataFrame:
     """(doc_id, held_out, severity, p_toxic, grade, toxic) of every row of ``docs``.
 
     ``severity`` is the expected grade, ``toxic`` 1 where a grade of at least 1 is likelier
-    than not. Labels of the held-out fold, null and negative ones are not learned from. Null
-    and empty texts have no terms; without two labels nothing is toxic and severity is 0.
+    than not. Labels of the held-out fold, null and negative ones are not learned from, others
+    up to ``sample`` rows and ``features`` terms of each. Null and empty texts have no terms;
+    without two labels nothing is toxic and severity is 0. Repeated rows are scored each, alike;
+    very long texts whole; an empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = bounded_sample(known.where((F.col("label") >= 0) & ~held_out("doc_id", *fold)).distinct(), "doc_id", "label", sample)
     learned = rows.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")  # `sample` rows a label at most
-    got = learned.mapInArrow(_featured(bits), "doc_id long, label int, features array<long>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    texts = [(y, np.asarray(f.values.to_numpy())) for y, f in zip(got["label"].to_pylist(), got["features"], strict=True)]
-    model = spark.sparkContext.broadcast(fit(texts))
+    made = learned.mapInArrow(_featured(bits), "doc_id long, label int, features array<long>")
+    found = fitted_in_one_task(made, "label", lambda rows: fit(labelled(rows)), features)
+    model = spark.sparkContext.broadcast(found or fit([]))
     marked = rows.select("doc_id", held_out("doc_id", *fold).alias("held_out"), "text")
     return marked.mapInArrow(_score(model, bits), "doc_id long, held_out boolean, severity double, p_toxic double, grade int, toxic int")
