@@ -1,10 +1,13 @@
 """Licence scans by a trained paragraph classifier, in DataFrame operations only.
 
-A paragraph is a line. Its features are runs of one to three words that hold a word of the
-templates other than a function word. A softmax regression, trained on the driver from fixed templates and counter-examples, weighs them for each licence family and for the class ``unknown``, whose
-temperature is calibrated on paragraphs kept from training. A prediction is confirmed by
-comparison with the family's templates: enough of the paragraph's, or the template's, word
-pairs must be shared. Training touches no table, so its size is fixed.
+A paragraph is a line, each of its sentences, and a wrapped line with the two that follow it.
+Its features are runs of one to three words that hold a word of the templates other than a
+function word. A softmax regression, trained on the driver from fixed templates and
+counter-examples, weighs them for each licence family and for the class ``unknown``; its
+temperature is calibrated on templates and counter-examples of which the fit has seen no
+variant. A prediction is confirmed by comparison with the family's templates: enough of the
+paragraph's, or the template's, word pairs must be shared. Training touches no table, so its
+size is fixed.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Customary notices of each licence family.
@@ -61,6 +64,17 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     ),
+    "isc": (
+        "Released under the ISC License.",
+        "Licensed under the ISC license.",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "epl": (
+        "This program is made available under the terms of the Eclipse Public License, v. 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
@@ -133,25 +147,40 @@ def sentences_of(text: str) -> list[str]:
     return [x for x in re.split(r"(?<=[a-z)][.;])\s+", text) if len(words_of(x)) > 2]
 
 
-def training_rows(seed: int = 3, each: int = 12) -> list[tuple[str, list[str]]]:
-    """Templates, their sentences, counter-examples, and variants with words dropped or added."""
+def training_rows(seed: int = 3, each: int = 12) -> list[tuple[str, list[str], int]]:
+    """(family, words, text) of templates, their sentences, counter-examples, and variants of them
+    with words dropped or added; variants and parts of one text share its number."""
     rng = np.random.default_rng(seed)
-    rows: list[tuple[str, list[str]]] = []
+    rows: list[tuple[str, list[str], int]] = []
     vocabulary = sorted({w for t in OTHERS for w in words_of(t)})
-    for family, texts in [*TEMPLATES.items(), (UNKNOWN, OTHERS)]:
-        for text in dict.fromkeys(x for t in texts for x in (t, *sentences_of(t))):
+    bases = [(family, t) for family, texts in [*TEMPLATES.items(), (UNKNOWN, OTHERS)] for t in texts]
+    for number, (family, whole) in enumerate(bases):
+        for text in dict.fromkeys((whole, *sentences_of(whole))):
             words = words_of(text)
-            rows.append((family, words))
+            rows.append((family, words, number))
             for _ in range(each):
                 made = [w for w in words if rng.random() > 0.1] or words
                 at = int(rng.integers(len(made) + 1))
                 extra = [vocabulary[i] for i in rng.integers(len(vocabulary), size=int(rng.integers(0, 6)))]
-                rows.append((family, made[:at] + extra + made[at:]))
+                rows.append((family, made[:at] + extra + made[at:], number))
     pool = sorted({w for texts in TEMPLATES.values() for t in texts for w in words_of(t)})
-    for _ in range(40 * each):  # salads: licence words without their order are no licence
+    for i in range(40 * each):  # salads: licence words without their order are no licence
         mixed = pool if rng.random() < 0.3 else vocabulary
-        rows.append((UNKNOWN, [mixed[i] for i in rng.integers(len(mixed), size=int(rng.integers(1, 25)))]))
-    return rows + [(UNKNOWN, [w]) for w in pool for _ in range(3)]  # nor is one word alone
+        rows.append((UNKNOWN, [mixed[i] for i in rng.integers(len(mixed), size=int(rng.integers(1, 25)))], len(bases) + i))
+    return rows + [(UNKNOWN, [w], -1) for w in pool for _ in range(3)]  # nor is one word alone
+
+
+def _descended(x: np.ndarray, target: np.ndarray, rounds: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    w, b = np.zeros((x.shape[1], target.shape[1])), np.zeros(target.shape[1])
+    state = [np.full_like(w, 1e-8), np.full_like(b, 1e-8)]
+    for _ in range(rounds):
+        z = x @ w + b
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        for value, grad, past in zip((w, b), (x.T @ (p - target) / len(x) + ridge * w, (p - target).mean(axis=0)), state, strict=True):
+            past += grad**2
+            value -= 0.3 * grad / np.sqrt(past)
+    return w, b
 
 
 @lru_cache(maxsize=1)
@@ -159,35 +188,26 @@ def trained(rounds: int = 400, ridge: float = 0.002) -> tuple[list[str], dict[st
     """(classes, weights of each feature, biases, anchor words), temperature applied.
 
     Features are n-grams that hold an anchor, a template word that is no function word; a
-    paragraph without any feature has the biases alone and is unknown.
+    paragraph without any feature has the biases alone and is unknown. A first fit without a
+    fourth of the texts gives the temperature, a second one over all the weights.
     """
     rows = training_rows()
     classes = sorted(TEMPLATES) + [UNKNOWN]
     anchors = frozenset(w for texts in TEMPLATES.values() for t in texts for w in words_of(t)) - FUNCTION
-    found = [sorted(g for g in grams_of(w) if anchors & set(g.split())) for _, w in rows]
+    found = [sorted(g for g in grams_of(w) if anchors & set(g.split())) for _, w, _ in rows]
     counts: dict[str, int] = {}
     for grams in found:
         for g in grams:
             counts[g] = counts.get(g, 0) + 1
     names = sorted(g for g, n in counts.items() if n >= 4)
     place = {g: i for i, g in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
+    x = np.zeros((len(rows), len(names)), np.float32)
     for i, grams in enumerate(found):
         x[i, [place[g] for g in grams if g in place]] = 1
-    y = np.array([classes.index(c) for c, _ in rows])
-    held = np.arange(len(rows)) % 5 == 0
-    target = np.eye(len(classes))[y]
-    w, b = np.zeros((len(names), len(classes))), np.zeros(len(classes))
-    state = [np.full_like(w, 1e-8), np.full_like(b, 1e-8)]
-    fit = ~held
-    for _ in range(rounds):
-        z = x[fit] @ w + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        grads = x[fit].T @ (p - target[fit]) / fit.sum() + ridge * w, (p - target[fit]).mean(axis=0)
-        for value, grad, past in zip((w, b), grads, state, strict=True):
-            past += grad**2
-            value -= 0.3 * grad / np.sqrt(past)
+    y = np.array([classes.index(c) for c, _, _ in rows])
+    target = np.eye(len(classes), dtype=np.float32)[y]
+    held = np.array([number >= 0 and number % 4 == 1 for _, _, number in rows])
+    w, b = _descended(x[~held], target[~held], rounds // 2, ridge)
 
     def loss(t: float) -> float:
         z = (x[held] @ w + b) / t
@@ -195,7 +215,8 @@ def trained(rounds: int = 400, ridge: float = 0.002) -> tuple[list[str], dict[st
         return float(-(z[np.arange(held.sum()), y[held]] - np.log(np.exp(z).sum(axis=1))).mean())
 
     heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=loss)
-    return classes, {g: (w[i] / heat).tolist() for g, i in place.items()}, (b / heat).tolist(), anchors
+    w, b = _descended(x, target, rounds, ridge)
+    return classes, {g: (w[i] / heat).astype(float).tolist() for g, i in place.items()}, (b / heat).astype(float).tolist(), anchors
 
 
 def _words(text: Column) -> Column:
@@ -214,29 +235,52 @@ def _pairs(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])} or set(words))
 
 
-def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.5, overlap: float = 0.6) -> DataFrame:
+def _units(text: Column, wrap: int | None) -> Column:
+    """(paragraph, line, joined) of every line, and of each wrapped line joined with the two after it.
+
+    A line of ``wrap`` characters or more that ends in no stop counts as wrapped; ``paragraph`` is
+    the number of the (first) line.
+    """
+    def of(lines: Column) -> Column:
+        single = F.transform(lines, lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"), F.lit(False).alias("joined")))
+        if wrap is None:
+            return single
+        goes_on = lambda x, i: (F.length(x) >= wrap) & ~x.rlike(r"[.!?:;]\s*$") & (F.coalesce(F.get(lines, i + 1), F.lit("")) != "")
+        joined = F.transform(lines, lambda x, i: F.when(goes_on(x, i), F.struct(i.alias("paragraph"), F.array_join(F.slice(lines, i + 1, 3), " ").alias("line"), F.lit(True).alias("joined"))))
+        return F.concat(single, F.array_compact(joined))
+
+    return F.get(F.transform(F.array(F.split(text, "\r\n|\r|\n")), of), 0)
+
+
+def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.5, overlap: float = 0.6, wrap: int | None = 50) -> DataFrame:
     """(doc_id, paragraph, family, probability, overlap, confirmed): paragraphs that state a licence.
 
-    One row for each line whose most likely class is a family with at least ``least``
-    probability. ``overlap`` is the share of word pairs in common with the closest template of
-    the family, of the smaller side. Null and empty texts have no rows; repeated rows are
-    scanned each; a null doc_id is returned as such. Paragraphs count from 0.
+    A line, or one of its sentences, states the family that is its most likely class if that has
+    at least ``least`` probability; a line can so state several families, each of which gets one
+    row with its best figures. A wrapped line and the two after it count as one where no line
+    among them alone is confirmed for the family. ``overlap`` is the share of word pairs in
+    common with the closest template of the family, of the smaller side. Levels of probability
+    between classes go to the first family by name. Null and empty texts have no rows; texts are
+    read whole, however long; rows of one id and text are scanned as one, rows of one id with
+    other texts each; a null doc_id is returned as such; an empty table gives an empty one;
+    other columns are ignored. Paragraphs count from 0.
     """
     spark = docs.sparkSession
     classes, weights, biases, anchors = trained()
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    lines = base.select("doc_id", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("paragraph", "line")).withColumn("words", _words(F.col("line")))
+    lines = base.select("doc_id", F.xxhash64("text").alias("doc_mark"), F.inline(_units(F.col("text"), wrap)))
     # Lines without a feature are unknown whatever else they hold, so nothing is lost here.
-    lines = lines.where(F.exists("words", lambda w: w.isin(sorted(anchors))))
-    known = lines.withColumn("grams", F.filter(_grams(F.col("words")), lambda g: g.isin(sorted(weights)))).where(F.size("grams") > 0)
+    lines = lines.where(F.exists(_words(F.col("line")), lambda w: w.isin(sorted(anchors))))
+    parts = F.array_distinct(F.concat(F.array("line"), F.when(F.col("joined"), F.array().cast("array<string>")).otherwise(F.split("line", r"(?<=[.;!?])\s+"))))
+    lines = lines.select("doc_id", "doc_mark", "paragraph", "joined", F.explode(parts).alias("line"))
+    known = lines.withColumn("grams", F.filter(_grams(_words(F.col("line"))), lambda g: g.isin(sorted(weights)))).where(F.size("grams") > 0)
     table = spark.createDataFrame([(g, *w) for g, w in sorted(weights.items())], "gram string, " + ", ".join(f"w{i} double" for i in range(len(classes))))
-    keyed = known.select("doc_id", "paragraph", F.xxhash64("line").alias("mark"), "line", "grams")
+    keyed = known.select("doc_id", "doc_mark", "paragraph", "joined", F.xxhash64("line").alias("mark"), "line", "grams")
     grams = keyed.select("mark", F.explode("grams").alias("gram"), "line").distinct()
     summed = grams.join(F.broadcast(table), "gram").groupBy("mark", "line").agg(*(F.sum(f"w{i}").alias(f"s{i}") for i in range(len(classes))))
     logits = [F.exp(F.col(f"s{i}") + F.lit(b)) for i, b in enumerate(biases)]
     total = sum(logits[1:], logits[0])
-    chances = F.array(*(x / total for x in logits))
-    best = summed.select("mark", "line", chances.alias("chances")).withColumn("probability", F.array_max("chances"))
+    best = summed.select("mark", "line", F.array(*(x / total for x in logits)).alias("chances")).withColumn("probability", F.array_max("chances"))
     best = best.withColumn("family", F.element_at(F.array(*map(F.lit, classes)), F.array_position("chances", F.col("probability")).cast("int")))
     best = best.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
     words = _words(F.col("line"))
@@ -249,5 +293,11 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
             share = F.size(F.array_intersect("own", pairs)) / F.greatest(F.least(F.size("own"), F.size(pairs)), F.lit(1))
             close = F.greatest(close, F.when(F.col("family") == family, share).otherwise(0.0))
     best = best.withColumn("overlap", close).select("mark", "line", "family", F.round("probability", 6).alias("probability"), F.round("overlap", 6).alias("overlap"))
-    out = keyed.select("doc_id", "paragraph", "mark", "line").join(best, ["mark", "line"])
-    return out.select("doc_id", "paragraph", "family", "probability", "overlap", (F.col("overlap") >= overlap).alias("confirmed"))
+    hits = keyed.select("doc_id", "doc_mark", "paragraph", "joined", "mark", "line").join(best, ["mark", "line"])
+    stated = hits.groupBy("doc_id", "doc_mark", "paragraph", "family", "joined").agg(F.max("probability").alias("probability"), F.max("overlap").alias("overlap"))
+    stated = stated.withColumn("confirmed", F.col("overlap") >= overlap)
+    near = Window.partitionBy("doc_id", "doc_mark", "family").orderBy("paragraph").rangeBetween(0, 2)
+    alone = F.max(~F.col("joined") & F.col("confirmed")).over(near)
+    stated = stated.withColumn("alone", alone).where(~F.col("joined") | (F.col("confirmed") & ~F.col("alone")))
+    out = stated.groupBy("doc_id", "doc_mark", "paragraph", "family").agg(F.max("probability").alias("probability"), F.max("overlap").alias("overlap"), F.max("confirmed").alias("confirmed"))
+    return out.drop("doc_mark")

@@ -234,6 +234,27 @@ def test_packing_round_trip(spark, corpus):
     assert packing.pack_documents(table(spark, []), path).count() == 0
 
 
+def test_schedule_equals_a_plain_heap():
+    for seed in range(200):
+        rng = random.Random(seed)
+        shards_, sizes = rng.choice([1, 2, 5, 16]), sorted({rng.randint(1, 5000) for _ in range(rng.randrange(12))}, reverse=True)
+        histogram = [(s, rng.choice([1, 3, 70, 400])) for s in sizes]
+        loads, plain = [0] * shards_, Counter()
+        for size, number in histogram:
+            for _ in range(number):
+                shard = loads.index(min(loads))
+                loads[shard] += size
+                plain[size, shard] += 1
+        got, ranks = Counter(), Counter()
+        runs = list(shards.schedule(histogram, shards_))
+        for (size, rank, shard), after in zip(runs, [*runs[1:], None][: len(runs)], strict=True):
+            n = (after[1] if after and after[0] == size else dict(histogram)[size]) - rank
+            assert rank == ranks[size]
+            ranks[size] += n
+            got[size, shard] += n
+        assert got == plain
+
+
 def test_shards(spark, corpus):
     rows = shards.shard_documents(table(spark, corpus), shards=4).collect()
     body = [(t or "").encode() for t in corpus]
@@ -294,6 +315,34 @@ def test_neighbours_of_near_copies_at_the_production_block(spark):
         assert [got[q][i + 1] for i in range(20)] == best.tolist()
 
 
+def test_quantiser_ranks_by_its_tables():
+    """Of 8192 vectors the 250 best table scores hold nearly all of the 20 largest products."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(8192, 64))
+    quantiser = neighbours.Quantiser(x[:4000])
+    codes, found = quantiser.encode(x), []
+    tables = quantiser.tables(x[:60])
+    for q in range(60):
+        score = sum(tables[m][q][codes[:, m]] for m in range(tables.shape[0]))
+        found.append(len(np.intersect1d(np.argsort(-score)[:250], np.argsort(-(x @ x[q]))[:20])) / 20)
+    assert np.mean(found) >= 0.97
+
+
+def test_neighbours_defined_cases(spark):
+    """Other lengths, doubles, repeated ids, extra columns with clashing names, an empty table."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(1000 + 20 * i, [0.05 + i, 1.0, 2.0], 1) for i in range(5)] + [(1000, [0.05, 1.0, 2.0], 1), (None, [1.0] * 8, 1), (5000, [], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, d int").withColumn("score", F.lit(1)).withColumn("codes", F.lit("x"))
+    got = defaultdict(list)
+    for r in sorted(neighbours.nearest(frame, frame.where("vec_id % 20 = 0"), k=4).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert [(i, round(s, 12)) for i, s in got[1000]] == [(1080, 5.2025), (1060, 5.1525), (1040, 5.1025), (1020, 5.0525)] and set(got) == {*range(0, 300, 20), *range(1000, 1100, 20)}
+    best = np.argsort(-(x @ x[20]))
+    assert [i for i, _ in got[20]] == [i for i in best if i != 20][:4]
+    assert neighbours.nearest(frame.limit(0), frame).count() == 0
+
+
 def test_decontamination_tolerates_substitutions(spark):
     rng = random.Random(8)
     item = [f"b{i}" for i in range(30)]
@@ -338,6 +387,22 @@ def test_licenses(spark):
     got = {(r.doc_id, r.paragraph, r.family, r.confirmed) for r in licenses.scan_licenses(table(spark, texts)).collect()}
     assert got == {(0, 1, "apache", True), (1, 0, "mit", True), (5, 0, "gpl", True), (5, 1, "cc-by-nc", True)}
     assert licenses.scan_licenses(table(spark, [])).count() == 0
+    plan = licenses.scan_licenses(table(spark, texts))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_licenses_defined_cases(spark):
+    """Two notices on one line, wrapped notices, very long texts, repeated rows, null ids."""
+    prose = "The boat left the harbour early and came back late in the evening with a few fish. " * 2000
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction."
+    texts = [
+        "Some words first. Licensed under the Apache License, Version 2.0. Then more of them. Licensed under CC BY 4.0. The end.",
+        wrapped, prose + "All rights reserved. " + prose, "All rights reserved.", "All rights reserved.", "Released under the ISC License.", "This program is made available under the terms of the Eclipse Public License, v. 2.0.",
+    ]
+    rows = licenses.scan_licenses(table(spark, texts, [0, 1, 2, 3, 3, None, 6])).collect()
+    got = Counter((r.doc_id, r.family) for r in rows if r.confirmed)
+    assert set(got) == {(0, "apache"), (0, "cc-by"), (1, "mit"), (2, "proprietary"), (3, "proprietary"), (None, "isc"), (6, "epl")}
+    assert got[3, "proprietary"] == got[2, "proprietary"] == 1 and all(r.paragraph == 0 for r in rows if r.doc_id != 1)
 
 
 def test_licenses_find_every_template_and_sentence(spark):
@@ -345,9 +410,41 @@ def test_licenses_find_every_template_and_sentence(spark):
     asked = [(f, x) for f, texts in licenses.TEMPLATES.items() for t in texts for x in {t, *licenses.sentences_of(t)}]
     asked += [("proprietary", "All rights reserved."), ("mit", "Released under MIT"), ("cc-by", "Available under CC BY 4.0"), ("cc-by", "Creative Commons Attribution 4.0"), ("bsd", "BSD 3-Clause")]
     prose = [*licenses.OTHERS, "Mit.", "Mit und.", "Ungte mit.", "Of the.", "All of the work was done in version 3.", "He reserved a table for two.", "1. 2. 3. 4. 0."]
-    got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, [x for _, x in asked] + prose)).collect()}
-    assert [x for i, x in enumerate(asked) if i not in got or (got[i].family, got[i].confirmed) != (x[0], True)] == []
-    assert [prose[i - len(asked)] for i in got if i >= len(asked)] == []
+    got = defaultdict(set)
+    for r in licenses.scan_licenses(table(spark, [x for _, x in asked] + prose)).collect():
+        got[r.doc_id].add((r.family, r.confirmed))
+    assert [x for i, x in enumerate(asked) if (x[0], True) not in got[i]] == []
+    assert [prose[i - len(asked)] for i in got if i >= len(asked) and got[i]] == []
+
+
+def test_licenses_equal_a_plain_recomputation(spark):
+    """Units, features and decisions of mixed texts, recomputed word by word."""
+    rng = random.Random(21)
+    classes, weights, biases, anchors = licenses.trained()
+    pool = [t for texts in licenses.TEMPLATES.values() for t in texts] + list(licenses.OTHERS)
+    texts = []
+    for _ in range(60):
+        parts = [" ".join(w for w in rng.choice(pool).split() if rng.random() > 0.15) for _ in range(rng.randrange(1, 5))]
+        texts.append(rng.choice(["\n", " ", "\n\n"]).join(parts))
+
+    def judged(unit):
+        words = licenses.words_of(unit)
+        grams = {g for g in licenses.grams_of(words) if g in weights} if anchors & set(words) else set()
+        if not grams:
+            return None
+        z = np.array(biases) + sum(np.array(weights[g]) for g in grams)
+        p = np.exp(z) / np.exp(z).sum()
+        return (classes[int(p.argmax())], float(p.max())) if classes[int(p.argmax())] != licenses.UNKNOWN and p.max() >= 0.5 else None
+
+    expected = {}
+    for i, text in enumerate(texts):
+        for n, line in enumerate(text.split("\n")):
+            for unit in {line, *re.split(r"(?<=[.;!?])\s+", line)}:
+                if found := judged(unit):
+                    key = (i, n, found[0])
+                    expected[key] = max(expected.get(key, 0), round(found[1], 6))
+    got = {(r.doc_id, r.paragraph, r.family): r.probability for r in licenses.scan_licenses(table(spark, texts), wrap=None).collect()}
+    assert set(got) == set(expected) and all(abs(got[k] - expected[k]) < 2e-6 for k in got)
 
 
 @pytest.fixture(scope="module")
