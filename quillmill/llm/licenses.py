@@ -279,19 +279,20 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     grams = keyed.select("mark", F.explode("grams").alias("gram"), "line").distinct()
     summed = grams.join(F.broadcast(table), "gram").groupBy("mark", "line").agg(*(F.sum(f"w{i}").alias(f"s{i}") for i in range(len(classes))))
     logits = [F.exp(F.col(f"s{i}") + F.lit(b)) for i, b in enumerate(biases)]
-    total = sum(logits[1:], logits[0])
-    best = summed.select("mark", "line", F.array(*(x / total for x in logits)).alias("chances")).withColumn("probability", F.array_max("chances"))
-    best = best.withColumn("family", F.element_at(F.array(*map(F.lit, classes)), F.array_position("chances", F.col("probability")).cast("int")))
+    names = F.array(*map(F.lit, classes))
+
+    def chosen(e: Column) -> Column:
+        top = F.array_max(e)
+        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+        return F.struct((top / total).alias("probability"), F.element_at(names, F.array_position(e, top).cast("int")).alias("family"))
+
+    best = summed.select("mark", "line", F.get(F.transform(F.array(F.array(*logits)), chosen), 0).alias("of")).select("mark", "line", "of.*")
     best = best.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
     words = _words(F.col("line"))
     own = F.array_distinct(F.array_compact(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))))
-    best = best.withColumn("own", own)
-    close = F.lit(0.0)
-    for family, texts in TEMPLATES.items():
-        for t in texts:
-            pairs = F.array(*map(F.lit, _pairs(words_of(t))))
-            share = F.size(F.array_intersect("own", pairs)) / F.greatest(F.least(F.size("own"), F.size(pairs)), F.lit(1))
-            close = F.greatest(close, F.when(F.col("family") == family, share).otherwise(0.0))
+    told = spark.createDataFrame([(f, [_pairs(words_of(t)) for t in texts]) for f, texts in TEMPLATES.items()], "family string, told array<array<string>>")
+    best = best.withColumn("own", own).join(F.broadcast(told), "family")
+    close = F.array_max(F.transform("told", lambda x: F.size(F.array_intersect("own", x)) / F.greatest(F.least(F.size("own"), F.size(x)), F.lit(1))))
     best = best.withColumn("overlap", close).select("mark", "line", "family", F.round("probability", 6).alias("probability"), F.round("overlap", 6).alias("overlap"))
     hits = keyed.select("doc_id", "doc_mark", "paragraph", "joined", "mark", "line").join(best, ["mark", "line"])
     stated = hits.groupBy("doc_id", "doc_mark", "paragraph", "family", "joined").agg(F.max("probability").alias("probability"), F.max("overlap").alias("overlap"))
