@@ -73,29 +73,33 @@ def contaminated(
     ``share`` of the item's words if that is fewer, or if its whole overlap holds that share;
     an item below six words must be there word for word. ``matched_words`` are those of the
     run, or of the overlap where only it suffices. ``mark`` is the whole text's xxhash64, so
-    that rows of one id with different texts stay apart; repeated rows give one row. Null and
-    empty texts, null item ids, and items without words match nothing; a null doc_id is returned
-    as such.
+    that rows of one id with different texts stay apart; repeated rows give one row. Of items of
+    one id with different texts the best match counts, of matches level in words the one to the
+    shorter item. Null and empty texts, null item ids, and items without words match nothing; a
+    null doc_id is returned as such; texts of any length are read whole; an empty table on either
+    side gives an empty one; other columns are ignored.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text")).where("text is not null")
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), word_hashes(F.col(item_text).cast("string")).alias("h")).where("item_id is not null and h is not null")
+    items = items.distinct().withColumn("item", F.xxhash64("h"))  # rows of one id with other texts are items of their own
     short = {r["n"]: SHORT[r["n"]] for r in items.select(F.size("h").alias("n")).where(F.col("n").isin(*SHORT)).distinct().collect()}
-    asked = seeds(items.where(F.size("h") > 5), ["item_id"], masks)
+    asked = seeds(items.where(F.size("h") > 5), ["item_id", "item"], masks)
     for n, mask in short.items():
-        asked = asked.union(seeds(items.where(F.size("h") == n), ["item_id"], (mask,)))
+        asked = asked.union(seeds(items.where(F.size("h") == n), ["item_id", "item"], (mask,)))
     asked = asked.distinct().withColumnRenamed("at", "item_at")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_HASHES else asked
     found = seeds(base.withColumn("h", word_hashes(F.col("text"))), ["doc_id", "mark"], tuple(dict.fromkeys((*masks, *short.values()))))
-    hits = found.join(asked, "seed").select("doc_id", "mark", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    hits = found.join(asked, "seed").select("doc_id", "mark", "item_id", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = cut(hits, "hits")
     hit_docs = hits.select("doc_id", "mark").distinct()
     hit_docs = F.broadcast(hit_docs) if hit_docs.count() <= BROADCAST_DOCS else hit_docs
     same = base["doc_id"].eqNullSafe(hit_docs["doc_id"]) & (base["mark"] == hit_docs["mark"])
     bodies = cut(base.join(hit_docs, same, "left_semi").select("doc_id", "mark", word_hashes(F.col("text")).alias("d")), "bodies")
-    at = hits.join(items, "item_id")
+    at = hits.join(items, ["item_id", "item"])
     pairs = at.join(bodies, at["doc_id"].eqNullSafe(bodies["doc_id"]) & (at["mark"] == bodies["mark"])).select(at["doc_id"], at["mark"], "item_id", "diagonal", "h", "d")
     scored = pairs.select("doc_id", "mark", "item_id", F.size("h").alias("item_words"), _equal_words(F.col("d"), F.col("h"), F.col("diagonal")).alias("e"))
     part = F.when(F.col("item_words") < 6, F.col("item_words")).otherwise(F.ceil(F.col("item_words") * share))
     words = F.when(F.col("e.words") >= F.least(F.lit(least_words), part), F.col("e.words")).when(F.col("e.all") >= part, F.col("e.all"))
-    best = scored.withColumn("words", words).groupBy("doc_id", "mark", "item_id")
-    return best.agg(F.max("words").alias("matched_words"), F.first("item_words").alias("item_words")).where("matched_words is not null")
+    best = scored.withColumn("words", words).where("words is not null").groupBy("doc_id", "mark", "item_id")
+    best = best.agg(F.max(F.struct("words", (-F.col("item_words")).alias("less"))).alias("best"))
+    return best.select("doc_id", "mark", "item_id", F.col("best.words").alias("matched_words"), (-F.col("best.less")).alias("item_words"))

@@ -382,6 +382,53 @@ def test_decontamination_of_short_items_with_a_fifth_substituted(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(table(spark, texts), bench).collect()} == expected
 
 
+def test_decontamination_equals_brute_force(spark):
+    """Every alignment of every pair, scored plainly; items of one id with two texts, repeated rows, null ids."""
+    rng = random.Random(31)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.choice([4, 6, 9, 15, 22, 40]))]) for i in range(14)]
+    items += [(3, [rng.choice(vocabulary) for _ in range(18)]), items[5]]
+    texts = []
+    for _ in range(90):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(80))]
+        if rng.random() < 0.8:
+            _, item = rng.choice(items)
+            a = rng.randrange(len(item)) if rng.random() < 0.3 else 0
+            part = [w if rng.random() > rng.choice([0, 0.1, 0.25]) else rng.choice(vocabulary) for w in item[a:]]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = part
+        texts.append(" ".join(words))
+    ids = [None if i == 40 else i // 2 for i in range(90)]
+
+    def matched(doc, item):
+        best = None
+        part = len(item) if len(item) < 6 else -(-len(item) * 8 // 10)
+        for diagonal in range(-len(item) + 1, len(doc)):
+            score = equal = top = words = whole = 0
+            for i in range(max(0, -diagonal), min(len(item), len(doc) - diagonal)):
+                same = doc[i + diagonal] == item[i]
+                score, whole = max(0, score + (1 if same else -2)), whole + same
+                equal = 0 if score == 0 else equal + same
+                if score > top:
+                    top, words = score, equal
+            found = words if words >= min(12, part) else whole if whole >= part else None
+            best = max(filter(None, (best, found)), default=None)
+        return best
+
+    expected = {}
+    for i, text in zip(ids, texts, strict=True):
+        for item_id, item in items:
+            if found := matched(text.split(), item):
+                key = (i, text, item_id)
+                expected[key] = max(expected.get(key, (0, -99)), (found, -len(item)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(None, texts[0]), (99, None), (98, "")], "item_id long, text string")
+    docs = table(spark, texts + texts[:3], ids + ids[:3])
+    marks = {(r.doc_id, r.m): r.text for r in docs.select("doc_id", "text", F.xxhash64("text").alias("m")).collect()}
+    rows = decontam.contaminated(docs, bench).collect()
+    assert {(r.doc_id, marks[r.doc_id, r.mark], r.item_id): (r.matched_words, -r.item_words) for r in rows} == expected and len(rows) == len(expected)
+    assert decontam.contaminated(docs, bench.limit(0)).count() == 0
+
+
 def test_licenses(spark):
     texts = ["text here\nLicensed under the Apache License, Version 2.0.\nmore", "Released under the MIT License.", "He has a fishing license for the lake.", None, "", "This work is licensed under the GNU General Public License, version 3.\r\nLicensed under CC BY-NC 4.0.", "Permission was granted to build the house."]
     got = {(r.doc_id, r.paragraph, r.family, r.confirmed) for r in licenses.scan_licenses(table(spark, texts)).collect()}
