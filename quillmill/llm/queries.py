@@ -72,8 +72,9 @@ QUERIES = {
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-#: Repeats of fifty words are exact text conditions, so SQL can state them; likewise the
-#: nearest neighbours, whose recall is measured in tests, have none.
+#: Exact conditions on texts, which SQL can state: repeats of fifty words, and links of shingle
+#: sets with their components. Trained models, packings and schedules are held against plain
+#: recomputations and brute force in tests; so are neighbours, whose sums SQL adds in another order.
 ORACLES: dict[str, str] = {
     "op8_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -86,4 +87,13 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
                sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN lost USING (doc_id)""",
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS met FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT x, y FROM pair JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * met >= 80 * (a.n + b.n - met)),
+        reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN link ON x = r)
+        SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)""",
 }
