@@ -1,6 +1,6 @@
 """Corpus pipeline: five stages over ``documents``, each written and read again.
 
-Language ID drops texts without a letter and nothing else, the n-gram Jaccard join keeps one
+Language ID drops texts without a letter and names the language where none is given, the n-gram Jaccard join keeps one
 document of each near-duplicate group, substring dedup cuts passages that repeat an earlier
 document, decontamination drops documents that hold benchmark passages, and best-fit packing
 turns what is left into sequences.
@@ -36,17 +36,22 @@ def join_rows(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a letter: only ``und`` goes (no text, or no letter in it).
+    """Documents whose text has a letter, with a null ``lang`` set to the language found.
 
-    Neither the language found nor its score decides anything here, and ``lang`` stays as it is;
-    where no language can be learned, all texts are ``und`` and go.
+    Only ``und`` goes (no text, or no letter in it); a low score drops nothing, since it does not
+    tell a poor document from a good one. Rows with a null id stay, repeated rows too. Where no
+    language can be learned, all texts are ``und`` and go. An empty table stays empty.
     """
     found = langid.identify_language(docs, carry=tuple(c for c in COLUMNS if c != "doc_id"))
-    return found.where("lang_pred <> 'und' and text is not null").select(COLUMNS)
+    return found.where("lang_pred <> 'und' and text is not null").withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked ones: the smallest id's, a null id last."""
+    """One row of each group of linked ones: the smallest id's, a null id last.
+
+    Of repeated rows one stays; texts without words link with nothing, so of equal ones under
+    different ids all stay. An empty table stays empty.
+    """
     found = jaccard.jaccard_rows(docs, shingle=5, threshold=(80, 100)).select("label", "doc_id", "mark")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     whole = found.where("label is not null").groupBy("label", "doc_id", "mark").agg(F.count(F.lit(1)).alias("times"))
@@ -64,7 +69,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words that repeat fifty words of an earlier document.
 
-    A text that loses nothing stays as it is; one that loses all its words goes.
+    A text that loses nothing stays as it is; one that loses all its words goes. Order is that of
+    ids, then texts, null ids last. An empty table stays empty.
     """
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
     rows = docs.withColumn("own_id", F.col("doc_id")).withColumn("whole", F.col("text"))
@@ -80,13 +86,14 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages, null ids included. An empty table stays empty."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.contaminated(docs, benchmark).select("doc_id", "mark").distinct()
     return join_rows(docs, found, "left_anti").select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of whole documents; null ids and repeated rows are packed like others. None of an empty table."""
     return packing.pack_documents(docs, tokenizer_path(), capacity=2048, end_id=0)
 
 
