@@ -15,6 +15,8 @@ A document is the set of its distinct word shingles. Two documents link when
    ones. A class with more than ``k`` cold pieces emits these alone: one of them must agree.
    Other classes emit every piece, empty ones included. The list of frequent shingles is
    bounded and steers cost only; results do not depend on it.
+   Only a piece without a cold shingle can be common to very many classes; its group is
+   salted by class, and the first members of the parts meet in a second step.
 4. Within a piece's group, neighbours and the first member are verified on whole sets, and
    verified links give components. Members of groups that still span components then meet
    in blocks: a dense sketch of each set gives a Hamming distance that cannot exceed the
@@ -27,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
@@ -44,6 +46,8 @@ MEMORY = 1 << 16
 CONFLICTS = 1 << 20
 #: Members of a block of an open group; pairs of blocks are compared by sketches.
 BLOCK = 2048
+#: Parts of the group of a piece that may be common.
+SALTS = 64
 #: Candidate classes up to this number are broadcast to fetch their texts (16 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -142,15 +146,15 @@ def _links_bound(n: int, other: int, num: int, den: int) -> int:
     return (den - num) * (n + other) // (den + num)
 
 
-def piece_keys(found: np.ndarray, hot: np.ndarray, edges: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the sketch pieces that a set emits, over its own and lower bands."""
+def piece_keys(found: np.ndarray, hot: np.ndarray, edges: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the sketch pieces that a set emits, over its own and lower bands, and which may be common."""
     n = len(found)
     low = -(-n * num // den)
     top = int(np.searchsorted(edges, n, side="right")) - 1
     bottom = int(np.searchsorted(edges, max(low, 1), side="right")) - 1
     cold_token = ~np.isin(found, hot, assume_unique=True) if len(hot) else np.ones(n, dtype=bool)
     place, bit = bw.mix(found ^ np.uint64(0xA0761D6478BD642F)), bw.mix(found ^ np.uint64(0xE7037ED1A0B428DB))
-    out = []
+    out, common = [], []
     for band in range(bottom, top + 1):
         hi = int(edges[band + 1]) - 1
         size = _pieces(hi, num, den)
@@ -163,68 +167,75 @@ def piece_keys(found: np.ndarray, hot: np.ndarray, edges: np.ndarray, num: int,
         other = min(n * den // num, hi if band < top else n * den // num)
         if int(cold.sum()) > _links_bound(n, other, num, den):
             used, value = used[cold], value[cold]
+            common.append(np.zeros(len(used), dtype=bool))
         else:
-            full = np.zeros(size, dtype=np.uint64)
-            full[used] = value
+            full, rare = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=bool)
+            full[used], rare[used] = value, cold
             used, value = np.arange(size), full
+            common.append(~rare)
         out.append(bw.mix(value ^ bw.mix(used.astype(np.uint64) + np.uint64((band + 1) << 40))))
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate(common)
 
 
 def _emit(k: int, hot, conflicts, num: int, den: int):
-    """(key, class) rows of every class that a chunk holds."""
+    """(key, salt, class) rows of every class that a chunk holds; the salt is 0 but for common pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, edges, shared = hot.value, _bands(1 << 20), conflicts.value
         for batch in batches:
             for _, data, offsets in bw.chunks(batch.column(0)):
-                keys, classes, done = [], [], set()
+                keys, salts, classes, done = [], [], [], set()
                 for found in shingle_sets(data, offsets, k):
                     if not len(found) or (cls := _told_apart(_class_id(found), found, shared)) in done:
                         continue
                     done.add(cls)
                     if len(found) >= edges[-2]:
                         edges = _bands(2 * len(found))
-                    keys.append(piece_keys(found, often, edges, num, den))
+                    made, common = piece_keys(found, often, edges, num, den)
+                    keys.append(made)
+                    salts.append(np.where(common, 1 + cls % SALTS, 0).astype(np.int32))
                     classes.append(np.full(len(keys[-1]), cls, dtype=np.int64))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], names=["key", "cls"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys).view(np.int64), np.concatenate(salts), np.concatenate(classes))], names=["key", "salt", "cls"])
 
     return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of groups of two or more, from rows sorted by (key, class), with first and previous member.
+    """Members of groups of two or more, from rows sorted by (key, salt, class), with first and previous member.
 
-    Streams: the last row is held back until it is known whether its group goes on.
+    Salted groups are parts of larger ones, so all their members are returned. Streams: the last
+    row is held back until it is known whether its group goes on.
     """
-    held: tuple | None = None  # key, class, first, previous, not the group's first
+    held: tuple | None = None  # key, salt, class, first, previous, not the group's first
+    names = ["key", "salt", "cls", "first", "prev"]
 
-    def flush(key, cls, first, prev, later, goes_on):
-        keep = later | goes_on
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, cls, first, prev)], names=["key", "cls", "first", "prev"])
+    def flush(key, salt, cls, first, prev, later, goes_on):
+        keep = later | goes_on | (salt > 0)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, salt, cls, first, prev)], names=names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, cls = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        key, salt, cls = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if held:
-            key, cls = np.append(np.int64(held[0]), key), np.append(np.int64(held[1]), cls)
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls = key[new], cls[new]
-        same = np.zeros(len(key), dtype=bool)
-        same[1:] = key[1:] == key[:-1]
+            key, salt, cls = np.append(np.int64(held[0]), key), np.append(np.int32(held[1]), salt), np.append(np.int64(held[2]), cls)
+        group = np.ones(len(key), dtype=bool)
+        group[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        new = group.copy()
+        new[1:] |= cls[1:] != cls[:-1]
+        key, salt, cls, same = key[new], salt[new], cls[new], ~group[new]
+        same[0] = False
         begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
         first, prev, later = cls[begin], np.where(same, np.roll(cls, 1), cls), same.copy()
         if held:
-            first[begin == 0] = held[2]
-            prev[0], later[0] = held[3], held[4]
+            first[begin == 0] = held[3]
+            prev[0], later[0] = held[4], held[5]
         if len(key) > 1:
-            yield flush(key[:-1], cls[:-1], first[:-1], prev[:-1], later[:-1], same[1:])
-        held = key[-1], cls[-1], first[-1], prev[-1], later[-1]
+            yield flush(key[:-1], salt[:-1], cls[:-1], first[:-1], prev[:-1], later[:-1], same[1:])
+        held = key[-1], salt[-1], cls[-1], first[-1], prev[-1], later[-1]
     if held:
-        yield flush(*(np.array([x]) for x in held[:4]), np.array([held[4]]), np.array([False]))
+        yield flush(*(np.array([x]) for x in held[:5]), np.array([held[5]]), np.array([False]))
 
 
 def parity_sketch(found: np.ndarray) -> np.ndarray:
@@ -365,11 +376,19 @@ def jaccard_rows(
     often = np.sort(top.select("often").toArrow()["often"].to_numpy().view(np.uint64))  # as Arrow: rows as objects take some 100 MB
     hot = spark.sparkContext.broadcast(often)
 
-    rows = base.select("text").mapInArrow(_emit(shingle, hot, conflicts, num, den), "key long, cls long")
-    rows = rows.repartition("key").sortWithinPartitions("key", "cls")
-    groups = cut(rows.mapInArrow(_groups, "key long, cls long, first long, prev long"), "groups")
+    rows = base.select("text").mapInArrow(_emit(shingle, hot, conflicts, num, den), "key long, salt int, cls long")
+    rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "cls")
+    parts = cut(rows.mapInArrow(_groups, "key long, salt int, cls long, first long, prev long"), "groups")
+    salted = parts.where("salt > 0")
+    shared = salted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    salted = cut(salted.join(shared, "key", "left_semi"), "salted")
+    groups = parts.where("salt = 0").union(salted.select(parts.columns))
+    # First members of a common piece's parts, a row a salt at most, meet like members of a group.
+    heads = Window.partitionBy("key").orderBy("cls")
+    joint = salted.where("cls = first").select("key", "cls", F.first("cls").over(heads).alias("first"), F.lag("cls", 1).over(heads).alias("prev"))
 
     near = groups.select(F.col("first").alias("a"), F.col("cls").alias("b")).union(groups.select("prev", "cls"))
+    near = near.union(joint.select("first", "cls")).union(joint.where("prev is not null").select("prev", "cls"))
     pairs = cut(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
     needed = groups.select("cls").distinct()

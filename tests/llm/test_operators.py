@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,36 @@ def brute_components(texts, num=80, den=100):
     return {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+def test_jaccard_groups_stream_over_batches():
+    """First and previous members do not depend on where batches end; salted groups are returned whole."""
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(k), int(k % 3 == 0) * int(s), int(c)) for k, s, c in zip(rng.integers(0, 30, 200), rng.integers(1, 4, 200), rng.integers(0, 50, 200), strict=True)})
+    rows = sorted(rows + rows[:20])
+    expected = []
+    for key, salt in sorted({r[:2] for r in rows}):
+        members = sorted({r[2] for r in rows if r[:2] == (key, salt)})
+        if salt or len(members) > 1:
+            expected += [(key, salt, c, members[0], members[max(0, i - 1)]) for i, c in enumerate(members)]
+    for size in (1, 2, 7, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a : a + size]], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["key", "salt", "cls"]) for a in range(0, len(rows), size)]
+        got = [tuple(x.values()) for b in jaccard._groups(iter(batches)) for x in b.to_pylist()]
+        assert got == expected
+
+
+def test_jaccard_join_of_a_common_group(spark):
+    """Near copies of one text, whose shingles are all frequent, and whose pieces are salted."""
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        w = base.copy()
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            w[rng.randrange(60)] = f"x{rng.randrange(20)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
 @pytest.mark.parametrize("num", [80, 20, 55, 100])
 def test_jaccard_join_is_exact(spark, corpus, num):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, corpus), threshold=(num, 100)).collect()}
@@ -89,8 +120,8 @@ def test_jaccard_pieces_lose_no_link():
             if 100 * both < num * (n + len(other) - both):
                 continue
             hot = np.sort(rng.permutation(found)[: n // 2])
-            a, b = (jaccard.piece_keys(x, hot, jaccard._bands(1 << 20), num, 100) for x in (found, other))
-            assert len(np.intersect1d(a, b))
+            (a, common), (b, _) = (jaccard.piece_keys(x, hot, jaccard._bands(1 << 20), num, 100) for x in (found, other))
+            assert len(np.intersect1d(a, b)) and len(common) == len(a)
 
 
 def test_jaccard_defined_cases(spark, monkeypatch):
