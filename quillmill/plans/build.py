@@ -231,7 +231,8 @@ def build_dataset(
         return DatasetBuilder(name, described=described, **common).finish(_template_rows(spark, sources, options), None, documents, out)
     title, cutter, options = _planned(name if isinstance(generator, str) else generator, chunker, lang, chunk_options, dict(options), provider, model)
     if generate.needs_provider(name):
-        params |= {"model": model or "", "prompts": L.prompt_fingerprint(name, options.get("prompts") or wording(lang))}
+        options.setdefault("counter", counter)
+        params |= {"provider": provider if isinstance(provider, str) else type(provider).__name__, "model": model or "", "prompts": L.prompt_fingerprint(name, options.get("prompts") or wording(lang))}
     described = {"generator": {"name": name, "params": params}, "chunker": {"name": title}}
     made = DatasetBuilder(name if isinstance(generator, str) else generator, cutter, options=options, described=described, **common)
     return made.build(documents, out)

@@ -92,7 +92,7 @@ def read_documents(spark: SparkSession, sources) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     """A dense number in a total order: partitions are sorted by range and shifted by the sizes before."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_i", F.monotonically_increasing_id() - F.col("_p").cast("long") * F.lit(2**33)).cache()
+    ranged = cut(ranged.withColumn("_i", F.monotonically_increasing_id() - F.col("_p").cast("long") * F.lit(2**33)), "numbered")
     sizes = ranged.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranged.join(F.broadcast(sizes.select("_p", "_before")), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
 

@@ -3,7 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+TESTS = os.path.dirname(os.path.abspath(__file__))
+ROOT = os.path.dirname(TESTS)
+sys.path.insert(0, ROOT)
 
 
 @pytest.fixture(scope="session")
@@ -15,6 +17,6 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.environment["PYTHONPATH"] = sys.path[0]
+    session.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{TESTS}"  # workers import the library and functions of tests
     yield session
     session.stop()
