@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+#: Buckets of a group are as many as the session's shuffle partitions, but no fewer than this.
+LEAST = 16
 
 
-def with_rank(df: DataFrame, group: str, order: list[str], rank: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``rank`` (long, gapless from 0 within ``group``), fixed by ``order`` alone.
+def with_rank(df: DataFrame, group: str, order: list[str], rank: str) -> DataFrame:
+    """Add ``rank`` (long, gapless from 0 within ``group``), fixed by ``order`` and the number of buckets.
 
     ``df`` should be cheap to read twice (a written table). Rows equal in all of ``order``
     get neighbouring ranks in either order.
     """
+    buckets = max(LEAST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     made = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = made.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -112,7 +112,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", t
     sizes = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).repartition(1).sortWithinPartitions(F.desc("bytes"))
     runs = cut(sizes.mapInArrow(_scheduled(shards), "bytes long, starts array<long>, shards array<int>"), "runs")
     runs = F.broadcast(runs) if runs.count() <= BROADCAST_SIZES else runs
-    ranked = with_rank(groups, "bytes", ["digest"], "rank", buckets=16).select("digest", "bytes", "rank")
+    ranked = with_rank(groups, "bytes", ["digest"], "rank").select("digest", "bytes", "rank")
     shard = F.element_at("shards", F.size(F.filter("starts", lambda x: x <= F.col("rank"))))
     placed = cut(base.join(ranked.join(runs, "bytes").select("digest", shard.alias("shard")), "digest").drop("digest"), "placed")
     out = with_rank(placed, "shard", ["doc_id", "text_crc32", "size"], "slot")
