@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from test_operators import brute_components
 from quillmill.llm.scratch import cut
 
 
@@ -78,3 +79,68 @@ def test_stages_decide_on_rows_not_ids(spark, tmp_path):
     left = {(i, t) for _, i, t in kept["benchmark_decontamination"]}
     assert left >= {*clean, (6, other), (None, bare)} and len(left) == len(kept["benchmark_decontamination"]) == len(whole) - 2
     assert not any(item in t for _, t in left)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Each stage recomputed plainly on what its predecessor kept."""
+    pytest.importorskip("public_tokenizers")
+    rng = random.Random(23)
+    stock = [f"w{chr(97 + i % 26)}{i}" for i in range(250)]
+    base = [[rng.choice(stock) for _ in range(rng.choice([4, 30, 90, 160]))] for _ in range(40)]
+    passage, items = [rng.choice(stock) for _ in range(64)], [[rng.choice(stock) for _ in range(n)] for n in (8, 20, 33)]
+    rows = []
+    for i, w in enumerate(base):
+        rows.append(w)
+        if i % 3 == 0:
+            rows.append([x if rng.random() > 0.01 else "odd" for x in w])
+        if i % 5 == 0:
+            rows.append(w[:50] + passage + w[50:] + (rng.choice(items) if i % 2 else []))
+    rng.shuffle(rows)
+    full = [(i, " ".join(w), "en" if i % 4 else None, "s", 0) for i, w in enumerate(rows)] + [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "1 2 3", "en", "s", 0)]
+    spark.createDataFrame(full, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, texts = spark.read.parquet(f"{tmp_path}/documents.parquet"), {i: t for i, t, *_ in full}
+
+    def after(name):
+        nonlocal docs
+        docs = cut(dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path)), name)
+        return {r.doc_id: r for r in docs.collect()}
+
+    texts = {i: t for i, t in texts.items() if t and any(c.isalpha() for c in t)}
+    got = after("language_id")
+    assert {i: r.text for i, r in got.items()} == texts and {r.lang for r in got.values()} == {"en"}
+
+    order = sorted(texts)
+    roots = brute_components([texts[i] for i in order])
+    texts = {i: texts[i] for n, i in enumerate(order) if roots[n][1] == n}
+    assert {i: r.text for i, r in after("ngram_jaccard_join").items()} == texts
+
+    first, words, cuts = {}, {i: t.split() for i, t in texts.items()}, {}
+    for i in sorted(words):
+        for p in range(len(words[i]) - 49):
+            first.setdefault(tuple(words[i][p : p + 50]), i)
+    for i, w in words.items():
+        gone = {q for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] < i for q in range(p, p + 50)}
+        if len(gone) < len(w):
+            cuts[i] = " ".join(x for q, x in enumerate(w) if q not in gone)
+    assert cuts != texts
+    got = after("substring_dedup")
+    assert {i: r.text for i, r in got.items()} == cuts and all(r.n_chars == len(r.text) for i, r in got.items())
+
+    def holds(doc, item):  # items stand whole or not at all here
+        return any(doc[p : p + len(item)] == item for p in range(len(doc) - len(item) + 1))
+
+    kept = {i: t for i, t in cuts.items() if not any(holds(t.split(), w) for w in items)}
+    assert {i: r.text for i, r in after("benchmark_decontamination").items()} == kept != cuts
+    packed = dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == set(kept) and len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
