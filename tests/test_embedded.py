@@ -1,0 +1,120 @@
+"""The store of weights and the embedded provider, with stand-ins for the hub and the engine."""
+
+import io
+import json
+import types
+import urllib.error
+
+import pytest
+
+from quillmill import cli, errors, providers
+from quillmill.providers import weights
+from quillmill.providers.embedded import EmbeddedProvider
+
+NAME = "phi-3.5-mini"
+MODEL = weights.MODELS[NAME]
+
+
+class Hub:
+    """Files of one repository; each of ``failures`` is raised once first."""
+
+    def __init__(self, *failures, files=None):
+        self.failures, self.asked = list(failures), []
+        self.files = files or {f"{MODEL.folder}/{weights.NEEDED}": b"{}", f"{MODEL.folder}/sub/model.onnx": b"weights", "README.md": b"no"}
+
+    def __call__(self, request, timeout):
+        self.asked.append(request.full_url)
+        if self.failures:
+            raise self.failures.pop(0)
+        if "/api/models/" in request.full_url:
+            listed = [{"rfilename": p, "size": len(b)} for p, b in self.files.items()] + [{"rfilename": f"{MODEL.folder}/.gitattributes"}]
+            return io.BytesIO(json.dumps({"siblings": listed}).encode())
+        return io.BytesIO(self.files[request.full_url.partition(f"{MODEL.revision}/")[2]])
+
+
+def http(code, **headers):
+    return urllib.error.HTTPError("u", code, "m", headers, None)
+
+
+def test_store_fetches_whole_models(tmp_path):
+    hub, slept = Hub(http(429, **{"Retry-After": "7"}), http(503), OSError("reset"), http(429, **{"Retry-After": "900"})), []
+    store = weights.Store(tmp_path, hub, slept.append)
+    with pytest.raises(errors.ConfigError, match="2782 MB"):
+        store.found(NAME)
+    folder = store.found(NAME, download=True)
+    assert slept == [7.0, 4.0, 8.0, 60.0] and store.holds(NAME) and (folder / "sub/model.onnx").read_bytes() == b"weights"
+    record = weights.record_of(folder)
+    assert (record["name"], record["revision"], record["bytes"]) == (NAME, MODEL.revision, 9) and not list(tmp_path.glob(".*"))
+    assert weights.record_of(tmp_path) == {} and not (folder / "README.md").exists()
+    with pytest.raises(errors.ConfigError):
+        store.place("none")
+
+
+@pytest.mark.parametrize("hub", [Hub(http(404)), Hub(*[http(500)] * 5), Hub(*[OSError("down")] * 5), Hub(files={"README.md": b""})])
+def test_store_leaves_nothing_of_a_failed_download(tmp_path, hub):
+    with pytest.raises(errors.ProviderError):
+        weights.Store(tmp_path, hub, lambda _: None).fetch(NAME)
+    assert not list(tmp_path.iterdir())
+
+
+def engine(reply=(5, 6), layout="<chat>"):
+    class Generator:
+        def __init__(self, model, options):
+            self.tokens, self.left = [], list(reply)
+
+        def append_tokens(self, tokens):
+            self.tokens += tokens
+
+        def is_done(self):
+            return not self.left
+
+        def generate_next_token(self):
+            self.tokens.append(self.left.pop(0))
+
+        def get_sequence(self, _):
+            return self.tokens
+
+    class Options:
+        given = {}
+
+        def __init__(self, model):
+            pass
+
+        def set_search_options(self, **options):
+            Options.given = options
+
+        def set_guidance(self, kind, schema):
+            Options.given = {**Options.given, kind: json.loads(schema)}
+
+    def template(messages, add_generation_prompt):
+        if layout is None:
+            raise ValueError("no template")
+        return layout
+
+    tokenizer = types.SimpleNamespace(encode=lambda t: [ord(c) for c in t], decode=lambda t: "".join(map(str, t)), apply_chat_template=template)
+    return types.SimpleNamespace(Model=lambda path: path, Tokenizer=lambda m: tokenizer, Generator=Generator, GeneratorParams=Options)
+
+
+def test_embedded_provider(tmp_path):
+    made = engine()
+    provider = EmbeddedProvider(NAME, folder=tmp_path, engine=made)
+    got = provider.complete([{"role": "user", "content": "hello"}], {"type": "object"}, 0.0)
+    assert (got.text, got.input_tokens, got.output_tokens, got.finish_reason) == ("56", 6, 2, "stop")
+    assert made.GeneratorParams.given == {"max_length": 2054, "do_sample": False, "temperature": 0.0, "json_schema": {"type": "object"}}
+    assert EmbeddedProvider(folder=tmp_path, engine=made, most_tokens=2).complete([]).finish_reason == "length"
+    assert EmbeddedProvider(folder=tmp_path, engine=engine(layout=None)).prompt([{"role": "user", "content": "hi"}]) == "user: hi\n\nassistant:"
+    assert provider.lineage() == {"name": NAME, "path": str(tmp_path)} and EmbeddedProvider(NAME, store=weights.Store(tmp_path)).lineage() == {"name": NAME}
+    with pytest.raises(errors.ProviderError):
+        EmbeddedProvider(folder=tmp_path, engine=types.SimpleNamespace(Model=lambda p: 1 / 0)).complete([])
+    with pytest.raises(errors.ConfigError):
+        EmbeddedProvider(folder=tmp_path).complete([])
+    assert isinstance(providers.create("local", NAME), EmbeddedProvider)
+
+
+def test_setup_downloads_only_when_told(tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(weights.urllib.request, "urlopen", Hub())
+    told = ["setup", "--download", NAME, "--cache-dir", str(tmp_path)]
+    monkeypatch.setattr("sys.stdin", io.StringIO())
+    assert cli.main(told) == 1 and not list(tmp_path.iterdir())
+    assert cli.main([*told, "--yes"]) == 0 and cli.main(told) == 0 and "is in" in capsys.readouterr().out
+    assert cli.main(["setup", "--download", "none"]) == 2
