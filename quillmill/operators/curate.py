@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.counters import APPROX, Counter
+from ..tables import cut, discard
 from . import messages as M
 from .near import near_duplicate
 
@@ -63,18 +64,20 @@ def default_steps(deduplicate: bool = True, max_tokens: int | None = None, count
 
 
 def run(examples: DataFrame, steps: list[Step], counts: bool = True) -> tuple[DataFrame, list[dict]]:
-    """Apply steps in order; each step's input and output rows are counted on cached frames."""
-    report, current = [], examples.cache() if counts else examples
+    """Apply steps in order; with ``counts`` each step's output is written, counted, and dropped
+    once the next one is written, so that a lost executor costs no step again."""
+    report, current = [], cut(examples, "examples") if counts else examples
     size = current.count() if counts else 0
     if counts and not steps:
         report.append({"step": "none", "in": size, "out": size})
     for name, step in steps:
         after = step(current)
         if counts:
-            after = after.cache()
+            after = cut(after, name)
             number = after.count()
             report.append({"step": name, "in": size, "out": number})
             size = number
+            discard(current)
         current = after
     return current, report
 

@@ -19,6 +19,7 @@ from ..errors import GenerationError, TruncatedOutputError
 from ..functions import text as T
 from ..functions.counters import APPROX, Counter
 from ..prompts import Wording, wording
+from ..tables import cut
 from . import curate, generate
 from . import messages as M
 
@@ -83,7 +84,8 @@ def generate_with_model(
     chunks: DataFrame, provider: Callable[[], object], kind: str = "llm-qa", prompts: Wording = wording(), per_chunk: int = 3, max_input_tokens: int = 6000,
     max_retries: int = 1, min_grounding: float = 0.2, temperature: float = 0.2, system: str | None = None, counter: Counter = APPROX,
 ) -> tuple[DataFrame, DataFrame]:
-    """(examples, errors). Oversized chunks fail without a call; ungrounded answers go."""
+    """(examples, errors), after the model has been asked. Oversized chunks fail without a call;
+    ungrounded answers go."""
     rows = chunks.where(~T.is_blank(F.col("text"))).select("seq", generate.place(F.lit(0)).alias("sub"), generate.ref().alias("source"), "text")
     rows = rows.withColumn("small", counter.count(F.col("text")) <= max_input_tokens)
     small = F.col("small")
@@ -99,7 +101,8 @@ def generate_with_model(
                     out.append((seq, sub, source, None, None, None, str(e)))
             yield pd.DataFrame(out, columns=["seq", "sub", "source", "text", "question", "answer", "error"])
 
-    made = rows.where(small).drop("small").mapInPandas(run, "seq long, sub long, source string, text string, question string, answer string, error string").cache()
+    # Written, so that no lost executor makes the model answer again.
+    made = cut(rows.where(small).drop("small").mapInPandas(run, "seq long, sub long, source string, text string, question string, answer string, error string"), "replies")
     fine = made.where("error is null").where(curate.grounded(F.col("answer"), F.col("text"), min_grounding))
     examples = fine.select("seq", "sub", "source", M.qa(F.col("question"), F.col("answer"), F.lit(system) if system else None).alias("messages"))
     large = rows.where(~small).select("source", F.lit(f"more than {max_input_tokens} tokens").alias("error"))

@@ -19,6 +19,7 @@ from ..operators import formats as R
 from ..operators import model as L
 from ..prompts import wording
 from ..sources import paths, readers, sinks
+from ..tables import cut
 
 #: Sources and errors that a manifest lists itself; beyond that all go to a folder beside it.
 LISTED = 1000
@@ -87,13 +88,13 @@ class DatasetBuilder:
     def finish(self, examples: DataFrame, errors: DataFrame | None, sources: DataFrame | None, out: str | None) -> BuildResult:
         failed = 0
         if errors is not None:
-            errors = errors.cache()
+            errors = cut(errors, "errors")
             failed = errors.count()
             if failed and self.on_error == "raise":
                 first = errors.orderBy("source", "error").first()
                 raise GenerationError(f"{first.source}: {first.error}")
         kept, report = curate.run(examples, self.steps)
-        parted = curate.split(kept, self.validation_fraction, self.seed).cache()
+        parted = cut(curate.split(kept, self.validation_fraction, self.seed), "parted")
         train, validation = (parted.where(F.col("split") == s).drop("split") for s in ("train", "validation"))
         counts = {r[0]: r[1] for r in parted.groupBy("split").count().collect()}
         read = None if sources is None else sources.select("source", "sha256", F.length("text").alias("chars"))

@@ -7,6 +7,7 @@ cuts lineage in a way that survives lost executors and is never recomputed.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -36,20 +37,31 @@ _PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.im
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quillmill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/quillmill/{re.sub(r"[^A-Za-z0-9]+", "_", name)}-{uuid.uuid4().hex}"
     df.write.options(**_PLAIN).parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.cut_path = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``cut`` returned, once nothing reads it any more."""
+    if path := getattr(df, "cut_path", None):
+        _delete(df.sparkSession, path)
+        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
 def clear() -> None:
     """Delete what ``cut`` has written; frames that still read it end here."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_WRITTEN.pop())
         except Exception:  # the session may be gone at exit
             return
 
