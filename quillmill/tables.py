@@ -34,9 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 _PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and return a frame that reads the written table."""
+def cut(df: DataFrame, name: str = "t", rows: int | None = None, each: int = 500_000) -> DataFrame:
+    """Write ``df`` to the shared folder and return a frame that reads the written table.
+
+    ``rows`` is a known bound on its rows: then no more than one task and file for ``each`` of
+    them are made, where a table of few rows would else be as many files as the exchange before.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // each)))
     path = f"{shared_dir(spark).rstrip('/')}/quillmill/{re.sub(r"[^A-Za-z0-9]+", "_", name)}-{uuid.uuid4().hex}"
     df.write.options(**_PLAIN).parquet(path)
     _WRITTEN.append((spark, path))
