@@ -381,7 +381,8 @@ def jaccard_rows(
     parts = cut(rows.mapInArrow(_groups, "key long, salt int, cls long, first long, prev long"), "groups")
     salted = parts.where("salt > 0")
     shared = salted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    salted = cut(salted.join(shared, "key", "left_semi"), "salted")
+    some = parts.count()  # of written tables, counts are read from the files' ends
+    salted = cut(salted.join(shared, "key", "left_semi"), "salted", some)
     groups = parts.where("salt = 0").union(salted.select(parts.columns))
     # First members of a common piece's parts, a row a salt at most, meet like members of a group.
     heads = Window.partitionBy("key").orderBy("cls")
@@ -389,19 +390,20 @@ def jaccard_rows(
 
     near = groups.select(F.col("first").alias("a"), F.col("cls").alias("b")).union(groups.select("prev", "cls"))
     near = near.union(joint.select("first", "cls")).union(joint.where("prev is not null").select("prev", "cls"))
-    pairs = cut(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = cut(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", 2 * (some + salted.count()))
 
     needed = groups.select("cls").distinct()
     heads = profile.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "doc_id", "mark")).alias("m"))
-    heads = cut(heads.select(F.col("m.doc_id").alias("doc_id"), F.col("m.mark").alias("mark")).distinct(), "heads")
+    heads = cut(heads.select(F.col("m.doc_id").alias("doc_id"), F.col("m.mark").alias("mark")).distinct(), "heads", some)
     wanted = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads
     texts = base.join(wanted, base["doc_id"].eqNullSafe(heads["doc_id"]) & (base["mark"] == heads["mark"]), "left_semi")
     sets = cut(texts.select("text").mapInArrow(_sets(shingle, conflicts), "cls long, found binary, n long, sketch binary"), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
+        """Linked ones of a written table of pairs."""
         left = candidates.join(sets.select(F.col("cls").alias("a"), F.col("found").alias("left")), "a")
         full = left.join(sets.select(F.col("cls").alias("b"), F.col("found").alias("right")), "b")
-        return cut(full.select("a", "b", "left", "right").mapInArrow(_verify(num, den), "a long, b long"), "links")
+        return cut(full.select("a", "b", "left", "right").mapInArrow(_verify(num, den), "a long, b long"), "links", candidates.count(), each=50_000)
 
     links = verified(pairs)
     labels = components(links)
@@ -409,14 +411,15 @@ def jaccard_rows(
     # components that the sketches cannot rule out are verified too.
     members = groups.select("key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
     open_keys = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
-    members = cut(members.join(open_keys.select("key", "lo"), "key").select(F.col("lo").alias("home"), "cls", "label").distinct(), "open")
-    more = cut(open_pairs(members, sets, num, den).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    extra = verified(more)
-    if extra.limit(1).count():
-        labels = components(links.union(extra))
+    members = cut(members.join(open_keys.select("key", "lo"), "key").select(F.col("lo").alias("home"), "cls", "label").distinct(), "open", some)
+    if members.count():
+        more = cut(open_pairs(members, sets, num, den).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        extra = verified(more)
+        if extra.count():
+            labels = components(links.union(extra))
     ids = profile.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     ids = ids.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    ids = cut(ids, "ids")
+    ids = cut(ids, "ids", seen.count())
     whole = ids.groupBy("label").agg(F.min("least").alias("component_id"))
     found = ids.join(whole, "label").select("cls", "label", "component_id")
     out = profile.join(found, "cls").select("doc_id", "mark", "n", "label", F.coalesce("component_id", "doc_id").alias("component_id"))

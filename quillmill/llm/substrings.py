@@ -227,15 +227,16 @@ def repeated_spans(
     runs = cut(base.mapInArrow(_runs(depth, min(ANCHOR, depth)), _RUNS), "runs")
     # Equal segments meet with partial aggregation, so a hot one costs a row a task; so do prefixes.
     segments = runs.groupBy("key", "seg").agg(F.min(F.struct("doc_id", "mark", "at", "n")).alias("one"), F.max("doc_id").alias("last"))
-    segments = cut(segments.select("key", "seg", "one.*", "last"), "segments")
+    segments = cut(segments.select("key", "seg", "one.*", "last"), "segments", runs.count())
     parts = segments.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
-    shared = cut(segments.join(parts.select("key", "size"), "key"), "shared")
+    shared = cut(segments.join(parts.select("key", "size"), "key"), "shared", segments.count())
 
     alone = shared.where("size = 1").select("key", "seg", F.lit(0).alias("lo"), F.col("n").alias("hi"), F.col("doc_id").alias("least"))
     asked = shared.where("size > 1").withColumn("hot", F.col("size") > max_segments)
     places = asked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n", "key", "seg", "last", "hot")).alias("asked"))
     places = places.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
-    places = F.broadcast(places) if asked.count() <= broadcast_segments else places
+    number = asked.count()
+    places = F.broadcast(places) if number <= broadcast_segments else places
     bodies = base.join(places, (F.col("doc_id") == F.col("_id")) & (F.col("mark") == F.col("_mark")))
     words = cut(bodies.select("doc_id", "text", "asked").mapInArrow(_fetched(depth), _WORDS), "words")
 
@@ -243,7 +244,7 @@ def repeated_spans(
     hot = words.where("hot")
     nodes = hot.groupBy("words").agg(F.min("doc_id").alias("least"))
     deep = hot.join(nodes, "words").where("least < last").select("key", "seg", F.col("n").alias("lo"), (F.col("n") + 1).alias("hi"), "least")
-    found = cut(alone.union(trees).union(deep), "found")
+    found = cut(alone.union(trees).union(deep), "found", words.count() + shared.count(), each=100_000)
     spans = runs.join(found, ["key", "seg"]).where("least < doc_id")
     return spans.select("doc_id", "mark", (F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("hi") - 1 + depth).alias("stop"))
 
