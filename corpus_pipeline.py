@@ -57,7 +57,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     whole = found.where("label is not null").groupBy("label", "doc_id", "mark").agg(F.count(F.lit(1)).alias("times"))
     heads = whole.groupBy("label").agg(F.min_by(F.struct("doc_id", "mark", "times"), order).alias("head")).select("head.*")
     alone = found.where("label is null").select("doc_id", "mark").distinct().withColumn("times", F.lit(1).cast("long"))
-    heads = cut(heads.union(alone), "heads")
+    heads = cut(heads.union(alone), "heads", docs.count())
     once = join_rows(docs, heads.where("times = 1").drop("times"), "left_semi").select(COLUMNS)
     if not heads.where("times > 1").limit(1).count():
         return once
