@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
 # Customary notices of each licence family.
 TEMPLATES = {
     "apache": (
@@ -275,7 +277,8 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     lines = lines.select("doc_id", "doc_mark", "paragraph", "joined", F.explode(parts).alias("line"))
     known = lines.withColumn("grams", F.filter(_grams(_words(F.col("line"))), lambda g: g.isin(sorted(weights)))).where(F.size("grams") > 0)
     table = spark.createDataFrame([(g, *w) for g, w in sorted(weights.items())], "gram string, " + ", ".join(f"w{i} double" for i in range(len(classes))))
-    keyed = known.select("doc_id", "doc_mark", "paragraph", "joined", F.xxhash64("line").alias("mark"), "line", "grams")
+    # Written, since scores of distinct lines and the places of all lines both come from it.
+    keyed = cut(known.select("doc_id", "doc_mark", "paragraph", "joined", F.xxhash64("line").alias("mark"), "line", "grams"), "lines")
     grams = keyed.select("mark", F.explode("grams").alias("gram"), "line").distinct()
     summed = grams.join(F.broadcast(table), "gram").groupBy("mark", "line").agg(*(F.sum(f"w{i}").alias(f"s{i}") for i in range(len(classes))))
     logits = [F.exp(F.col(f"s{i}") + F.lit(b)) for i, b in enumerate(biases)]
