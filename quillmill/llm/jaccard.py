@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .components import components
-from .scratch import cut
+from .scratch import cut, discard
 
 #: Most frequent shingles that may be told apart; only cost depends on it.
 FREQUENT = 1 << 18
@@ -412,14 +412,18 @@ def jaccard_rows(
     members = groups.select("key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
     open_keys = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
     members = cut(members.join(open_keys.select("key", "lo"), "key").select(F.col("lo").alias("home"), "cls", "label").distinct(), "open", some)
+    spent = []
     if members.count():
         more = cut(open_pairs(members, sets, num, den).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
         extra = verified(more)
         if extra.count():
             labels = components(links.union(extra))
+        spent = [more, extra]
     ids = profile.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     ids = ids.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     ids = cut(ids, "ids", seen.count())
+    for table in (parts, salted, pairs, heads, sets, links, members, *spent):  # nothing below reads them
+        discard(table)
     whole = ids.groupBy("label").agg(F.min("least").alias("component_id"))
     found = ids.join(whole, "label").select("cls", "label", "component_id")
     out = profile.join(found, "cls").select("doc_id", "mark", "n", "label", F.coalesce("component_id", "doc_id").alias("component_id"))

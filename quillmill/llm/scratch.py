@@ -1,5 +1,5 @@
 """Intermediate tables of the operators; see ``quillmill.tables``."""
 
-from ..tables import clear, cut, shared_dir
+from ..tables import clear, cut, discard, shared_dir
 
-__all__ = ["clear", "cut", "shared_dir"]
+__all__ = ["clear", "cut", "discard", "shared_dir"]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .scratch import cut
+from .scratch import cut, discard
 
 #: Words of the anchor that ends a prefix.
 ANCHOR = 8
@@ -245,6 +245,8 @@ def repeated_spans(
     nodes = hot.groupBy("words").agg(F.min("doc_id").alias("least"))
     deep = hot.join(nodes, "words").where("least < last").select("key", "seg", F.col("n").alias("lo"), (F.col("n") + 1).alias("hi"), "least")
     found = cut(alone.union(trees).union(deep), "found", words.count() + shared.count(), each=100_000)
+    for table in (segments, shared, words):  # nothing below reads them
+        discard(table)
     spans = runs.join(found, ["key", "seg"]).where("least < doc_id")
     return spans.select("doc_id", "mark", (F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("hi") - 1 + depth).alias("stop"))
 
