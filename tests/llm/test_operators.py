@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -346,6 +347,52 @@ def test_neighbours_of_near_copies_at_the_production_block(spark):
         assert [got[q][i + 1] for i in range(20)] == best.tolist()
 
 
+def test_neighbours_by_cells(spark):
+    """Beyond ``whole`` vectors a query meets some cells only: recall is kept, each has its k, near copies too."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 12_000)] + 0.6 * rng.normal(size=(12_000, 16))
+    x[:2000] = x[0] + 0.01 * rng.normal(size=(2000, 16))
+    x[5000] = -10 * centres.sum(axis=0)  # far from all others: its own cells may hold fewer than k
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(12_000), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got, met = defaultdict(list), []
+    measured = neighbours._measured
+    neighbours._measured = lambda coded, scan, model, *a: met.append((measured(coded, scan, model, *a)[0], len(model[1].centroids))) or measured(coded, scan, model, *a)
+    try:
+        rows = neighbours.nearest(frame, frame.where("vec_id % 40 = 0"), k=10, query_block=200, whole=5000, cell=60).collect()
+    finally:
+        neighbours._measured = measured
+    assert met[0][0] * 2 <= met[0][1] == 200
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == set(range(0, 12_000, 40)) and {len({i for i, _ in found}) for found in got.values()} == {10}
+    recall = []
+    for q, found in got.items():
+        score = (x.astype(float) * x[q].astype(float)).sum(axis=1)
+        score[q] = -np.inf
+        assert all(score[i] == s for i, s in found) and [s for _, s in found] == sorted((s for _, s in found), reverse=True)
+        recall.append(len({i for i, _ in found} & set(np.argsort(-score)[:10].tolist())) / 10)
+    assert np.mean(recall) >= 0.93
+
+
+def test_neighbours_meet_pairs_at_the_rate_of_matrix_products():
+    """A scan of 6e8 pairs takes a few CPU seconds, as matrix products do, and finds the best."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(60_000, 64)).astype(np.float32)
+    quantiser = neighbours.Quantiser(x[:2000])
+    asked = neighbours.Asked(np.arange(10_000), x[:10_000])
+    best = neighbours._Best(asked, 20)
+    began = time.process_time()
+    for at in range(0, 60_000, 10_000):
+        part = x[at : at + 10_000]
+        best.meet(np.arange(10_000), np.arange(at, at + 10_000), part, quantiser.decode(quantiser.encode(part).T)[:, :64])
+    assert time.process_time() - began < 15
+    score = x[:20] @ x.T
+    score[np.arange(20), np.arange(20)] = -np.inf
+    assert [set(r.tolist()) for r in best.own[:20]] == [set(r.tolist()) for r in np.argsort(-score, axis=1)[:, :20]]
+
+
 def test_quantiser_ranks_by_its_tables():
     """Of 8192 vectors the 250 best table scores hold nearly all of the 20 largest products."""
     rng = np.random.default_rng(2)
