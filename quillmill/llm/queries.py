@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, licenses, neighbours, packing, quality, shards, substrings, toxicity
+from . import decontam, jaccard, langid, licenses, neighbours, packing, phrases, quality, shards, substrings, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -62,11 +62,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.repeated_bytes_digest(_table(spark, sf_dir, "documents"), depth=100)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_best_fit_packing, op3_language, op4_licenses, op5_shards,
         op6_neighbours, op7_decontamination, op8_substring_dedup, op9_jaccard_join, op10_toxicity,
+        op12_prefix_free_dedup,
     )
 }
 
@@ -96,4 +101,17 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN link ON x = r)
         SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id
         FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)""",
+    "op12_prefix_free_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        win AS (SELECT doc_id, p, b[p : p + 99] AS s FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS p FROM d WHERE n >= 100)),
+        hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM win) WHERE k > 1),
+        isle AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r
+                 FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM hit)),
+        run AS (SELECT doc_id, r, min(p) AS lo, max(p) + 99 AS hi FROM isle GROUP BY doc_id, r),
+        piece AS (SELECT doc_id, lo AS pos, b[coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) + 1 : lo - 1] AS kept FROM run JOIN d USING (doc_id)
+                  UNION ALL SELECT doc_id, n + 1, b[coalesce(final, 0) + 1 : n] FROM d LEFT JOIN (SELECT doc_id, max(hi) AS final FROM run GROUP BY doc_id) USING (doc_id)),
+        rest AS (SELECT doc_id, sha256(unhex(string_agg(hex(kept), '' ORDER BY pos))) AS kept_sha256 FROM piece GROUP BY doc_id),
+        lost AS (SELECT doc_id, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+        FROM d JOIN rest USING (doc_id) LEFT JOIN lost USING (doc_id)""",
 }
