@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, licenses, neighbours, packing, phrases, quality, shards, substrings, toxicity
+from . import decontam, jaccard, kmeans, langid, licenses, neighbours, packing, phrases, quality, shards, substrings, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -62,6 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_kd_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(_table(spark, sf_dir, "embeddings"), dims=64, k=8, rounds=10, scale=1024)
+
+
 def op12_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.repeated_bytes_digest(_table(spark, sf_dir, "documents"), depth=100)
 
@@ -71,12 +75,36 @@ QUERIES = {
     for f in (
         op1_quality, op2_best_fit_packing, op3_language, op4_licenses, op5_shards,
         op6_neighbours, op7_decontamination, op8_substring_dedup, op9_jaccard_join, op10_toxicity,
-        op12_prefix_free_dedup,
+        op11_kd_tree_clusters, op12_prefix_free_dedup,
     )
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_APART = "list_sum(list_transform(range(1, 65), lambda i: (x[i] - m[i]) * (x[i] - m[i])))"
+
+
+def _clusters_sql(rounds: int) -> str:
+    """Ten rounds of assignment and floored means, one statement each."""
+    parts = [
+        """kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS c, x AS m FROM kept ORDER BY sha256('3:' || vec_id) LIMIT 8)",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min({{'d': d, 'c': c}}) AS b FROM (SELECT vec_id, x, c, CAST({_APART} AS BIGINT) AS d FROM kept, c{r}) GROUP BY vec_id)")
+        parts.append(
+            f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(new, m) AS m FROM c{r} LEFT JOIN (
+                SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS new FROM (
+                SELECT b.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, unnest(range(1, 65)) AS t(i) GROUP BY ALL) GROUP BY c) USING (c))"""
+        )
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(parts[:-1])}
+        SELECT vec_id, b.c AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM {last} JOIN c{rounds} ON c = b.c"""
+
+
 #: Exact conditions on texts, which SQL can state: repeats of fifty words, and links of shingle
 #: sets with their components. Trained models, packings and schedules are held against plain
 #: recomputations and brute force in tests; so are neighbours, whose sums SQL adds in another order.
@@ -101,6 +129,7 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN link ON x = r)
         SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id
         FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)""",
+    "op11_kd_tree_clusters": _clusters_sql(10),
     "op12_prefix_free_dedup": """
         WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
         win AS (SELECT doc_id, p, b[p : p + 99] AS s FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS p FROM d WHERE n >= 100)),
