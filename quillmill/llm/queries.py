@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, kmeans, langid, licenses, neighbours, packing, phrases, quality, shards, substrings, toxicity
+from . import convtrie, decontam, jaccard, kmeans, langid, licenses, neighbours, packing, phrases, quality, shards, substrings, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -70,12 +70,16 @@ def op12_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.repeated_bytes_digest(_table(spark, sf_dir, "documents"), depth=100)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_best_fit_packing, op3_language, op4_licenses, op5_shards,
         op6_neighbours, op7_decontamination, op8_substring_dedup, op9_jaccard_join, op10_toxicity,
-        op11_kd_tree_clusters, op12_prefix_free_dedup,
+        op11_kd_tree_clusters, op12_prefix_free_dedup, op13_conversation_trie,
     )
 }
 
@@ -143,4 +147,19 @@ ORACLES: dict[str, str] = {
         lost AS (SELECT doc_id, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
         SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
         FROM d JOIN rest USING (doc_id) LEFT JOIN lost USING (doc_id)""",
+    # CRC-32 bit by bit; nodes are known by their lists of turns.
+    "op13_conversation_trie": """
+        WITH own AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s
+                     FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        taken AS (SELECT c, s, (xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[((ord(x) >> i) & 1)::BIGINT FOR i IN range(0, 8)] FOR x IN string_split(c::VARCHAR, '')])),
+                         lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 9)::INTEGER AS h FROM own),
+        conv AS (SELECT t.c, list_concat(coalesce(o.s, [])[1 : h], t.s[h + 1 :]) AS s FROM taken AS t LEFT JOIN own AS o ON o.c = t.c - t.c % 5),
+        reach AS (SELECT c, d, s[1 : d] AS k, d = len(s) AS over FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM conv)),
+        node AS (SELECT k, d, min(c) AS c, count(*) AS n, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (over) AS ends FROM reach GROUP BY k, d),
+        kid AS (SELECT k[1 : d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+        known AS (SELECT node.*, coalesce(kid.n, 0) AS kids, CASE WHEN d = 0 THEN 0 ELSE (node.n - 1) * strlen(k[d].t) END AS saved FROM node LEFT JOIN kid USING (k)),
+        up AS (SELECT k[1 : e] AS k, sum((kids = 0)::INTEGER) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM known) GROUP BY 1)
+        SELECT a.c AS conv_id, a.d AS depth, p.c AS parent_conv_id, a.n AS n_convs, a.kids AS n_children, CAST(up.leaves AS BIGINT) AS n_leaves,
+               CAST(up.saved AS BIGINT) AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+        FROM known AS a JOIN up USING (k) LEFT JOIN node AS p ON a.d > 0 AND p.k = a.k[1 : a.d - 1]""",
 }
