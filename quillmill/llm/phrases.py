@@ -278,10 +278,23 @@ def _ordered(depth: int, batch_rows: int):
     return run
 
 
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (key, s1, s2), with ``copy``: the row before, in this task, is an equal segment."""
+    before = None
+    for batch in batches:
+        names = [np.concatenate([[0 if before is None else before[i]], batch.column(i).to_numpy()]) for i in range(3)]
+        copy = np.logical_and.reduce([x[1:] == x[:-1] for x in names])
+        if before is None and len(copy):
+            copy[0] = False
+        before = [x[-1] for x in names] if len(copy) else before
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copy)], names=["key", "s1", "s2", "doc", "at", "copy"])
+
+
 def _known(light: DataFrame, heavy: DataFrame | None) -> DataFrame:
     """(key, doc, at, copy) of the segments whose key occurs more than once; ``copy``: an equal segment comes before.
 
-    Segments of frequent keys (``heavy``, a written table) are first collapsed where they are.
+    Segments of frequent keys (``heavy``, a written table) are put in order over all tasks: the first
+    of a segment's rows in each task are at most as many as tasks, and the first of these is the first of all.
     """
     order = Window.partitionBy("key").orderBy("s1", "s2", "doc", "at")
     near = light.select(
@@ -290,10 +303,11 @@ def _known(light: DataFrame, heavy: DataFrame | None) -> DataFrame:
     out = near.select("key", "doc", "at", F.coalesce((F.col("before1") == F.col("s1")) & (F.col("before2") == F.col("s2")), F.lit(False)).alias("copy"))
     if heavy is None:
         return out
-    seg = ["key", "s1", "s2"]
-    firsts = cut(heavy.groupBy(*seg).agg(F.min(F.struct("doc", "at")).alias("one"), F.count(F.lit(1)).alias("n")), "firsts")
-    met = join_unique(heavy, firsts, seg, "n")
-    return out.unionByName(met.select("key", "doc", "at", (F.struct("doc", "at") != F.col("one")).alias("copy")))
+    order = ["key", "s1", "s2", "doc", "at"]
+    ordered = cut(heavy.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_again, f"{_ROWS}, copy boolean"), "ordered")
+    firsts = ordered.where("not copy").groupBy("key", "s1", "s2").agg(F.sort_array(F.collect_list(F.struct("doc", "at"))).alias("rows"))
+    edges = firsts.select("key", F.posexplode("rows").alias("i", "x")).select("key", "x.doc", "x.at", (F.col("i") > 0).alias("copy"))
+    return out.unionByName(ordered.where("copy").select("key", "doc", "at", "copy")).unionByName(edges)
 
 
 def repeated_bytes(base: DataFrame, depth: int = 100, max_segments: int = MAX_SEGMENTS) -> DataFrame:
