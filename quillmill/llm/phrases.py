@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .heavy import heavy_values, join_unique
+from .heavy import join_unique
 from .scratch import cut
 
 #: Bytes of a trigger, and the power of two that its hash is a multiple of.
@@ -46,8 +47,6 @@ BANDS = (None, 12, 1)
 #: First segments of a part that one task may hold, and of parts that it builds together.
 MAX_SEGMENTS = 2048
 BATCH = 4096
-#: Texts looked at to find frequent triggers, whose segments are dealt apart from the rest.
-SAMPLE_DOCS = 10_000
 
 _ROWS = "key long, s1 long, s2 int, doc long, at long"
 _PIECES = "key long, doc long, at long, piece binary"
@@ -112,22 +111,18 @@ def parse(data: np.ndarray, offsets: np.ndarray, depth: int, window: int = WINDO
     return hashes[at], first, np.diff(np.append(begin, len(every))), at - first
 
 
-def _segments(depth: int, keys: np.ndarray | None = None, inside: bool = True):
-    """Segments of texts; with ``keys``, only those whose trigger is (``inside``) or is not among them."""
+def _segments(depth: int):
+    """Segments of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in bw.chunks(batch.column(1)):
                 hashes, first, number, back = parse(data, offsets, depth)
-                key = hashes.view(np.int64)
-                if keys is not None:
-                    some = np.isin(key, keys, invert=not inside)
-                    key, first, number, back = key[some], first[some], number[some], back[some]
                 where = bw.rows_of(offsets, first)
                 seg = _digests(memoryview(np.ascontiguousarray(data)), first, first + number - 1 + depth)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key), pa.array(seg[:, 0].view(np.int64)), pa.array((seg[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                        pa.array(hashes.view(np.int64)), pa.array(seg[:, 0].view(np.int64)), pa.array((seg[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         batch.column(0).take(pa.array(where + row)), pa.array(_packed(first - offsets[where], number, back)),
                     ],
                     names=["key", "s1", "s2", "doc", "at"],
@@ -136,15 +131,6 @@ def _segments(depth: int, keys: np.ndarray | None = None, inside: bool = True):
     return run
 
 
-def _keys_only(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, offsets in bw.chunks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(parse(data, offsets, depth)[0].view(np.int64))], names=["key"])
-
-    return run
-
-
 def _asked(batch: pa.RecordBatch):
     """For runs of texts: bytes, first bytes in the run, and what is asked of each."""
     asked = batch.column(1)
@@ -278,36 +264,62 @@ def _ordered(depth: int, batch_rows: int):
     return run
 
 
-def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (key, s1, s2), with ``copy``: the row before, in this task, is an equal segment."""
-    before = None
-    for batch in batches:
-        names = [np.concatenate([[0 if before is None else before[i]], batch.column(i).to_numpy()]) for i in range(3)]
-        copy = np.logical_and.reduce([x[1:] == x[:-1] for x in names])
-        if before is None and len(copy):
-            copy[0] = False
-        before = [x[-1] for x in names] if len(copy) else before
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copy)], names=["key", "s1", "s2", "doc", "at", "copy"])
-
-
-def _known(light: DataFrame, heavy: DataFrame | None) -> DataFrame:
-    """(key, doc, at, copy) of the segments whose key occurs more than once; ``copy``: an equal segment comes before.
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (key, s1, s2, doc, at), those whose key is also a neighbour's; ``copy``: the row before is an equal segment.
 
-    Segments of frequent keys (``heavy``, a written table) are put in order over all tasks: the first
-    of a segment's rows in each task are at most as many as tasks, and the first of these is the first of all.
+    What lies beyond a task's first and last row is not known here: these two are always returned, as
+    ``edge`` 1 and 2 (3: both), and with their segments, which other rows no longer need.
+    """
+    names = ["key", "s1", "s2", "doc", "at"]
+
+    def told(rows: pa.Table, begins: bool, ends: bool, last_key: int | None, last_seg: tuple | None) -> pa.RecordBatch:
+        """``rows`` without the last one, which is known only when the next comes, unless it ``ends`` the task."""
+        key, s1, s2 = (rows.column(c).to_numpy() for c in names[:3])
+        same_key, same = key[1:] == key[:-1], (key[1:] == key[:-1]) & (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
+        before = np.concatenate([[not begins and last_key == key[0]], same_key])
+        copy = np.concatenate([[not begins and last_seg == (key[0], s1[0], s2[0])], same])
+        edge = np.zeros(len(key), dtype=np.int32)
+        edge[0] += begins
+        edge[-1] += 2 * ends
+        kept = before | np.append(same_key, False) | (edge > 0)
+        if not ends:
+            kept[-1] = False
+        at = pa.array(np.flatnonzero(kept))
+        plain = pa.array(edge[kept] == 0)
+        cols = [rows.column(c).combine_chunks().take(at) for c in names]
+        cols[1:3] = [pc.if_else(plain, pa.scalar(None, c.type), c) for c in cols[1:3]]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(copy[kept]), pa.array(edge[kept])], names=[*names, "copy", "edge"])
+
+    held: pa.Table | None = None
+    begins, last_key, last_seg = True, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        if held is not None:
+            part = pa.concat_tables([held, part])
+        if part.num_rows > 1:
+            yield told(part, begins, False, last_key, last_seg)
+            begins = False
+            last_key, *rest = (part.column(c)[part.num_rows - 2].as_py() for c in names[:3])
+            last_seg = (last_key, *rest)
+        held = part.slice(part.num_rows - 1)
+    if held is not None:
+        yield told(held, begins, True, last_key, last_seg)
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    """(key, doc, at, copy) of segments whose key occurs more than once; ``copy``: an equal segment comes before.
+
+    Segments are put in order over all tasks, so a segment or key of any number of rows fills none. The
+    first row of a task may be a copy of the last one of a task before; both are edges.
     """
-    order = Window.partitionBy("key").orderBy("s1", "s2", "doc", "at")
-    near = light.select(
-        "*", F.lag("s1").over(order).alias("before1"), F.lag("s2").over(order).alias("before2"), F.lead("s1").over(order).alias("next1")
-    ).where("before1 is not null or next1 is not null")
-    out = near.select("key", "doc", "at", F.coalesce((F.col("before1") == F.col("s1")) & (F.col("before2") == F.col("s2")), F.lit(False)).alias("copy"))
-    if heavy is None:
-        return out
     order = ["key", "s1", "s2", "doc", "at"]
-    ordered = cut(heavy.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_again, f"{_ROWS}, copy boolean"), "ordered")
-    firsts = ordered.where("not copy").groupBy("key", "s1", "s2").agg(F.sort_array(F.collect_list(F.struct("doc", "at"))).alias("rows"))
-    edges = firsts.select("key", F.posexplode("rows").alias("i", "x")).select("key", "x.doc", "x.at", (F.col("i") > 0).alias("copy"))
-    return out.unionByName(ordered.where("copy").select("key", "doc", "at", "copy")).unionByName(edges)
+    known = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compared, f"{_ROWS}, copy boolean, edge int"), "known")
+    edges = known.where("edge > 0")
+    first = edges.groupBy("key", "s1", "s2").agg(F.min(F.struct("doc", "at")).alias("one"))
+    begun = edges.where("edge in (1, 3)").join(first, ["key", "s1", "s2"]).select("key", "doc", "at", (F.struct("doc", "at") > F.col("one")).alias("copy"))
+    return known.where("edge in (0, 2)").select("key", "doc", "at", "copy").unionByName(begun)
 
 
 def repeated_bytes(base: DataFrame, depth: int = 100, max_segments: int = MAX_SEGMENTS) -> DataFrame:
@@ -317,15 +329,10 @@ def repeated_bytes(base: DataFrame, depth: int = 100, max_segments: int = MAX_SE
     start. Texts that are null or shorter than ``depth`` have none; nor has an empty table.
     """
     base = base.select("doc", "text").where("text is not null")
-    texts = base.count()
-    seen = base.select("text").sample(min(1.0, SAMPLE_DOCS / max(1, texts)), seed=1)
-    keys = heavy_values(seen.mapInArrow(_keys_only(depth), "key long"), "key")
-    chosen = np.array(keys, dtype=np.int64)
-    heavy = cut(base.mapInArrow(_segments(depth, chosen, True), _ROWS), "frequent") if keys else None
-    light = base.mapInArrow(_segments(depth, chosen if keys else None, False), _ROWS)
+    rows = base.mapInArrow(_segments(depth), _ROWS)
     found = []
     for level, width in enumerate(BANDS):
-        known = cut(_known(light, heavy), "known")
+        known = _known(rows)
         first, number = F.shiftright("at", 14), F.shiftright("at", 7).bitwiseAND(127)
         found.append(known.where("copy").select("doc", first.alias("start"), (first + number - 1 + depth).alias("stop")))
         if width == 1:
@@ -345,9 +352,6 @@ def repeated_bytes(base: DataFrame, depth: int = 100, max_segments: int = MAX_SE
         if not large.limit(1).count():
             break
         rows = cut(bodies(large).mapInArrow(_banded(depth, BANDS[level + 1]), _ROWS), "banded")
-        keys = heavy_values(rows, "key")
-        spread = F.col("key").isin(keys)
-        light, heavy = (rows.where(~spread), rows.where(spread)) if keys else (rows, None)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
