@@ -12,16 +12,6 @@ from pyspark.sql import functions as F
 SHARE = 1000
 
 
-def heavy_values(rows: DataFrame, key: str) -> list:
-    """The fewer than ``SHARE`` values of ``key`` that hold more than one row in ``SHARE``, and more than one row."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    most = counts.where("n > 1").orderBy(F.desc("n")).limit(SHARE).collect()
-    if not most:
-        return []
-    total = rows.count()
-    return [r[0] for r in most if r["n"] * SHARE > total]
-
-
 def join_unique(rows: DataFrame, unique: DataFrame, on: list[str], number: str) -> DataFrame:
     """``rows`` joined with ``unique``, which has each key once and, in ``number``, how many rows it has.
 
