@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.counters import APPROX, Counter, get_counter
 from ..sources import readers
+from ..tables import cut, discard
 from . import formats as R
 from . import messages as M
 
@@ -46,7 +47,7 @@ def token_stats(records: DataFrame, budget: int = 16385, counter: Counter = APPR
 
 def validate_records(lines: DataFrame, fmt: str = "auto", budget: int = 16385, max_listed: int = 20, counter: str | Counter | None = None) -> ValidationReport:
     """Report on (line_no, raw) rows; what reaches the driver has a fixed size."""
-    records = readers.pinned(lines, fmt).cache()
+    records = cut(readers.pinned(lines, fmt).select("line_no", "fmt", "issues", "rec"), "validated")
     counts = records.agg(F.count(F.lit(1)), F.count_if(F.size("issues") == 0)).first()
     report = ValidationReport(int(counts[0]), int(counts[1]))
     report.issues = {r.issue: r.n for r in issue_histogram(records).collect()}
@@ -54,7 +55,7 @@ def validate_records(lines: DataFrame, fmt: str = "auto", budget: int = 16385, m
     report.invalid = [(r.line_no, tuple(r.issues)) for r in bad.collect()]
     if report.valid:
         report.tokens = token_stats(records, budget, get_counter(counter)).first().asDict()
-    records.unpersist()
+    discard(records)
     return report
 
 

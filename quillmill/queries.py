@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -419,8 +419,7 @@ def _own_place(spark, name: str) -> str:
 @query("SELECT event_id AS seq, row_number() OVER (ORDER BY event_id) + (row_number() OVER (ORDER BY event_id) - 1) // 10 AS line_no FROM events")
 def jsonl_lines(spark, sf):
     """A JSONL file with a blank line after each tenth record, written in order and read again."""
-    rank = F.row_number().over(Window.orderBy("event_id"))
-    rows = _t(spark, sf, "events").select(F.col("event_id").alias("seq"), rank.alias("r"))
+    rows = readers.numbered(_t(spark, sf, "events").select(F.col("event_id").alias("seq")), ["seq"], "r").withColumn("r", F.col("r") + 1)
     line = F.concat(F.lit('{"id": '), "seq", F.when(F.col("r") % 10 == 0, F.lit("}\n")).otherwise(F.lit("}")))
     sinks.joined(rows.select("seq", line.alias("value")), ["seq"], path := _own_place(spark, "lines.jsonl"))
     got = readers.read_jsonl(spark, path)
@@ -463,16 +462,60 @@ def jsonl_table(spark, sf):
     return _table_back(spark, sf, write)
 
 
+def _json_file(rows: DataFrame, path: str, head: str, tail: str) -> str:
+    """``value`` of the rows as the objects of one array, in the order of ``seq``, several on a line or over lines."""
+    numbered = readers.numbered(rows, ["seq"], "r")
+    last = numbered.agg(F.max("r").alias("last"))
+    line = F.concat(F.when(F.col("r") == 0, F.lit(head)).otherwise(F.lit(",")), "value", F.when(F.col("r") == F.col("last"), F.lit(tail)).otherwise(F.lit("")))
+    sinks.joined(numbered.join(F.broadcast(last)).select("seq", line.alias("value")), ["seq"], path)
+    return path
+
+
 @query(_PARTS)
 def json_table(spark, sf):
     def write(rows):
-        whole = rows.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("question", "answer"))).alias("records"))).alias("value"))
-        whole.coalesce(1).write.text(path := _own_place(spark, "part.json"))
-        return path
+        made = rows.select(F.col("question").cast("long").alias("seq"), F.to_json(F.struct("question", "answer")).alias("value"))
+        return _json_file(made, _own_place(spark, "part.json"), '{"about": {"items": [1, "]}"]}, "other": [{"question": "no"}], "records": [', '], "more": [{"question": "none"}]}')
 
     return _table_back(spark, sf, write)
 
 
+@query("""SELECT p_partkey::VARCHAR AS question, p_name AS its, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE '{"a]":[' || p_size || ',"}{"]}' END AS deep,
+  p_type || chr(10) || '"quoted\\' AS brackets FROM part""")
+def json_table_odd_keys(spark, sf):
+    """An array of objects whose keys and texts hold quotes, brackets and line ends."""
+    part = _t(spark, sf, "part")
+    deep = F.when(F.col("p_partkey") % 3 != 0, F.struct(F.array(F.col("p_size").cast("string"), F.lit("}{")).alias("a]")))
+    made = part.select(F.col("p_partkey").alias("seq"), F.to_json(F.struct(F.col("p_partkey").alias("question"), F.col("p_name").alias("it's"), deep.alias("b[0].c"), F.concat("p_type", F.lit('\n"quoted\\')).alias("d$['e']"))).alias("value"))
+    made = made.withColumn("value", F.regexp_replace("value", r'\["(\d+)","\}\{"\]', r'[$1,"}{"]'))
+    got = readers.read_table(spark, _json_file(made, _own_place(spark, "odd.json"), "[", "]"))
+    return got.select("question", F.col("it's").alias("its"), F.col("`b[0].c`").alias("deep"), F.col("d$['e']").alias("brackets"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS question, p_name || chr(10) || '"' || p_type || '",' || chr(10) || chr(10) AS answer, p_size || '" pipe' AS loose FROM part""")
+def csv_table_line_ends(spark, sf):
+    """Cells that hold line ends, quotes and separators; a cell that only has a quote inside is not quoted."""
+    part = _t(spark, sf, "part")
+    cell = F.concat(F.lit('"'), F.replace(F.concat("p_name", F.lit('\n"'), "p_type", F.lit('",\n\n')), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat(F.when(F.col("r") == 0, F.lit("question,answer,loose\n")).otherwise(F.lit("")), F.col("p_partkey").cast("string"), F.lit(","), cell, F.lit(","), F.col("p_size").cast("string"), F.lit('" pipe'))
+    numbered = readers.numbered(part, ["p_partkey"], "r")
+    sinks.joined(numbered.select(F.col("p_partkey").alias("seq"), line.alias("value")), ["seq"], path := _own_place(spark, "cells.csv"))
+    return readers.read_table(spark, path).select("question", "answer", "loose")
+
+
+@query(f"""WITH {_CONV}, f AS (SELECT conv_id, m FROM conv WHERE len({_ISSUES}) = 0)
+  SELECT conv_id % 2 AS file, count(*) AS n FROM f GROUP BY 1""")
+def examples_of_two_formats(spark, sf):
+    """A folder with a file of each of two formats: each file pins its own, and no record is lost."""
+    conv = _conversations(spark, sf).where(F.size(M.issues(F.col("messages"))) == 0)
+    folder = _own_place(spark, "formats")
+    for k, encode in enumerate((R.encode_openai, R.encode_sharegpt)):
+        rows = conv.where(F.col("seq") % 2 == k).select("seq", encode(F.col("messages")).alias("value"))
+        sinks.joined(rows, ["seq"], f"{folder}/{k}.jsonl")
+    back = readers.read_examples(spark, folder)
+    return back.groupBy(F.floor(F.col("seq") / 2**40).cast("long").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT doc_id, sha256(text || chr(10)) AS sha256, (length(text) + 1)::INT AS chars FROM documents")
 def document_files(spark, sf):
     """Each document as a file in a folder of its own, read as documents."""

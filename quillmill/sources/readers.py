@@ -18,13 +18,15 @@ from ..errors import FormatError, ValidationError
 from ..functions import text as T
 from ..operators import formats as R
 from ..tables import cut, shared_dir
-from . import paths
+from . import paths, ranges
 
 DOCUMENTS = "seq long, source string, text string, sha256 string, index int"
 #: Archives that Spark's own line readers do not open.
 _FOREIGN = r"(?i)\.(gzip|xz|lzma)$"
 #: Splits of a dataset whose line numbers are broadcast (some 200 bytes each).
 BROADCAST_SPLITS = 100_000
+#: Files of a dataset whose formats are broadcast.
+BROADCAST_FILES = 100_000
 _OPEN = {"gz": gzip.decompress, "gzip": gzip.decompress, "xz": lzma.decompress, "lzma": lzma.decompress, "bz2": bz2.decompress}
 
 
@@ -146,20 +148,22 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def pinned(lines: DataFrame, fmt: str = "auto") -> DataFrame:
-    """Records with ``fmt`` and ``issues``: the first valid record's format holds for all later ones.
+    """Records with ``fmt`` and ``issues``: a file's first valid record's format holds for all later ones of the file.
 
-    Up to that record each line is judged by its own keys. One line number and one name reach
-    the driver.
+    Up to that record each line is judged by its own keys. Lines without a ``path`` are one file.
     """
     rows = parsed(lines)
     if fmt != "auto":
         return rows.withColumn("fmt", F.lit(R.get_format(fmt))).withColumn("issues", R.record_issues(F.col("rec"), F.col("fmt"))).drop("own")
     rows = rows.withColumn("issues", R.record_issues(F.col("rec"), F.col("own")))
-    pin = rows.where(F.size("issues") == 0).agg(F.min_by("own", "line_no"), F.min("line_no")).first()
-    if pin[0] is None:
-        return rows.withColumnRenamed("own", "fmt")
-    rows = rows.withColumn("fmt", F.when(F.col("line_no") > pin[1], F.lit(pin[0])).otherwise(F.col("own"))).drop("own")
-    return rows.withColumn("issues", F.when(F.col("line_no") > pin[1], R.record_issues(F.col("rec"), F.col("fmt"))).otherwise(F.col("issues")))
+    place = F.col("path") if "path" in lines.columns else F.lit("")
+    pins = rows.where(F.size("issues") == 0).groupBy(place.alias("_file")).agg(F.min_by("own", "line_no").alias("_pin"), F.min("line_no").alias("_from"))
+    pins = cut(pins, "pins")
+    pins = F.broadcast(pins) if pins.count() <= BROADCAST_FILES else pins
+    rows = rows.withColumn("_at", place)
+    later = F.coalesce(F.col("line_no") > F.col("_from"), F.lit(False))
+    rows = rows.join(pins, F.col("_at") == F.col("_file"), "left").withColumn("fmt", F.when(later, F.col("_pin")).otherwise(F.col("own"))).drop("own")
+    return rows.withColumn("issues", F.when(later, R.record_issues(F.col("rec"), F.col("fmt"))).otherwise(F.col("issues"))).drop("_at", "_file", "_pin", "_from")
 
 
 def read_examples(spark: SparkSession, path: str, input_format: str = "auto", on_invalid: str = "raise") -> DataFrame:
@@ -202,24 +206,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         separator = max(",;\t|", key=head.count)
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         over = bool(lines.where(quotes % 2 == 1).limit(1).count())  # a cell goes on in the next line
-        return spark.read.csv(path, header=True, sep=separator, quote='"', escape='"', multiLine=over, nullValue="\ufdd0", emptyValue="").na.fill("")
+        if over:
+            return ranges.read_csv(spark, path, separator).na.fill("")
+        return spark.read.csv(path, header=True, sep=separator, quote='"', escape='"', nullValue="\ufdd0", emptyValue="").na.fill("")
     if suffix in ("jsonl", "ndjson") or (suffix != "json" and head.lstrip().startswith("{")):
         records = read_jsonl(spark, path)
         bad = records.where(~F.coalesce(R.is_object(F.try_parse_json("raw")), F.lit(False))).agg(F.min("line_no")).first()[0]
         if bad is not None:
             raise FormatError(f"{path}:{bad}: a line must be a JSON object")
         return spark.read.json(path)
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json(F.regexp_replace("value", "^\ufeff", "")).alias("v"))
-    kind = whole.select(F.schema_of_variant("v")).first()[0]
-    if kind is None:
-        raise FormatError(f"{path}: not JSON")
-    if kind.startswith("OBJECT"):
-        key = next((k for k in ("data", "records", "rows", "items") if whole.select(F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")).startswith("ARRAY")).first()[0]), None)
-        if key is None:
-            raise FormatError(f"{path}: no array of objects under data, records, rows or items")
-        whole = whole.select(F.try_variant_get("v", f"$.{key}", "variant").alias("v"))
-    rows = whole.select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("r")).select(F.to_json("r").alias("value"))
-    if rows.where(~F.col("value").startswith("{")).limit(1).count():
-        raise FormatError(f"{path}: an array must hold objects alone")
-    names = [r[0] for r in rows.select(F.explode(F.json_object_keys("value"))).distinct().collect()]
-    return rows.select(*(F.get_json_object("value", f"$['{n}']").alias(n) for n in sorted(names)))
+    rows = ranges.read_json_objects(spark, path, ("data", "records", "rows", "items"))
+    names = sorted(r[0] for r in rows.select(F.explode(F.json_object_keys("value"))).distinct().collect())
+    cells = rows.select(F.from_json("value", "map<string,string>").alias("m"))
+    return cells.select(*(F.element_at("m", F.lit(n)).alias(n) for n in names))
