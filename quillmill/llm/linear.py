@@ -11,6 +11,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
 
 class Rows:
     """Sparse rows: feature numbers and values, row by row."""
@@ -109,15 +111,33 @@ def bounded_sample(rows: DataFrame, key: str, label: str, limit: int) -> DataFra
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n", "_label", "_rows")
 
 
+def _fitting(most: int):
+    """Of rows (label, hash, doc_id, size, _row) in order, those that fit into what is left of their label's ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: dict[str, int] = {}
+        for batch in batches:
+            kept = []
+            for label, size, row in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+                if size <= left.setdefault(label, most):
+                    left[label] -= size
+                    kept.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["_row"])
+
+    return run
+
+
 def fitted_in_one_task(features: DataFrame, label: str, fit: Callable[[pa.Table], object], most: int = FEATURES) -> object:
     """What ``fit`` makes of a table of (doc_id, ``label``, features, ...) rows; None without rows.
 
-    Of each label come rows in the order of their ids' hashes until ``most`` features are held.
-    The table lives in one task and only the model, pickled, reaches the driver.
+    Of each label come rows in the order of their ids' hashes as long as ``most`` features are held; a row
+    that no longer fits is left out, and smaller ones behind it still come. The table lives in one task and
+    only the model, pickled, reaches the driver. ``features`` holds a bounded sample of rows.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id", F.size("features"))
-    held = features.withColumn("_sum", F.sum(F.size("features").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    held = held.where(F.col("_sum") <= most).drop("_sum")
+    features = cut(features.withColumn("_row", F.monotonically_increasing_id()), "features")
+    sizes = features.select(F.col(label).cast("string").alias("label"), F.xxhash64("doc_id").alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), F.size("features").cast("long").alias("size"), "_row")
+    fitting = sizes.repartition(1).sortWithinPartitions("label", "hash", "doc_id", "size").mapInArrow(_fitting(most), "_row long")
+    held = features.join(fitting, "_row", "left_semi").drop("_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if got := [x for x in batches if x.num_rows]:

@@ -173,3 +173,31 @@ def test_bounded_samples(spark):
     made = rows.where("doc_id < 1000").withColumn("features", F.array_repeat(F.lit(1), 10))
     assert linear.fitted_in_one_task(made, "label", lambda t: (t.num_rows, sum(t["label"].to_pylist())), 55) == (10, 5)
     assert linear.fitted_in_one_task(made.limit(0), "label", len) is None
+
+
+def test_a_row_that_does_not_fit_is_left_out_alone(spark):
+    """One oversize row, first in order, takes no place from the smaller ones of its label."""
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label"))
+    first = rows.where("label = 1").orderBy(F.xxhash64("doc_id")).first().doc_id
+    made = rows.withColumn("features", F.array_repeat(F.lit(1), F.when(F.col("doc_id") == first, 1000).otherwise(20)))
+    assert linear.fitted_in_one_task(made, "label", lambda t: sorted(t["label"].to_pylist()), 500) == [0] * 20 + [1] * 19
+
+
+def test_an_oversize_text_does_not_empty_a_label(spark):
+    """Quality, language and toxicity still learn a label whose first text in order passes the bound on features."""
+    rng = random.Random(3)
+    words = {1: [f"good{i}" for i in range(30)], 0: [f"bad{i}" for i in range(30)]}
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(str(i).encode()) % 3 != 1][:120]
+    texts = {i: " ".join(rng.choice(words[i % 2]) for _ in range(30)) for i in ids}
+    order = spark.createDataFrame([(i,) for i in ids if i % 2], "doc_id long").orderBy(F.xxhash64("doc_id")).first().doc_id
+    texts[order] = " ".join(f"good{i} z{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(i, t, ("de", "en")[i % 2]) for i, t in texts.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    asked = [i for i in ids if i != order]
+    quality_of = {r.doc_id: r.predicted for r in quality.score_quality(docs, labels, features=10_000).collect()}
+    lang_of = {r.doc_id: r.lang_pred for r in langid.identify_language(docs, features=30_000).collect()}
+    assert [quality_of[i] for i in asked] == [i % 2 for i in asked]
+    assert [lang_of[i] for i in asked] == [("de", "en")[i % 2] for i in asked]
+    toxic = spark.createDataFrame([(i, i % 2, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    grades = {r.doc_id: r.severity for r in toxicity.score_toxicity(docs, toxic, features=10_000).collect()}
+    assert min(grades[i] for i in asked if i % 2) > max(grades[i] for i in asked if i % 2 == 0)
