@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -59,27 +59,47 @@ def default_steps(deduplicate: bool = True, max_tokens: int | None = None, count
     if deduplicate:
         steps.append(("dedup", dedup))
     if max_tokens:
-        steps.append(("token_budget", lambda df: token_budget(df, max_tokens, counter)))
+        steps.append(("token_budget", one_pass(lambda df: token_budget(df, max_tokens, counter))))
     return steps
 
 
+def one_pass(step: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Mark a step that reads its input once and runs no job of its own, so that it need not be written for it."""
+    step.one_pass = True
+    return step
+
+
+for _step in (normalize, dedup, min_length):
+    one_pass(_step)
+
+
 def run(examples: DataFrame, steps: list[Step], counts: bool = True) -> tuple[DataFrame, list[dict]]:
-    """Apply steps in order; with ``counts`` each step's output is written, counted, and dropped
-    once the next one is written, so that a lost executor costs no step again."""
-    report, current = [], cut(examples, "examples") if counts else examples
-    size = current.count() if counts else 0
-    if counts and not steps:
-        report.append({"step": "none", "in": size, "out": size})
+    """Apply steps in order; with ``counts`` the result is a written table and each step is reported.
+
+    Rows are counted while they pass, by metrics observed in the job that writes the result. A step that is not
+    marked as ``one_pass`` may read its input more than once, so what it reads is written before.
+    """
+    if not counts:
+        for _, step in steps:
+            examples = step(examples)
+        return examples, []
+    seen = [Observation()]
+    current, written = examples.observe(seen[0], F.count(F.lit(1)).alias("n")), None
     for name, step in steps:
-        after = step(current)
-        if counts:
-            after = cut(after, name)
-            number = after.count()
-            report.append({"step": name, "in": size, "out": number})
-            size = number
-            discard(current)
-        current = after
-    return current, report
+        if not getattr(step, "one_pass", False):
+            current, before = cut(current, "examples"), written
+            if before is not None:
+                discard(before)
+            written = current
+        seen.append(Observation())
+        current = step(current).observe(seen[-1], F.count(F.lit(1)).alias("n"))
+    current = cut(current, "curated")
+    if written is not None:
+        discard(written)
+    sizes = [x.get["n"] for x in seen]
+    if not steps:
+        return current, [{"step": "none", "in": sizes[0], "out": sizes[0]}]
+    return current, [{"step": name, "in": a, "out": b} for (name, _), a, b in zip(steps, sizes, sizes[1:], strict=False)]
 
 
 def split(examples: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
@@ -91,9 +111,9 @@ def split(examples: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     if not 0 <= fraction < 1:
         raise ValueError("the fraction must lie in [0, 1)")
     rank = F.sha2(F.concat_ws("|", F.lit(str(seed)), M.fingerprint(F.col("messages")), "seq", "sub"), 256)
-    marked = examples.withColumn("_r", rank)
     if fraction == 0:
         return examples.withColumn("split", F.lit("train"))
+    marked = cut(examples.withColumn("_r", rank), "ranked")  # a rank is dear: it is taken once
     # Ranks are even, so the first 16 bits part them into at most 65,536 slices of like size; only
     # the slice that holds the last validation row is sorted.
     sliced = marked.select(F.substring("_r", 1, 4).alias("slice"))

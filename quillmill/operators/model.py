@@ -2,6 +2,10 @@
 
 Each Python worker builds its provider once a partition. Rows carry either an example or an
 error, so a build can skip chunks that failed; provider errors stop it.
+
+A chunk's reply is known by what was asked (see ``reply_key``). Tasks write replies down as they come, in
+a journal of their own in the folder ``replies``: a task that is run again, and a later run with the same
+folder, asks only for what no journal holds.
 """
 
 from __future__ import annotations
@@ -9,20 +13,26 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import GenerationError, TruncatedOutputError
 from ..functions import text as T
 from ..functions.counters import APPROX, Counter
 from ..prompts import Wording, wording
-from ..tables import cut
+from ..sources import paths
+from ..tables import cut, shared_dir
 from . import curate, generate
 from . import messages as M
 
+_REPLY = "key string, pairs array<array<string>>, error string"
+
 KINDS = {"llm-qa": ("pairs", "pairs", ("question", "", "answer")), "llm-instruction": ("items", "items", ("instruction", "input", "output"))}
 
 
@@ -80,29 +90,82 @@ def asked(provider, kind: str, text: str, prompts: Wording, n: int, retries: int
         n //= 2
 
 
+def reply_key(kind: str, prompts: Wording, *asked_with) -> Column:
+    """SHA-256 of all that a chunk's reply depends on, the column ``text`` included."""
+    told = json.dumps([prompt_fingerprint(kind, prompts), *map(str, asked_with)])
+    return F.sha2(F.concat(F.lit(told), F.lit("\x1f"), F.col("text")), 256)
+
+
+class Journal:
+    """Replies of one task, by key, in files that only grow; earlier attempts of the task are read first."""
+
+    def __init__(self, folder: str, run: str):
+        context = TaskContext.get()
+        self.files, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        self.files.create_dir(root, recursive=True)
+        stem = f"{root}/{run}-{context.partitionId()}-"
+        self.known: dict[str, dict] = {}
+        for info in self.files.get_file_info(fs.FileSelector(root)):
+            if info.path.startswith(stem):
+                with self.files.open_input_stream(info.path) as file:
+                    self.known |= {r["key"]: r for r in map(_whole_record, file.read().decode(errors="replace").split("\n")) if r}
+        self.out = self.files.open_output_stream(f"{stem}{context.attemptNumber()}-{uuid.uuid4().hex}.jsonl")
+
+    def add(self, record: dict) -> None:
+        self.out.write((json.dumps(record) + "\n").encode())
+        self.out.flush()
+
+
+def _whole_record(line: str) -> dict | None:
+    """A journal's line; the last one of a task that was lost may be cut."""
+    try:
+        return json.loads(line)
+    except ValueError:
+        return None
+
+
 def generate_with_model(
     chunks: DataFrame, provider: Callable[[], object], kind: str = "llm-qa", prompts: Wording = wording(), per_chunk: int = 3, max_input_tokens: int = 6000,
     max_retries: int = 1, min_grounding: float = 0.2, temperature: float = 0.2, system: str | None = None, counter: Counter = APPROX,
+    replies: str | None = None, model_name: str = "",
 ) -> tuple[DataFrame, DataFrame]:
     """(examples, errors), after the model has been asked. Oversized chunks fail without a call;
-    ungrounded answers go."""
+    ungrounded answers go. ``replies`` is a folder of journals that workers reach through Arrow's file
+    systems; a chunk that was asked before, of ``model_name`` and in the same words, is not asked again.
+    Equal chunks are asked once."""
+    spark = chunks.sparkSession
+    replies = replies or f"{shared_dir(spark).rstrip('/')}/quillmill/replies-{uuid.uuid4().hex}"
     rows = chunks.where(~T.is_blank(F.col("text"))).select("seq", generate.place(F.lit(0)).alias("sub"), generate.ref().alias("source"), "text")
     rows = rows.withColumn("small", counter.count(F.col("text")) <= max_input_tokens)
-    small = F.col("small")
+    rows = cut(rows.withColumn("key", reply_key(kind, prompts, model_name, per_chunk, max_retries, temperature)), "asked")
+    small, run_name = F.col("small"), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = provider()
+        model, journal = None, Journal(replies, run_name)
         for batch in batches:
-            out = []
-            for seq, sub, source, text in batch.itertuples(index=False):
+            for key, text in batch.itertuples(index=False):
+                if key in journal.known:
+                    continue
+                model = model or provider()
                 try:
-                    out += [(seq, sub + i, source, text, q, a, None) for i, (q, a) in enumerate(asked(model, kind, text, prompts, per_chunk, max_retries, temperature))]
+                    journal.add({"key": key, "pairs": asked(model, kind, text, prompts, per_chunk, max_retries, temperature), "error": None})
                 except GenerationError as e:
-                    out.append((seq, sub, source, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["seq", "sub", "source", "text", "question", "answer", "error"])
-
-    # Written, so that no lost executor makes the model answer again.
-    made = cut(rows.where(small).drop("small").mapInPandas(run, "seq long, sub long, source string, text string, question string, answer string, error string"), "replies")
+                    journal.add({"key": key, "pairs": [], "error": str(e)})
+        journal.out.close()
+        yield pd.DataFrame({"done": [len(journal.known)]})
+
+    def known() -> DataFrame:
+        found = spark.read.schema(_REPLY).option("mode", "DROPMALFORMED").json(replies).where("key is not null")
+        return found.groupBy("key").agg(F.min(F.struct("error", "pairs")).alias("r")).select("key", "r.*")
+
+    wanted = rows.where(small).groupBy("key").agg(F.min("text").alias("text"))
+    if paths.exists(spark, replies):
+        wanted = wanted.join(known().where("error is null").select("key"), "key", "left_anti")  # what failed is asked again
+    cut(cut(wanted, "wanted").mapInPandas(run, "done long"), "asked")
+    got = known() if paths.exists(spark, replies) else spark.createDataFrame([], _REPLY)
+    made = rows.where(small).drop("small").join(got, "key").select("seq", "sub", "source", "text", "error", F.posexplode_outer("pairs").alias("i", "pair"))
+    made = made.select("seq", (F.col("sub") + F.coalesce("i", F.lit(0))).alias("sub"), "source", "text", F.col("pair")[0].alias("question"), F.col("pair")[1].alias("answer"), "error")
+    made = cut(made.where("error is not null or question is not null"), "replies")
     fine = made.where("error is null").where(curate.grounded(F.col("answer"), F.col("text"), min_grounding))
     examples = fine.select("seq", "sub", "source", M.qa(F.col("question"), F.col("answer"), F.lit(system) if system else None).alias("messages"))
     large = rows.where(~small).select("source", F.lit(f"more than {max_input_tokens} tokens").alias("error"))

@@ -17,6 +17,7 @@ from ..functions.counters import Counter, get_counter
 from ..operators import chunk, curate, generate
 from ..operators import formats as R
 from ..operators import model as L
+from ..operators.seen import Seen
 from ..prompts import wording
 from ..sources import paths, readers, sinks
 from ..tables import cut
@@ -65,6 +66,8 @@ class DatasetBuilder:
     write_lineage: bool = False
     options: dict = field(default_factory=dict)
     described: dict = field(default_factory=dict)
+    #: Folder of fingerprints that earlier builds have kept; this one drops them, and adds its own.
+    seen: str | None = None
 
     def __post_init__(self) -> None:
         if self.on_error not in ("skip", "raise"):
@@ -93,7 +96,8 @@ class DatasetBuilder:
             if failed and self.on_error == "raise":
                 first = errors.orderBy("source", "error").first()
                 raise GenerationError(f"{first.source}: {first.error}")
-        kept, report = curate.run(examples, self.steps)
+        earlier = Seen(self.seen) if self.seen else None
+        kept, report = curate.run(examples, [*self.steps, *([("unseen", earlier.fresh)] if earlier else [])])
         parted = cut(curate.split(kept, self.validation_fraction, self.seed), "parted")
         train, validation = (parted.where(F.col("split") == s).drop("split") for s in ("train", "validation"))
         counts = {r[0]: r[1] for r in parted.groupBy("split").count().collect()}
@@ -112,6 +116,8 @@ class DatasetBuilder:
         result = BuildResult(manifest, train, validation, report, read, errors)
         if out:
             self._save(result, out)
+        if earlier:
+            earlier.remember(parted)  # last, so that a build that fails has kept nothing
         return result
 
     def _save(self, result: BuildResult, out: str) -> None:
@@ -198,13 +204,16 @@ def examples_of(spark: SparkSession, sources, generator: str = "auto", chunker:
 def build_examples(
     examples: DataFrame, out: str | None = None, fmt: str = "openai-chat", steps: list[curate.Step] | None = None, deduplicate: bool = True,
     max_tokens: int | None = None, validation_fraction: float = 0.0, seed: int = 42, described: dict | None = None,
-    token_counter: str | Counter | None = None, write_lineage: bool = False,
+    token_counter: str | Counter | None = None, write_lineage: bool = False, seen: str | None = None,
 ) -> BuildResult:
-    """Curate, split, encode and write a frame of examples. Explicit ``steps`` override the default ones."""
+    """Curate, split, encode and write a frame of examples. Explicit ``steps`` override the default ones.
+
+    ``seen`` is a folder of fingerprints: what earlier builds with it have kept is dropped, and what this one keeps is added.
+    """
     counter = get_counter(token_counter)
     steps = curate.default_steps(deduplicate, max_tokens, counter) if steps is None else steps
     described = described or {"generator": {"name": "prebuilt", "params": {}}, "chunker": {"name": "none"}}
-    made = DatasetBuilder("prebuilt", steps=steps, writer=sinks.JsonlWriter(fmt), validation_fraction=validation_fraction, seed=seed, token_counter=counter, write_lineage=write_lineage, described=described)
+    made = DatasetBuilder("prebuilt", steps=steps, writer=sinks.JsonlWriter(fmt), validation_fraction=validation_fraction, seed=seed, token_counter=counter, write_lineage=write_lineage, described=described, seen=seen)
     return made.finish(examples, None, None, out)
 
 
@@ -212,10 +221,12 @@ def build_dataset(
     spark: SparkSession, sources, out: str | None = None, generator="auto", chunker=None, lang: str = "en", fmt: str = "openai-chat", chunk_options: dict | None = None,
     steps: list[curate.Step] | None = None, deduplicate: bool = True, max_tokens: int | None = None, validation_fraction: float = 0.0, seed: int = 42,
     provider=None, model: str | None = None, system_prompt: str | None = None, token_counter: str | Counter | None = None, on_error: str = "skip",
-    write_lineage: bool = False, **options,
+    write_lineage: bool = False, seen: str | None = None, **options,
 ) -> BuildResult:
     """Read sources, generate, curate and write a dataset.
 
+    ``seen`` is a folder of fingerprints: what earlier builds with it have kept is dropped, and what this one keeps is added.
+
     ``generator`` is a name, ``auto`` (by the first source's suffix, never a model) or a
     function of chunks; ``provider`` a name, an instance or a function that workers call.
     """
@@ -225,7 +236,7 @@ def build_dataset(
         options.setdefault("system", system_prompt)
     name = _generator_of(sources, generator) if isinstance(generator, str) else getattr(generator, "__name__", "custom")
     params = {k: str(v) for k, v in options.items() if k not in ("provider", "prompts")}
-    common = {"steps": steps, "writer": sinks.JsonlWriter(fmt), "validation_fraction": validation_fraction, "seed": seed, "on_error": on_error, "token_counter": counter, "write_lineage": write_lineage}
+    common = {"steps": steps, "writer": sinks.JsonlWriter(fmt), "validation_fraction": validation_fraction, "seed": seed, "on_error": on_error, "token_counter": counter, "write_lineage": write_lineage, "seen": seen}
     documents = readers.read_documents(spark, [s for s in _items(sources) if name != "template" or not isinstance(s, DataFrame)])
     if name == "template":
         described = {"generator": {"name": name, "params": params}, "chunker": {"name": "none"}}
@@ -233,6 +244,7 @@ def build_dataset(
     title, cutter, options = _planned(name if isinstance(generator, str) else generator, chunker, lang, chunk_options, dict(options), provider, model)
     if generate.needs_provider(name):
         options.setdefault("counter", counter)
+        options.setdefault("model_name", f"{provider if isinstance(provider, str) else type(provider).__name__} {model or ''}")
         if hasattr(provider, "lineage"):
             params["weights"] = provider.lineage()
         params |= {"provider": provider if isinstance(provider, str) else type(provider).__name__, "model": model or "", "prompts": L.prompt_fingerprint(name, options.get("prompts") or wording(lang))}

@@ -12,6 +12,7 @@ from .functions import text as T
 from .operators import chunk, curate, generate, model, validate
 from .operators import formats as R
 from .operators import messages as M
+from .operators.seen import Seen
 from .plans import build
 from .prompts import wording
 from .providers import FakeProvider
@@ -516,6 +517,21 @@ def examples_of_two_formats(spark, sf):
     return back.groupBy(F.floor(F.col("seq") / 2**40).cast("long").alias("file")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH d AS (SELECT DISTINCT sha256('user' || chr(31) || 'tell' || chr(30) || 'assistant' || chr(31) || {_NORM.format('text')} || chr(30)) AS fp FROM documents),
+  b AS (SELECT item_id, sha256('user' || chr(31) || 'tell' || chr(30) || 'assistant' || chr(31) || {_NORM.format('text')} || chr(30)) AS fp FROM benchmark)
+  SELECT item_id FROM b WHERE fp NOT IN (SELECT fp FROM d)""")
+def fresh_after_a_build(spark, sf):
+    """A build of all documents, and a second one of documents and benchmark together: what the first has not kept."""
+    def made(name, key):
+        rows = _t(spark, sf, name).select(F.col(key).alias("seq"), "text")
+        return rows.select("seq", F.lit(0).cast("long").alias("sub"), F.lit(name).alias("source"), M.qa(F.lit("Tell"), F.col("text")).alias("messages"))
+
+    folder, steps = _own_place(spark, "seen"), [("dedup", curate.dedup)]
+    build.build_examples(made("documents", "doc_id"), steps=steps, seen=folder)
+    again = made("documents", "doc_id").unionByName(made("benchmark", "item_id"))
+    return Seen(folder).fresh(again).select(F.col("seq").alias("item_id"))
+
+
 @query("SELECT doc_id, sha256(text || chr(10)) AS sha256, (length(text) + 1)::INT AS chars FROM documents")
 def document_files(spark, sf):
     """Each document as a file in a folder of its own, read as documents."""

@@ -28,6 +28,15 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a file or folder within one file system; folders above its new place are made."""
+    fs, source = _at(spark, path)
+    _, target = _at(spark, to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def _created(spark: SparkSession, path: str):
     fs, target = _at(spark, path)
     fs.setWriteChecksum(False)  # no checksum file beside a local one

@@ -18,7 +18,7 @@ from ..errors import FormatError, ValidationError
 from ..functions import text as T
 from ..operators import formats as R
 from ..tables import cut, shared_dir
-from . import paths, ranges
+from . import archives, paths, ranges
 
 DOCUMENTS = "seq long, source string, text string, sha256 string, index int"
 #: Archives that Spark's own line readers do not open.
@@ -99,24 +99,34 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     return ranged.join(F.broadcast(sizes.select("_p", "_before")), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
 
 
+def _retold(e: Exception) -> None:
+    """What a job raises carries the message of the task."""
+    if told := re.search(r"([^\s\]]+): cannot be read as UTF-8 text", str(e)):
+        raise FormatError(told[0]) from e
+
+
 def _cut_text(df: DataFrame, name: str) -> DataFrame:
     """``cut``, with text that is no UTF-8 told as such."""
     try:
         return cut(df, name)
-    except Exception as e:  # what a job raises carries the message of the task
-        if told := re.search(r"([^\s\]]+): cannot be read as UTF-8 text", str(e)):
-            raise FormatError(told[0]) from e
+    except Exception as e:
+        _retold(e)
         raise
 
 
-def _lines(spark: SparkSession, wanted: list[str]) -> DataFrame:
-    """(path, line_no, raw) of all lines of files that Spark opens itself, read in splits.
+def _lines(spark: SparkSession, wanted: list[str], foreign: list[str]) -> DataFrame:
+    """(path, line_no, raw) of all lines of some files, those that Spark opens itself read in splits.
 
-    Each split numbers its lines, and the counts of the splits before it are added.
+    Each split numbers its lines, and the counts of the splits before it are added; so it is with
+    the blocks of archives, which come through a data source of their own.
     """
-    read = spark.read.option("recursiveFileLookup", "true").text(wanted)
-    rows = read.select(_plain("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"), "value")
-    rows = rows.where(~F.col("path").rlike(_FOREIGN))
+    rows = None
+    if wanted:
+        read = spark.read.option("recursiveFileLookup", "true").text(wanted)
+        rows = read.select(_plain("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"), "value")
+    if foreign:
+        more = archives.archive_lines(spark, foreign).withColumn("value", F.col("value").cast("string")).select("path", "split", "i", "value")
+        rows = more if rows is None else rows.unionByName(more)
     bad = F.raise_error(F.concat("path", F.lit(": cannot be read as UTF-8 text")))
     rows = _cut_text(rows.withColumn("value", F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(bad.cast("string"))), "lines")
     sizes = rows.groupBy("path", "split").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -129,16 +139,14 @@ def _lines(spark: SparkSession, wanted: list[str]) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, raw): lines that are not blank, numbered from 1 with blank ones counted.
 
-    Plain, .gz and .bz2 files are read by lines, plain ones in splits; .xz, .lzma and .gzip files
-    whole, one task each.
+    Plain files are read in splits, .xz files by their blocks, other archives by one task each; none is
+    held as a whole.
     """
-    files = _files(spark, path)
-    foreign = files.where(F.col("path").rlike(_FOREIGN))
-    rows = _lines(spark, paths.expanded(spark, path))
-    if foreign.select("path").limit(1).count():
-        texts = foreign.mapInPandas(_decoded, "path string, text string")
-        more = texts.select("path", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("i", "raw"))
-        rows = rows.union(more.select("path", (F.col("i") + 1).cast("long").alias("line_no"), "raw"))
+    wanted, names = paths.expanded(spark, path), _files(spark, path).select("path")
+    foreign = sorted(r[0] for r in names.where(F.col("path").rlike(_FOREIGN)).collect())  # names of archives, not what they hold
+    if foreign:
+        wanted = sorted(r[0] for r in names.where(~F.col("path").rlike(_FOREIGN)).collect())
+    rows = _lines(spark, wanted, foreign)
     return rows.select("path", "line_no", T.strip(F.col("raw")).alias("raw")).where("raw <> ''")
 
 
@@ -184,11 +192,20 @@ def read_examples(spark: SparkSession, path: str, input_format: str = "auto", on
 
 
 def _unpacked(spark: SparkSession, path: str) -> str:
-    """``path``, or a folder of the shared place with the text of an archive that Spark does not open."""
+    """``path``, or a folder of the shared place with the text of an archive that Spark does not open.
+
+    One task writes it, line by line, so that the file's head stays its head.
+    """
     if not re.search(_FOREIGN, path):
         return path
     folder = f"{shared_dir(spark).rstrip('/')}/quillmill/unpacked-{uuid.uuid4().hex}"
-    _files(spark, path).mapInPandas(_decoded, "path string, text string").select("text").write.text(folder)
+    lines = archives.archive_lines(spark, [path]).select(F.col("value").cast("string").alias("value"))
+    bad = F.raise_error(F.lit(f"{path}: cannot be read as UTF-8 text")).cast("string")
+    try:
+        lines.coalesce(1).select(F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(bad).alias("value")).write.text(folder)
+    except Exception as e:
+        _retold(e)
+        raise
     return folder
 
 
