@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunk, curate, generate, model, validate
+from .operators import chunk, curate, generate, long, model, validate
 from .operators import formats as R
 from .operators import messages as M
 from .operators.seen import Seen
@@ -255,6 +255,13 @@ def _packed(size: str, sep: int, most: int, least: int) -> str:
   SELECT g.seq, g.chunk::INT AS index, g.text FROM g JOIN last USING (seq) WHERE g.chunk < last.made OR last.size >= {least} OR last.made = 0"""
 
 
+@query(_packed("length(x)", 2, 3000, 200))
+def chunk_long_paragraphs(spark, sf):
+    """The same chunks from rows of lines, so that no document is one row."""
+    docs = _structured(spark, sf).select("seq", "source", F.posexplode(F.split("text", T.LINE_END)).alias("n", "line"))
+    return long.paragraphs(docs.select("seq", "source", (F.col("n") + 1).alias("line_no"), "line")).select("seq", "index", "text")
+
+
 @query(_packed("length(x)", 2, 3000, 200))
 def chunk_paragraphs(spark, sf):
     return chunk.paragraphs(_structured(spark, sf)).select("seq", "index", "text")

@@ -150,6 +150,21 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "line_no", T.strip(F.col("raw")).alias("raw")).where("raw <> ''")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, source, line_no, line): documents of any length as rows of lines, for ``operators.long``.
+
+    A file is a document; ``seq`` follows the order of paths. Lines end as ``text.lines`` ends them, and
+    ``line_no`` is dense over all files.
+    """
+    wanted, names = paths.expanded(spark, path), _files(spark, path).select("path")
+    foreign = sorted(r[0] for r in names.where(F.col("path").rlike(_FOREIGN)).collect())
+    rows = _lines(spark, sorted(r[0] for r in names.where(~F.col("path").rlike(_FOREIGN)).collect()) if foreign else wanted, foreign)
+    rows = rows.select("path", "line_no", F.posexplode(F.split(F.when(F.col("line_no") == 1, F.regexp_replace("raw", "^\ufeff", "")).otherwise(F.col("raw")), T.LINE_END)).alias("sub", "line"))
+    rows = numbered(rows, ["path", "line_no", "sub"], "n")
+    order = rows.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("seq"))
+    return rows.join(F.broadcast(order), "path").select("seq", F.col("path").alias("source"), (F.col("n") + 1).alias("line_no"), "line")
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines with ``rec`` (null for bad JSON) and ``own``, the format that the keys show."""
     return lines.withColumn("rec", F.try_parse_json("raw")).withColumn("own", R.detect(F.col("rec")))
