@@ -132,8 +132,11 @@ class DatasetBuilder:
                 paths.remove(spark, names[name])  # a stale file of an earlier build
                 continue
             entry = {"name": os.path.basename(names[name]), "records": self.writer.write(rows, names[name])}
-            if paths.is_file(spark, names[name]):
-                entry["sha256"] = paths.sha256(spark, names[name])
+            told = getattr(self.writer, "written", {}).get(names[name], {})
+            if "sha256" in told or paths.is_file(spark, names[name]):
+                entry["sha256"] = told.get("sha256") or paths.sha256(spark, names[name])
+            if told.get("files"):
+                entry["files"] = told["files"][:LISTED]
             result.manifest["output"]["files"].append(entry)
             result.paths[name] = names[name]
         if self.write_lineage:

@@ -49,16 +49,18 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def join_parts(spark: SparkSession, folder: str, path: str) -> None:
-    """The folder's part files, in the order of their names, as one file; streams, block by block."""
+def join_parts(spark: SparkSession, folder: str, path: str) -> str:
+    """The folder's part files, in the order of their names, as one file; streams, block by block. Its SHA-256."""
     fs, source = _at(spark, folder)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    out = _created(spark, path)
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    out = jvm.java.security.DigestOutputStream(_created(spark, path), digest)
     for part in sorted((s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName()):
         read = fs.open(part)
         jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, conf, False)
         read.close()
     out.close()
+    return jvm.org.apache.commons.codec.binary.Hex.encodeHexString(digest.digest())
 
 
 def sha256(spark: SparkSession, path: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import formats as R
-from . import paths
+from . import dataset, paths
 from .readers import numbered
 
 
@@ -17,31 +17,41 @@ def encoded(examples: DataFrame, fmt: str) -> DataFrame:
     return examples.select("seq", "sub", R.ENCODERS[R.get_format(fmt)](F.col("messages")).alias("value"))
 
 
-def joined(rows: DataFrame, order: list[str], path: str) -> int:
-    """Write ``value`` in order as one file and return its lines.
+def joined(rows: DataFrame, order: list[str], path: str) -> dict:
+    """Write ``value`` in order as one file; its records and SHA-256.
 
     Part files are written in parallel and joined as streams in the same file system; rows never
-    meet in one task.
+    meet in one task, and none is read again to be counted or hashed.
     """
     spark, folder = rows.sparkSession, f"{path}.parts"
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(folder)
-    number = spark.read.text(folder).count()
-    paths.join_parts(spark, folder, path)
+    told = parts(rows, order, folder)
+    digest = paths.join_parts(spark, folder, path)
     paths.remove(spark, folder)
-    return number
+    return {"records": told["records"], "sha256": digest}
+
+
+def parts(rows: DataFrame, order: list[str], path: str) -> dict:
+    """Write ``value`` in order as a folder of part files, whose names follow the order; records and files.
+
+    The folder takes the place of an earlier one once it is whole. Stores that Arrow does not know are
+    written by Spark's own writer, and counted there.
+    """
+    spark = rows.sparkSession
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value")
+    try:
+        dataset.filesystem(path)
+    except (OSError, ValueError):
+        ordered.write.mode("overwrite").text(path)
+        return {"records": spark.read.text(path).count(), "files": []}
+    return dataset.write(ordered, path)
 
 
 def write_jsonl(examples: DataFrame, path: str, fmt: str = "openai-chat", single_file: bool = True) -> int:
     """Write examples in order and return their number.
 
-    One file is for datasets that one reader takes; otherwise a folder of part files, whose
-    names follow the order, is written in parallel.
+    One file is for datasets that one reader takes; otherwise a folder of part files is written in parallel.
     """
-    rows = encoded(examples, fmt)
-    if single_file:
-        return joined(rows, ["seq", "sub"], path)
-    rows.repartitionByRange("seq", "sub").sortWithinPartitions("seq", "sub").select("value").write.mode("overwrite").text(path)
-    return rows.count()
+    return JsonlWriter(fmt, single_file).write(examples, path)
 
 
 class JsonlWriter:
@@ -50,8 +60,13 @@ class JsonlWriter:
     def __init__(self, fmt: str = "openai-chat", single_file: bool = True):
         self.format, self.single_file = R.get_format(fmt), single_file
 
+        #: What was written, by destination: records, and the file's SHA-256 or the folder's files.
+        self.written: dict[str, dict] = {}
+
     def write(self, examples: DataFrame, destination: str) -> int:
-        return write_jsonl(examples, destination, self.format, self.single_file)
+        make = joined if self.single_file else parts
+        self.written[destination] = make(encoded(examples, self.format), ["seq", "sub"], destination)
+        return self.written[destination]["records"]
 
 
 class InMemoryWriter:
@@ -71,7 +86,7 @@ def write_lineage(train: DataFrame, validation: DataFrame, path: str) -> int:
     parts = [numbered(df.select(F.lit(i).alias("part"), F.lit(name).alias("split"), "seq", "sub", "source"), ["seq", "sub"], "index") for i, (name, df) in enumerate((("train", train), ("validation", validation)))]
     rows = parts[0].unionByName(parts[1])
     line = F.to_json(F.struct("split", F.col("index"), "source"), {"ignoreNullFields": "false"})
-    return joined(rows.select("part", "index", line.alias("value")), ["part", "index"], path)
+    return joined(rows.select("part", "index", line.alias("value")), ["part", "index"], path)["records"]
 
 
 def lineage(train: DataFrame, validation: DataFrame) -> DataFrame:
