@@ -548,6 +548,35 @@ def document_files(spark, sf):
     return got.select(F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "sha256", F.length("text").alias("chars"))
 
 
+@query(f"""WITH {_CONV}, f AS (SELECT conv_id, m FROM conv WHERE len({_ISSUES}) = 0)
+  SELECT conv_id, array_to_string(list_transform(m, lambda x: x.role || ':' || x.text), '|') AS told, (SELECT count(*) FROM f) AS records FROM f""")
+def examples_folder(spark, sf):
+    """Valid conversations as a folder of parts, read again, beside what the parts' manifest counts."""
+    conv = _conversations(spark, sf).where(F.size(M.issues(F.col("messages"))) == 0)
+    writer = sinks.JsonlWriter("openai-chat", single_file=False)
+    writer.write(conv, path := _own_place(spark, "chat"))
+    lines = readers.read_jsonl(spark, path).select("raw")
+    told = F.array_join(F.transform(R.decode(F.try_parse_json("raw"), F.lit("openai-chat")), lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")
+    back = lines.select(told.alias("told")).join(conv.select(F.col("seq").alias("conv_id"), F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|").alias("told")), "told")
+    return back.select("conv_id", "told", F.lit(writer.written[path]["records"]).cast("long").alias("records"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n, greatest(1, floor(count(*) * 0.2)::BIGINT) AS v FROM documents)
+  SELECT n - v AS train, v AS validation, n AS lineage_rows, n - v AS lineage_train, n AS kept, 2::BIGINT AS files, true AS hashes_match, 0::BIGINT AS least_index, n - v - 1 AS last_index FROM n""")
+def build_files(spark, sf):
+    """A build of all documents written out: its manifest, lineage and hashes as they lie in the files."""
+    path = _own_place(spark, "built") + "/data.jsonl"
+    build.build_examples(_doc_examples(spark, sf), path, steps=[], validation_fraction=0.2, write_lineage=True)
+    told = spark.read.text(f"{path}.manifest.json", wholetext=True).select(F.from_json("value", "counts struct<kept:long,train:long,validation:long>, output struct<files:array<struct<name:string,sha256:string>>>").alias("m")).select("m.*")
+    files = told.select("counts", F.size("output.files").cast("long").alias("files"), F.explode("output.files").alias("f"))
+    bodies = spark.read.format("binaryFile").load([path, path.replace(".jsonl", ".validation.jsonl")]).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha"))
+    met = files.join(bodies, F.col("f.name") == F.col("name")).groupBy("counts", "files").agg((F.count_if(F.col("f.sha256") == F.col("sha")) == F.first("files")).alias("hashes_match"))
+    lineage = spark.read.schema("split string, index long, source string").json(f"{path}.lineage.jsonl")
+    train = F.col("split") == "train"
+    rows = lineage.agg(F.count(F.lit(1)).alias("lineage_rows"), F.count_if(train).alias("lineage_train"), F.min("index").alias("least_index"), F.max(F.when(train, F.col("index"))).alias("last_index"))
+    return met.join(F.broadcast(rows)).select("counts.train", "counts.validation", "lineage_rows", "lineage_train", "counts.kept", "files", "hashes_match", "least_index", "last_index")
+
+
 @query(f"""WITH {_CONV}, f AS (SELECT conv_id, m FROM conv WHERE len({_ISSUES}) = 0), l AS (SELECT conv_id, m, row_number() OVER (ORDER BY conv_id) AS n FROM f)
   SELECT n AS seq, array_to_string(list_transform(m, lambda x: x.role || ':' || x.text), '|') AS told FROM l""")
 def examples_file(spark, sf):
