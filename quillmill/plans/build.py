@@ -248,8 +248,6 @@ def build_dataset(
     if generate.needs_provider(name):
         options.setdefault("counter", counter)
         options.setdefault("model_name", f"{provider if isinstance(provider, str) else type(provider).__name__} {model or ''}")
-        if hasattr(provider, "lineage"):
-            params["weights"] = provider.lineage()
         params |= {"provider": provider if isinstance(provider, str) else type(provider).__name__, "model": model or "", "prompts": L.prompt_fingerprint(name, options.get("prompts") or wording(lang))}
     described = {"generator": {"name": name, "params": params}, "chunker": {"name": title}}
     made = DatasetBuilder(name if isinstance(generator, str) else generator, cutter, options=options, described=described, **common)
