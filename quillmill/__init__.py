@@ -13,12 +13,13 @@ from .providers import Completion, Provider
 from .providers import create as create_provider
 from .providers import register as register_provider
 from .seams import Chunker, Curation, Generator, TokenCounter, Writer
-from .sources.readers import read_documents, read_examples, read_jsonl, read_table
+from .sources.readers import read_documents, read_examples, read_jsonl, read_lines, read_table, rejected
+from .types import Document, Example, Message, Role, documents_frame, examples_frame
 
 __all__ = [
-    "BuildResult", "Chunker", "Completion", "ConfigError", "Counter", "Curation", "DatasetBuilder", "FormatError", "GenerationError", "Generator", "Provider",
-    "ProviderError", "QuillmillError", "TokenCounter", "TruncatedOutputError", "ValidationError", "ValidationReport", "Wording", "Writer", "__version__",
-    "build_dataset", "build_examples", "chunk", "convert_jsonl", "create_provider", "curate", "examples_of", "formats", "generate", "get_counter", "messages",
-    "model", "read_documents", "read_examples", "read_jsonl", "read_table", "register_provider", "split_examples", "validate", "validate_jsonl",
+    "BuildResult", "Chunker", "Completion", "ConfigError", "Counter", "Curation", "DatasetBuilder", "Document", "Example", "FormatError", "GenerationError", "Generator", "Message", "Provider",
+    "ProviderError", "QuillmillError", "Role", "TokenCounter", "TruncatedOutputError", "ValidationError", "ValidationReport", "Wording", "Writer", "__version__",
+    "build_dataset", "build_examples", "chunk", "convert_jsonl", "create_provider", "curate", "documents_frame", "examples_frame", "examples_of", "formats", "generate", "get_counter", "messages",
+    "model", "read_documents", "read_examples", "read_jsonl", "read_lines", "read_table", "register_provider", "rejected", "split_examples", "validate", "validate_jsonl",
     "validate_records", "wording",
 ]

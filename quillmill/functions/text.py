@@ -22,6 +22,8 @@ TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACES}]"
 FENCE = rf"(?m)^([{SPACES}&&[^\n]]*(?:```|~~~))"
 #: Characters from the first combining mark on; those below compose to themselves.
 COMPOSABLE = r"[^\x00-\u02ff\ufdd0]"
+#: Of those below, the ones that full folding changes and ``lower`` does not (sharp s aside).
+FOLDABLE = r"[\u00b5\u0149\u017f\u01f0]"
 #: Noncharacters, never part of text: they mark places while a text is taken apart.
 _HERE, _BREAK = "\ufdd0", "\ufdd1"
 
@@ -36,15 +38,32 @@ def _casefold(texts: pd.Series) -> pd.Series:
     return texts.map(str.casefold, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t).casefold(), na_action="ignore")
+
+
 def nfc(text: Column) -> Column:
     """Canonical composition; Spark has no builtin for it. Texts without characters that it could
     change stay in the JVM."""
     return F.coalesce(_nfc(F.when(text.rlike(COMPOSABLE), text)), text)
 
 
-def casefold(text: Column, full: bool = False) -> Column:
-    """Case folding: ``lower`` with sharp s spelled out, or the full Unicode table."""
-    return _casefold(text) if full else F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+def _lowered(text: Column) -> Column:
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
+def casefold(text: Column, full: bool = True) -> Column:
+    """Case folding by the full Unicode table, or ``lower`` with sharp s spelled out. Texts for which both
+    are the same stay in the JVM."""
+    if not full:
+        return _lowered(text)
+    return F.coalesce(_casefold(F.when(text.rlike(f"{COMPOSABLE}|{FOLDABLE}"), text)), _lowered(text))
+
+
+def folded(text: Column) -> Column:
+    """``casefold(nfc(text))``, with one call of Python for the texts that need one."""
+    return F.coalesce(_folded(F.when(text.rlike(f"{COMPOSABLE}|{FOLDABLE}"), text)), _lowered(text))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -27,12 +27,12 @@ def qa(question: Column, answer: Column, system: Column | None = None) -> Column
 def fingerprint(messages: Column, roles: tuple[str, ...] = ROLES) -> Column:
     """SHA-256 over role and normal content of messages in ``roles``; names and weights do not count.
 
-    Contents are composed (NFC) in one joined text, since Python functions cannot run inside
+    Contents are composed (NFC) and folded in one joined text, since Python functions cannot run inside
     array functions; the marks between them compose with nothing.
     """
     chosen = F.filter(messages, lambda m: m["role"].isin(*roles))
     bodies = F.transform(chosen, lambda m: F.concat(m["role"], F.lit("\x1f"), T.collapse(m["content"]), F.lit("\x1e")))
-    return F.sha2(T.casefold(T.nfc(F.array_join(bodies, ""))), 256)
+    return F.sha2(T.folded(F.array_join(bodies, "")), 256)
 
 
 def text_length(messages: Column, role: str | None = None) -> Column:

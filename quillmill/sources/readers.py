@@ -206,6 +206,11 @@ def read_examples(spark: SparkSession, path: str, input_format: str = "auto", on
     return fine.select(seq, F.lit(0).alias("sub"), F.lit(None).cast("string").alias("source"), R.decode(F.col("rec"), F.col("fmt")).alias("messages"))
 
 
+def rejected(spark: SparkSession, path: str, input_format: str = "auto") -> DataFrame:
+    """(path, line_no, issues) of the lines that ``read_examples`` with ``on_invalid="skip"`` leaves out."""
+    return pinned(read_jsonl(spark, path), input_format).where(F.size("issues") > 0).select("path", "line_no", "issues")
+
+
 def _unpacked(spark: SparkSession, path: str) -> str:
     """``path``, or a folder of the shared place with the text of an archive that Spark does not open.
 

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import quillmill
 from quillmill import providers as P
 from quillmill.operators import curate, model
 from quillmill.operators import messages as M
@@ -86,3 +87,21 @@ def test_a_task_that_is_lost_asks_again_only_for_the_rest(spark, tmp_path):
     assert calls() <= 14  # a run with the same words asks for what failed alone
     ask(model_name="another")
     assert calls() >= 24
+
+
+def test_values_and_frames(spark):
+    """Documents and examples as Python values, to frames and back; a role is one of three."""
+    one = quillmill.Example((quillmill.Message("user", "a"), quillmill.Message(quillmill.Role.ASSISTANT, "b", weight=1)), "s", 0)
+    assert [quillmill.Example.of(r) for r in quillmill.examples_frame(spark, [one]).collect()] == [one]
+    docs = quillmill.read_documents(spark, quillmill.documents_frame(spark, [quillmill.Document("x y", "here")]))
+    assert [(r.text, r.source) for r in docs.collect()] == [("x y", "here")]
+    with pytest.raises(ValueError):
+        quillmill.Message("robot", "a")
+
+
+def test_fingerprints_fold_fully(spark):
+    """Equal up to case by the full table, composed or not."""
+    pairs = [("ſtraße", "STRASSE"), ("ΑΣ", "ας"), ("ﬁne", "FINE"), ("µ", "Μ"), ("e\u0301", "É"), ("ǰ", "J\u030c")]
+    texts = [x for p in pairs for x in p]
+    kept = curate.dedup(examples(spark, texts)).count()
+    assert kept == len(pairs)

@@ -85,5 +85,6 @@ def test_formats_are_pinned_by_file(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text("\n".join([share, share, chat]))
     got = readers.read_examples(spark, str(tmp_path), on_invalid="skip")
     assert sorted((r.seq >> 40, r.seq % 2**40) for r in got.collect()) == [(0, 2), (0, 3), (1, 1), (1, 2)]
+    assert [(r.path[-7:], r.line_no) for r in readers.rejected(spark, str(tmp_path)).orderBy("path", "line_no").collect()] == [("a.jsonl", 1), ("a.jsonl", 4), ("b.jsonl", 3)]
     lines = readers.read_jsonl(spark, str(tmp_path)).drop("path")
     assert readers.pinned(lines.where("line_no < 2")).count() == 2
