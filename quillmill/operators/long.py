@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.counters import APPROX, Counter
 from ..tables import cut, discard
+from .generate import section_examples
 
 #: Rows of a range, and what is summed before in a bucket of the search for pointers, at least.
 RANGE = 10_000
@@ -44,16 +45,56 @@ def _summed(rows: DataFrame, at: str, **columns: Column) -> DataFrame:
     return own.withColumns({n: F.col(f"_{n}") + F.col(f"_{n}_before") for n in columns}).drop("_r", *(f"_{n}" for n in columns), *(f"_{n}_before" for n in columns))
 
 
+def _fenced(lines: DataFrame) -> DataFrame:
+    """(seq, source, n, line, fence, fences): lines, whether each is a fence, and fences up to it; a written table."""
+    line = F.coalesce(F.col("line"), F.lit(""))
+    told = cut(lines.select("seq", "source", F.col("line_no").cast("long").alias("n"), line.alias("line")), "lines")
+    told = told.withColumn("fence", F.col("line").rlike(rf"^[{T.SPACES}]*(?:```|~~~)").cast("int"))
+    return cut(_summed(told, "n", fences=F.col("fence")).drop("fences_all"), "fenced")
+
+
+def sections(lines: DataFrame) -> DataFrame:
+    """(seq, source, sub, level, title, body, path): the sections that ``text.headed`` finds in the whole text.
+
+    A heading stays open until one of its level or a smaller one comes. So what is open above a heading are the
+    latest headings of each smaller level, if none of a still smaller level came after; the latest of each level are
+    maxima of places, which ranges take over from those before.
+    """
+    told = _fenced(lines)
+    heading = ((F.col("fences") - F.col("fence")) % 2 == 0) & F.col("line").rlike(rf"^#{{1,6}}[{T.SPACES}]+")
+    told = cut(_summed(told.withColumn("head", heading.cast("int")), "n", k=F.col("head")).where("k > 0").drop("k_all"), "headed")
+    heads = told.where("head = 1").select("seq", "source", "k", F.length(F.regexp_extract("line", r"^(#{1,6})", 1)).alias("level"), F.regexp_extract("line", rf"^#{{1,6}}[{T.SPACES}]+(.+?)[{T.SPACES}]*#*[{T.SPACES}]*$", 1).alias("title"))
+    levels = range(1, 7)
+    heads = heads.withColumn("_r", F.floor(F.col("k") / RANGE)).withColumns({f"at{j}": F.when(F.col("level") == j, F.struct("k", "title")) for j in levels})
+    before = Window.partitionBy("seq").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    place = Window.partitionBy("seq", "_r").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = heads.groupBy("seq", "_r").agg(*(F.max(f"at{j}").alias(f"at{j}") for j in levels))
+    ranges = ranges.select("seq", "_r", *(F.max(f"at{j}").over(before).alias(f"old{j}") for j in levels))
+    heads = heads.withColumns({f"at{j}": F.max(f"at{j}").over(place) for j in levels}).join(ranges, ["seq", "_r"])
+    latest = F.array(*(F.struct(F.lit(j).alias("level"), F.greatest(f"at{j}", f"old{j}").alias("at")) for j in levels))
+    above = F.filter("latest", lambda x: (x["level"] < F.col("level")) & x["at"].isNotNull())
+    open_ = F.filter("above", lambda x: ~F.exists("above", lambda y: (y["level"] < x["level"]) & (y["at"]["k"] > x["at"]["k"])))
+    path = F.array_append(F.transform(open_, lambda x: x["at"]["title"]), F.col("title"))
+    heads = heads.withColumn("latest", latest).withColumn("above", above).select("seq", "source", "k", "level", "title", path.alias("path"))
+    rows = F.sort_array(F.collect_list(F.struct("n", "line")))
+    bodies = told.groupBy("seq", "k").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+    body = T.strip(F.regexp_replace("text", r"^[^\n]*\n?", ""))
+    name = F.concat("source", F.lit("#0")).alias("source")  # of the whole document, as ``generate.ref`` names it
+    return heads.join(bodies, ["seq", "k"]).select("seq", name, (F.col("k") - 1).alias("sub"), "level", "title", body.alias("body"), "path")
+
+
+def markdown_sections(lines: DataFrame, **options) -> DataFrame:
+    """The examples of ``generate.markdown_sections``, of documents given as lines."""
+    return section_examples(sections(lines), **options)
+
+
 def blocks(lines: DataFrame) -> DataFrame:
     """(seq, source, at, text): the blocks that ``text.blocks`` finds in the whole text; ``at`` orders a document's.
 
     ``line_no`` numbers all lines of a document, blank ones too. Null lines are empty; a table without lines has no blocks.
     """
-    line = F.coalesce(F.col("line"), F.lit(""))
-    told = cut(lines.select("seq", "source", F.col("line_no").cast("long").alias("n"), line.alias("line")), "lines")
-    fence = F.col("line").rlike(rf"^[{T.SPACES}]*(?:```|~~~)")
-    told = cut(_summed(told, "n", fences=fence.cast("int")), "fenced")
-    outside = (F.col("fences") - fence.cast("int")) % 2 == 0
+    told = _fenced(lines)
+    outside = (F.col("fences") - F.col("fence")) % 2 == 0
     told = _summed(told.withColumn("gap", outside & T.is_blank(F.col("line"))), "n", gaps=F.col("gap").cast("int"))
     rows = F.sort_array(F.collect_list(F.struct("n", "line")))
     text = F.regexp_replace(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), r"^\n+|\n+$", "")

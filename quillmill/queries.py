@@ -284,6 +284,17 @@ def continuation_windows(spark, sf):
     return made.select("seq", F.get("messages", 0)["content"].alias("question"), F.get("messages", 1)["content"].alias("answer"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, source, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+  SELECT doc_id AS seq, 'In the context of ' || source || ', explain: ' || lang || '.' AS question, t AS answer FROM d WHERE length(t) >= 80""")
+def markdown_long_sections(spark, sf):
+    """The same examples from rows of lines, so that no document is one row."""
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    body = F.concat(F.lit("preamble\n# "), F.col("source"), F.lit("\n\n```\n# not a heading\n```\n## "), F.col("lang"), F.lit(" ##\n"), flat)
+    lines = _t(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "source", F.posexplode(F.split(body, "\n")).alias("n", "line"))
+    made = long.markdown_sections(lines.select("seq", "source", (F.col("n") + 1).alias("line_no"), "line"))
+    return made.select("seq", F.get("messages", 0)["content"].alias("question"), F.get("messages", 1)["content"].alias("answer"))
+
+
 @query(r"""WITH d AS (SELECT doc_id, source, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
   SELECT doc_id AS seq, 'In the context of ' || source || ', explain: ' || lang || '.' AS question, t AS answer FROM d WHERE length(t) >= 80""")
 def markdown_sections(spark, sf):

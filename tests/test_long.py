@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import chunk, long
+from quillmill.operators import chunk, generate, long
 from quillmill.sources import readers
 
 DOCS = "seq long, source string, text string, sha256 string, index int"
@@ -66,6 +66,25 @@ def test_windows_of_lines(both, monkeypatch):
     assert long.paragraphs(lines.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("size", [4, 10_000])
+def test_sections_of_lines(spark, monkeypatch, size):
+    """Headings of all levels in any order, fenced ones and odd ones; parents lie any number of ranges before."""
+    monkeypatch.setattr(long, "RANGE", size)
+    rng = random.Random(8)
+    made = ["no heading\n\ntext", "# only\n", "## b ##\nx\n# a\n\n### c\ny\n#### \nz\n####### seven\n#none"]
+    for n in (40, 200):
+        lines = []
+        for i in range(n):
+            x = rng.random()
+            lines.append("#" * rng.randint(1, 6) + f" title {i} " + "#" * rng.randint(0, 2) if x < 0.4 else "```" if x < 0.45 else "" if x < 0.6 else f"text {i} " * rng.randint(1, 9))
+        made.append("\n".join(lines))
+    docs = spark.createDataFrame([(i, f"s{i}", t, "", 0) for i, t in enumerate(made)], DOCS)
+    lines = docs.select("seq", "source", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("seq", "source", (F.col("n") + 1).alias("line_no"), "line").repartition(5)
+    for options in ({"min_body_chars": 1}, {"min_body_chars": 30, "max_level": 3}):
+        want, got = (sorted((r.seq, r.sub, r.source, str(r.messages)) for r in df.collect()) for df in (generate.markdown_sections(docs, **options), long.markdown_sections(lines, **options)))
+        assert got == want and len(want) > 10
+
+
 def test_lines_of_files(spark, tmp_path, texts):
     """Files of any line ends, read in splits and as archives, give the documents' chunks."""
     import lzma
