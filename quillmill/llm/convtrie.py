@@ -251,7 +251,7 @@ def prefix_trie(
         F.min("rep").alias("conv_id"), F.sum("m").alias("n_convs"), F.count(F.lit(1)).alias("n_reps"), F.sum("n").alias("turns"),
         F.max(F.when(F.col("n") == 0, F.col("rep"))).alias("ended"), F.max("total").alias("rest"), F.max("n").alias("n"),
     ).where("n_reps > 0").select(F.lit(b"").alias("cls"), "*", F.lit(None).cast("binary").alias("parent"), F.lit(None).cast("long").alias("parent_conv_id"), none.alias("bytes"))
-    step = reps.select("rep", "m", "n", F.lit(b"").alias("cls"))
+    step = cut(reps.select("rep", "m", "n", F.lit(b"").alias("cls")), "split")  # written, so that the root is joined by its key
     levels, small = [], []
     while True:
         depth = len(levels)
