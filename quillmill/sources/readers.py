@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import hashlib
 import lzma
 import re
 import uuid
@@ -18,7 +19,7 @@ from ..errors import FormatError, ValidationError
 from ..functions import text as T
 from ..operators import formats as R
 from ..tables import cut, shared_dir
-from . import archives, paths, ranges
+from . import archives, folders, paths, ranges
 
 DOCUMENTS = "seq long, source string, text string, sha256 string, index int"
 #: Archives that Spark's own line readers do not open.
@@ -30,17 +31,33 @@ BROADCAST_FILES = 100_000
 _OPEN = {"gz": gzip.decompress, "gzip": gzip.decompress, "xz": lzma.decompress, "lzma": lzma.decompress, "bz2": bz2.decompress}
 
 
+def _text(path: str, content: bytes) -> str:
+    suffix = path.rpartition(".")[2].lower()
+    try:
+        raw = _OPEN[suffix](content) if suffix in _OPEN else content
+        return raw.decode("utf-8-sig")
+    except Exception as e:
+        raise FormatError(f"{path}: cannot be read as UTF-8 text ({e})") from e
+
+
 def _decoded(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
     for rows in batches:
-        texts = []
-        for path, content in zip(rows["path"], rows["content"], strict=True):
-            suffix = path.rpartition(".")[2].lower()
-            try:
-                raw = _OPEN[suffix](content) if suffix in _OPEN else content
-                texts.append(raw.decode("utf-8-sig"))
-            except Exception as e:
-                raise FormatError(f"{path}: cannot be read as UTF-8 text ({e})") from e
-        yield rows.assign(text=texts).drop(columns="content")
+        yield rows.assign(text=[_text(*x) for x in zip(rows["path"], rows["content"], strict=True)]).drop(columns="content")
+
+
+def _opened(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    """Rows (seq, source) with the text of the file ``source`` and its SHA-256, in batches of bounded size."""
+    for rows in batches:
+        held, size = [], 0
+        for seq, path in zip(rows["seq"], rows["source"], strict=True):
+            content = folders.contents(path)
+            held.append((seq, path, _text(path, content), hashlib.sha256(content).hexdigest(), 0))
+            size += len(content)
+            if size >= folders.BYTES or len(held) >= folders.ROWS:
+                yield pd.DataFrame(held, columns=["seq", "source", "text", "sha256", "index"])
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["seq", "source", "text", "sha256", "index"])
 
 
 def _plain(path):
@@ -63,24 +80,31 @@ def read_documents(spark: SparkSession, sources) -> DataFrame:
     """Documents of paths, folders, globs and DataFrames with a ``text`` column, in the order given.
 
     Paths are read once however often they are named. ``sha256`` is of the bytes on disk. Bad
-    archives and bad UTF-8 raise FormatError. ``seq`` numbers documents from 0.
+    archives and bad UTF-8 raise FormatError. ``seq`` numbers documents from 0. Files of folders are
+    numbered by their names and read after that.
     """
     items = [sources] if isinstance(sources, (str, DataFrame)) or not isinstance(sources, Iterable) else list(sources)
-    parts = []
+    parts, later = [], False
     for i, item in enumerate(items):
         if isinstance(item, DataFrame):
             names = item.columns
             order = F.col("seq").cast("string") if "seq" in names else F.monotonically_increasing_id().cast("string")
             parts.append(item.select(
                 F.lit(i).alias("_item"), F.lpad(order, 20, "0").alias("_order"), (F.col("source") if "source" in names else F.lit("<string>")).alias("source"), F.col("text").cast("string").alias("text"),
-                (F.col("sha256") if "sha256" in names else F.lit("")).alias("sha256"), (F.col("index") if "index" in names else F.lit(0)).cast("int").alias("index"), F.lit(False).alias("_file"),
+                (F.col("sha256") if "sha256" in names else F.lit("")).alias("sha256"), (F.col("index") if "index" in names else F.lit(0)).cast("int").alias("index"), F.lit(False).alias("_file"), F.lit(False).alias("_later"),
             ))
+        elif folder := folders.address(str(item)):
+            found = folders.listed(spark, folder)
+            if not found.limit(1).count():
+                raise FileNotFoundError(str(item))
+            nothing, later = F.lit(None).cast("string"), True
+            parts.append(found.select(F.lit(i).alias("_item"), F.col("path").alias("_order"), F.col("path").alias("source"), nothing.alias("text"), nothing.alias("sha256"), F.lit(0).alias("index"), F.lit(True).alias("_file"), F.lit(True).alias("_later")))
         else:
             files = _files(spark, str(item))
             if not files.select("path").limit(1).count():
                 raise FileNotFoundError(str(item))
             texts = files.select("path", "content", F.sha2("content", 256).alias("sha256")).mapInPandas(_decoded, "path string, sha256 string, text string")
-            parts.append(texts.select(F.lit(i).alias("_item"), F.col("path").alias("_order"), F.col("path").alias("source"), "text", "sha256", F.lit(0).alias("index"), F.lit(True).alias("_file")))
+            parts.append(texts.select(F.lit(i).alias("_item"), F.col("path").alias("_order"), F.col("path").alias("source"), "text", "sha256", F.lit(0).alias("index"), F.lit(True).alias("_file"), F.lit(False).alias("_later")))
     if not parts:
         return spark.createDataFrame([], DOCUMENTS)
     whole = parts[0]
@@ -88,7 +112,13 @@ def read_documents(spark: SparkSession, sources) -> DataFrame:
         whole = whole.unionByName(p)
     first = F.row_number().over(Window.partitionBy("_file", "source").orderBy("_item"))
     whole = whole.where(~F.col("_file")).union(whole.where("_file").withColumn("_n", first).where("_n = 1").drop("_n"))
-    return numbered(whole, ["_item", "_order"]).select("seq", "source", "text", "sha256", "index")
+    whole = numbered(whole, ["_item", "_order"])
+    rows = whole.where("not _later").select("seq", "source", "text", "sha256", "index")
+    if not later:
+        return rows
+    names = whole.where("_later").select("seq", "source")
+    read = names.repartition(-(-names.count() // folders.EACH) or 1).mapInPandas(_opened, DOCUMENTS)
+    return rows.union(_cut_text(read, "documents")) if len(parts) > 1 else _cut_text(read, "documents")
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:

@@ -1,6 +1,7 @@
 """Behaviour of the engine's own operators on hand-made inputs."""
 
 import gzip
+import hashlib
 import json
 import lzma
 import re
@@ -16,7 +17,7 @@ from quillmill.operators import messages as M
 from quillmill.plans import build
 from quillmill.prompts import wording
 from quillmill.providers import Completion, FakeProvider
-from quillmill.sources import readers
+from quillmill.sources import folders, readers
 
 DOC = "seq long, source string, text string, sha256 string, index int"
 
@@ -322,3 +323,21 @@ def test_streamed_dedup(spark, tmp_path):
     query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_folders_of_many_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    rows = [(f"{i % 7}/doc={i}", f"text {i}é") for i in range(300)] + [("3/doc=3", "of the same folder"), ("4/none", None)]
+    folders.write_texts(spark.createDataFrame(rows, "place string, text string").repartition(3), str(tmp_path / "in"))
+    for hidden in ("_left/x.txt", ".left/x.txt", "1/_x.txt"):
+        (tmp_path / "in" / hidden).parent.mkdir(exist_ok=True)
+        (tmp_path / "in" / hidden).write_bytes(b"\xff")
+    (tmp_path / "in" / "zipped.txt.gz").write_bytes(gzip.compress(b"\xef\xbb\xbfpacked"))
+    monkeypatch.setattr(readers, "_files", None)  # a driver's own listing is not used
+    got = readers.read_documents(spark, [docs(spark, "mine"), str(tmp_path / "in"), f"file:{tmp_path / 'in'}"]).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(304)) and got[0].text == "mine"
+    assert [r.source for r in got[1:]] == sorted(r.source for r in got[1:]) and got[-1].text == "packed"
+    assert sorted(r.text for r in got[1:-1]) == sorted(f"{t or ''}\n" for _, t in rows)
+    assert all(r.sha256 == hashlib.sha256(open(r.source, "rb").read()).hexdigest() for r in got[1:])
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        readers.read_documents(spark, str(tmp_path / "empty"))
