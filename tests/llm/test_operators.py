@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -614,3 +615,21 @@ def test_language(spark):
     assert {got[i].lang_pred for i in (900, 901, 902)} == {"und"}
     assert np.mean([got[i].lang_pred == x for i, _, x in rows[:160]]) > 0.98
     assert {r.lang_pred for r in langid.identify_language(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
+
+
+def test_neighbours_are_exact_at_any_size(spark, tmp_path):
+    """Whether a table has more than 500,000 vectors makes no difference to what is found."""
+    n, d = 500_400, 8
+    x = np.random.default_rng(31).normal(size=(n, d)).astype(np.float32)
+    vectors = pa.ListArray.from_arrays(np.arange(0, n * d + 1, d, dtype=np.int32), x.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": vectors}), tmp_path / "vectors.parquet", row_group_size=50_000)
+    frame = spark.read.parquet(str(tmp_path / "vectors.parquet"))
+    got = defaultdict(list)
+    for r in sorted(neighbours.nearest(frame, frame.where("vec_id % 2000 = 0"), k=10).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(range(0, n, 2000))
+    for q, found in got.items():
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        near = np.argpartition(-score, 20)[:20]
+        assert found == near[np.lexsort((near, -score[near]))][:10].tolist()
