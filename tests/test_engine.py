@@ -341,3 +341,38 @@ def test_folders_of_many_files_are_listed_and_read_by_tasks(spark, tmp_path, mon
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError):
         readers.read_documents(spark, str(tmp_path / "empty"))
+
+
+ODD = ["", "  Plain \t\x1c words\x1e ", "é É ß ẞ İ ﬁ ΑΣ", "﷐ kept ﷐", "a  \r\n\r\n\n\n b \t\r c\t  ", "x  ý"]
+
+
+def regular_expressions(frame):
+    plan = frame._jdf.queryExecution().optimizedPlan().toString().lower()
+    return plan.count("regexp") + plan.count("rlike")
+
+
+def test_fingerprints_need_no_regular_expressions(spark):
+    rows = spark.createDataFrame([(i, [("user", "Q", None, None), ("assistant", t, None, None), ("tool", "left out", None, None)]) for i, t in enumerate(ODD)] + [(99, None)], f"seq long, messages array<{M.MESSAGE}>")
+    made = rows.select("seq", M.fingerprint(F.col("messages")).alias("fp"))
+    got = dict(made.collect())
+    for i, t in enumerate(ODD):
+        told = unicodedata.normalize("NFC", f"user\x1fQ\x1eassistant\x1f{re.sub(r'\s+', ' ', t).strip()}\x1e").casefold()
+        assert got[i] == hashlib.sha256(told.encode()).hexdigest()
+    assert got[99] is None and not regular_expressions(made)
+    bad = rows.select(M.fingerprint(F.array(M.message("user", F.expr("cast(X'61FF62' as string)")))).alias("fp")).first()[0]
+    assert bad == hashlib.sha256("user\x1fa�b\x1e".encode()).hexdigest()
+
+
+def test_normalize_keeps_contents_with_marks_apart(spark):
+    rows = spark.createDataFrame([(i, 0, "s", [("user", t, None, None), ("assistant", f"after {t}", "n", 1), ("system", None, None, None)]) for i, t in enumerate(ODD)], f"seq long, sub int, source string, messages array<{M.MESSAGE}>")
+    made = curate.normalize(rows)
+    assert not regular_expressions(made)
+    for r in made.collect():
+        plain = [spark.range(1).select(curate.normal_content(F.lit(x))).first()[0] for x in (ODD[r.seq], f"after {ODD[r.seq]}")]
+        assert [m.content for m in r.messages] == [*plain, ""] and [m.name for m in r.messages] == [None, "n", None]
+
+
+def test_grounding_needs_no_regular_expressions(spark):
+    rows = spark.createDataFrame([("Straße word9 odd", "STRASSE here"), ("no at all", "word"), ("words only", "other text"), (None, "a b"), (None, "words"), ("a b", None)], "a string, s string")
+    made = rows.select(curate.grounded(F.col("a"), F.col("s")).alias("g"))
+    assert [r.g for r in made.collect()] == [True, True, False, True, None, True] and not regular_expressions(made)
