@@ -207,16 +207,18 @@ def examples_of(spark: SparkSession, sources, generator: str = "auto", chunker:
 def build_examples(
     examples: DataFrame, out: str | None = None, fmt: str = "openai-chat", steps: list[curate.Step] | None = None, deduplicate: bool = True,
     max_tokens: int | None = None, validation_fraction: float = 0.0, seed: int = 42, described: dict | None = None,
-    token_counter: str | Counter | None = None, write_lineage: bool = False, seen: str | None = None,
+    token_counter: str | Counter | None = None, write_lineage: bool = False, seen: str | None = None, single_file: bool = True,
 ) -> BuildResult:
     """Curate, split, encode and write a frame of examples. Explicit ``steps`` override the default ones.
 
+    Without ``single_file`` train and validation are folders of parts, whose hashes the manifest lists.
+
     ``seen`` is a folder of fingerprints: what earlier builds with it have kept is dropped, and what this one keeps is added.
     """
     counter = get_counter(token_counter)
     steps = curate.default_steps(deduplicate, max_tokens, counter) if steps is None else steps
     described = described or {"generator": {"name": "prebuilt", "params": {}}, "chunker": {"name": "none"}}
-    made = DatasetBuilder("prebuilt", steps=steps, writer=sinks.JsonlWriter(fmt), validation_fraction=validation_fraction, seed=seed, token_counter=counter, write_lineage=write_lineage, described=described, seen=seen)
+    made = DatasetBuilder("prebuilt", steps=steps, writer=sinks.JsonlWriter(fmt, single_file), validation_fraction=validation_fraction, seed=seed, token_counter=counter, write_lineage=write_lineage, described=described, seen=seen)
     return made.finish(examples, None, None, out)
 
 

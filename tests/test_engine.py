@@ -376,3 +376,11 @@ def test_grounding_needs_no_regular_expressions(spark):
     rows = spark.createDataFrame([("Straße word9 odd", "STRASSE here"), ("no at all", "word"), ("words only", "other text"), (None, "a b"), (None, "words"), ("a b", None)], "a string, s string")
     made = rows.select(curate.grounded(F.col("a"), F.col("s")).alias("g"))
     assert [r.g for r in made.collect()] == [True, True, False, True, None, True] and not regular_expressions(made)
+
+
+def test_build_files_reads_no_dataset_in_one_task(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").alias("seq"), F.lit(0).alias("sub"), F.lit("s").alias("source"), M.qa(F.lit("q"), F.concat(F.lit("a"), F.col("id").cast("string"))).alias("messages"))
+    made = build.build_examples(rows, str(tmp_path / "data.jsonl"), steps=[], validation_fraction=0.2, single_file=False)
+    for told, name in zip(made.manifest["output"]["files"], ("data.jsonl", "data.validation.jsonl"), strict=True):
+        assert told["name"] == name and sum(p["records"] for p in told["files"]) == told["records"]
+        assert all(p["sha256"] == hashlib.sha256((tmp_path / name / p["name"]).read_bytes()).hexdigest() for p in told["files"])
