@@ -109,7 +109,7 @@ def signatures(shingle: int, permutations: int):
         plain = [x or "" for x in texts]
         return pd.Series([s for a, b in _pieces(plain) for s in signed_piece(plain[a:b])], index=texts.index, dtype=object)
 
-    return signed
+    return signed.asNondeterministic()  # else a filter on signatures takes a call of its own, and each is made twice
 
 
 class Near:
