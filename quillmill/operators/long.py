@@ -33,24 +33,34 @@ def _summed(rows: DataFrame, at: str, **columns: Column) -> DataFrame:
     """``rows`` with each column's sum over the document up to and with the row, and as ``<name>_all`` over all of it.
 
     Rows are in order of ``at``. Sums are taken within ranges, and the totals of ranges, one row each, from
-    range to range; a document of any length fills no task.
+    range to range; a document of any length fills no task. Where rows have ``_r``, their range, it stays: rows that
+    lie together by it are not moved again.
     """
-    made = rows.withColumn("_r", F.floor(F.col(at) / RANGE)).withColumns({f"_{n}": c.cast("long") for n, c in columns.items()})
+    kept = "_r" in rows.columns
+    made = (rows if kept else rows.withColumn("_r", F.floor(F.col(at) / RANGE))).withColumns({f"_{n}": c.cast("long") for n, c in columns.items()})
     place = Window.partitionBy("seq", "_r").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("seq")
     before = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     totals = made.groupBy("seq", "_r").agg(*(F.sum(f"_{n}").alias(f"_{n}") for n in columns))
     totals = totals.select("seq", "_r", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}_before") for n in columns), *(F.sum(f"_{n}").over(whole).alias(f"{n}_all") for n in columns))
     own = made.withColumns({f"_{n}": F.sum(f"_{n}").over(place) for n in columns}).join(totals, ["seq", "_r"])
-    return own.withColumns({n: F.col(f"_{n}") + F.col(f"_{n}_before") for n in columns}).drop("_r", *(f"_{n}" for n in columns), *(f"_{n}_before" for n in columns))
+    return own.withColumns({n: F.col(f"_{n}") + F.col(f"_{n}_before") for n in columns}).drop(*([] if kept else ["_r"]), *(f"_{n}" for n in columns), *(f"_{n}_before" for n in columns))
 
 
 def _fenced(lines: DataFrame) -> DataFrame:
-    """(seq, source, n, line, fence, fences): lines, whether each is a fence, and fences up to it; a written table."""
+    """(seq, source, n, line, _r, blank, titled, fence, fences): lines, whether each is blank, looks like a heading or is a
+    fence, and fences up to it.
+
+    What a line is alone is told before lines are moved, so that sums over ranges move no text; the text itself moves once.
+    """
     line = F.coalesce(F.col("line"), F.lit(""))
     told = cut(lines.select("seq", "source", F.col("line_no").cast("long").alias("n"), line.alias("line")), "lines")
-    told = told.withColumn("fence", F.col("line").rlike(rf"^[{T.SPACES}]*(?:```|~~~)").cast("int"))
-    return cut(_summed(told, "n", fences=F.col("fence")).drop("fences_all"), "fenced")
+    bare = T.lstrip(F.col("line"))
+    told = told.withColumns({
+        "_r": F.floor(F.col("n") / RANGE), "blank": bare == "", "fence": (bare.startswith("```") | bare.startswith("~~~")).cast("int"),
+        "titled": F.col("line").startswith("#") & F.col("line").rlike(rf"^#{{1,6}}[{T.SPACES}]+"),
+    })
+    return _summed(told, "n", fences=F.col("fence")).drop("fences_all")
 
 
 def sections(lines: DataFrame) -> DataFrame:
@@ -61,8 +71,8 @@ def sections(lines: DataFrame) -> DataFrame:
     maxima of places, which ranges take over from those before.
     """
     told = _fenced(lines)
-    heading = ((F.col("fences") - F.col("fence")) % 2 == 0) & F.col("line").rlike(rf"^#{{1,6}}[{T.SPACES}]+")
-    told = cut(_summed(told.withColumn("head", heading.cast("int")), "n", k=F.col("head")).where("k > 0").drop("k_all"), "headed")
+    heading = ((F.col("fences") - F.col("fence")) % 2 == 0) & F.col("titled")
+    told = cut(_summed(told.withColumn("head", heading.cast("int")), "n", k=F.col("head")).where("k > 0").select("seq", "source", "n", "line", "head", "k"), "headed")
     heads = told.where("head = 1").select("seq", "source", "k", F.length(F.regexp_extract("line", r"^(#{1,6})", 1)).alias("level"), F.regexp_extract("line", rf"^#{{1,6}}[{T.SPACES}]+(.+?)[{T.SPACES}]*#*[{T.SPACES}]*$", 1).alias("title"))
     levels = range(1, 7)
     heads = heads.withColumn("_r", F.floor(F.col("k") / RANGE)).withColumns({f"at{j}": F.when(F.col("level") == j, F.struct("k", "title")) for j in levels})
@@ -95,7 +105,7 @@ def blocks(lines: DataFrame) -> DataFrame:
     """
     told = _fenced(lines)
     outside = (F.col("fences") - F.col("fence")) % 2 == 0
-    told = _summed(told.withColumn("gap", outside & T.is_blank(F.col("line"))), "n", gaps=F.col("gap").cast("int"))
+    told = _summed(told.withColumn("gap", outside & F.col("blank")), "n", gaps=F.col("gap").cast("int"))
     rows = F.sort_array(F.collect_list(F.struct("n", "line")))
     text = F.regexp_replace(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), r"^\n+|\n+$", "")
     made = told.where("not gap").groupBy("seq", F.col("gaps").alias("at")).agg(F.first("source").alias("source"), text.alias("text"))

@@ -6,7 +6,8 @@ import io
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import chunk, generate, near
+from quillmill.operators import chunk, generate, long, near
+from quillmill.tables import cut
 
 
 def calls(df):
@@ -42,3 +43,17 @@ def test_noncharacters_stay(spark):
 def test_null_and_empty_texts(spark):
     got = docs(spark, None, "", "  \n").select("seq", T.blocks(F.col("text")).alias("b"), T.strip(F.col("text")).alias("s")).orderBy("seq").collect()
     assert [(r.b, r.s) for r in got] == [(None, None), ([], ""), ([], "")]
+
+
+def test_lines_move_once_before_they_are_grouped(spark, monkeypatch):
+    """Sums of fences and gaps go by one range; only flags and numbers are moved for their totals."""
+    written = []
+    monkeypatch.setattr(long, "cut", lambda df, name: written.append(name) or cut(df, name))
+    rows = spark.createDataFrame([(1, "s", i, x) for i, x in enumerate(["a", "", "```", "", "~~~", " ", "b"])], "seq long, source string, line_no long, line string")
+    found = long.blocks(rows)
+    with contextlib.redirect_stdout(io.StringIO()) as told:
+        found.explain("formatted")
+    plan = told.getvalue()
+    moved = [x for x in plan.split("\n\n") if ") Exchange" in x.split("\n")[0] and "line#" in x]
+    assert len(moved) == 1 and written == ["lines"]
+    assert [r.text for r in found.orderBy("at").collect()] == ["a", "```\n\n~~~", "b"]
