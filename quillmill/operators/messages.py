@@ -32,7 +32,7 @@ def qa(question: Column, answer: Column, system: Column | None = None) -> Column
 @F.pandas_udf(StringType())
 def _printed(roles: pd.Series, contents: pd.Series) -> pd.Series:
     def of(who, told) -> str:
-        body = "".join([f"{r}\x1f{' '.join(c.split())}\x1e" for r, c in zip(who, told, strict=True) if c is not None])
+        body = "".join([f"{r}\x1f{T.one_spaced(c)}\x1e" for r, c in zip(who, told, strict=True) if c is not None])
         return hashlib.sha256(unicodedata.normalize("NFC", body).casefold().encode()).hexdigest()
 
     return pd.Series([None if who is None else of(who, told) for who, told in zip(roles, contents, strict=True)], dtype=object)

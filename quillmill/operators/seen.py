@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ..sources import paths
 from ..tables import cut
+from . import curate
 from . import messages as M
 
 #: Bits of the sieve for each known fingerprint, its bits at most (8 MB), and places a fingerprint sets.
 BITS_EACH, BITS_MOST, PLACES = 12, 1 << 26, 4
+#: The column of fingerprints beside examples.
+FINGERPRINT = "_fp"
 
 
 def _places(fingerprint: Column, bits: int) -> list[Column]:
@@ -59,28 +62,46 @@ class Seen:
     def known(self, spark) -> DataFrame | None:
         return spark.read.schema("fp string").option("recursiveFileLookup", "true").parquet(self.folder) if paths.exists(spark, self.folder) else None
 
-    def fresh(self, examples: DataFrame) -> DataFrame:
-        """``examples`` whose fingerprint no earlier build has kept.
+    def fresh(self, examples: DataFrame, fp: str | None = None) -> DataFrame:
+        """``examples`` whose fingerprint no earlier build has kept. ``fp`` names a column that holds fingerprints, where
+        these are at hand; then any columns may stand beside it.
 
-        Rows that the sieve turns away are surely new and stay where they are; only the others are joined
-        with the table.
+        Rows that the sieve turns away are surely new. Of the others only fingerprints are joined with the table:
+        what is new among them is little.
         """
-        known = self.known(examples.sparkSession)
+        return self._fresh(examples, fp).drop(*([] if fp else [FINGERPRINT]))
+
+    def _fresh(self, examples: DataFrame, fp: str | None = None) -> DataFrame:
+        """``fresh``, with the column ``FINGERPRINT`` where none is given; ``examples`` are read once."""
+        known, name = self.known(examples.sparkSession), fp or FINGERPRINT
+        marked = examples if fp else examples.withColumn(FINGERPRINT, M.fingerprint(F.col("messages"), self.roles))
         number = 0 if known is None else known.count()
         if not number:
-            return examples
-        marked = cut(examples.withColumn("_fp", M.fingerprint(F.col("messages"), self.roles)), "fingerprinted")
+            return marked
         may = sieve(known, number)
-        met = marked if may is None else marked.where(may(F.col("_fp")))
-        new = met.join(known.withColumnRenamed("fp", "_known").distinct(), F.col("_fp") == F.col("_known"), "left_anti")
-        if may is not None:
-            new = new.unionByName(marked.where(~may(F.col("_fp"))))
-        return new.drop("_fp")
+        marked = cut(marked.withColumn("_may", F.lit(True) if may is None else may(F.col(name))), "fingerprinted")
+        met = marked.where("_may").select(F.col(name).alias("_new")).distinct()
+        new = cut(met.join(known, F.col("_new") == F.col("fp"), "left_anti"), "new")
+        doubtful = marked.where("_may").join(new, F.col(name).eqNullSafe(F.col("_new")), "left_semi")
+        return marked.where(~F.col("_may")).unionByName(doubtful).drop("_may")
+
+    def ending(self, steps: list[curate.Step]) -> list[curate.Step]:
+        """``steps`` and the one that leaves out what is known; what they return has the column ``FINGERPRINT``.
 
-    def remember(self, examples: DataFrame) -> None:
+        A dedup by the same key, after which rows are only left out, hands its fingerprints on.
+        """
+        steps, at, fp = list(steps), len(steps) - 1, None
+        while at >= 0 and getattr(steps[at][1], "filters", False):
+            at -= 1
+        if at >= 0 and steps[at][1] is curate.dedup and self.roles == M.ROLES:
+            fp = FINGERPRINT
+            steps[at] = (steps[at][0], curate.one_pass(lambda df: curate.dedup(df, fp=fp)))
+        return [*steps, ("unseen", curate.one_pass(lambda df: self._fresh(df, fp)))]
+
+    def remember(self, examples: DataFrame, fp: str | None = None) -> None:
         """Add the fingerprints of ``examples`` as one part, whole or not at all: it is written aside and then moved."""
         spark = examples.sparkSession
-        part, rows = uuid.uuid4().hex, examples.select(M.fingerprint(F.col("messages"), self.roles).alias("fp")).distinct()
+        part, made = uuid.uuid4().hex, M.fingerprint(F.col("messages"), self.roles) if fp is None else F.col(fp)
         aside = f"{self.folder}.writing-{part}"
-        rows.write.parquet(aside)
+        examples.select(made.alias("fp")).distinct().write.parquet(aside)
         paths.move(spark, aside, f"{self.folder}/part-{part}")

@@ -17,7 +17,7 @@ from ..functions.counters import Counter, get_counter
 from ..operators import chunk, curate, generate
 from ..operators import formats as R
 from ..operators import model as L
-from ..operators.seen import Seen
+from ..operators.seen import FINGERPRINT, Seen
 from ..prompts import wording
 from ..sources import paths, readers, sinks
 from ..tables import cut
@@ -97,8 +97,8 @@ class DatasetBuilder:
                 first = errors.orderBy("source", "error").first()
                 raise GenerationError(f"{first.source}: {first.error}")
         earlier = Seen(self.seen) if self.seen else None
-        kept, report = curate.run(examples, [*self.steps, *([("unseen", earlier.fresh)] if earlier else [])])
-        parted = cut(curate.split(kept, self.validation_fraction, self.seed), "parted")
+        kept, report = curate.run(examples, earlier.ending(self.steps) if earlier else self.steps)
+        parted = curate.split(kept.drop(FINGERPRINT), self.validation_fraction, self.seed)
         train, validation = (parted.where(F.col("split") == s).drop("split") for s in ("train", "validation"))
         counts = {r[0]: r[1] for r in parted.groupBy("split").count().collect()}
         read = None if sources is None else sources.select("source", "sha256", F.length("text").alias("chars"))
@@ -117,7 +117,7 @@ class DatasetBuilder:
         if out:
             self._save(result, out)
         if earlier:
-            earlier.remember(parted)  # last, so that a build that fails has kept nothing
+            earlier.remember(kept, FINGERPRINT)  # last, so that a build that fails has kept nothing
         return result
 
     def _save(self, result: BuildResult, out: str) -> None:

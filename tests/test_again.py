@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 import quillmill
 from quillmill import providers as P
+from quillmill.functions import text as T
 from quillmill.operators import curate, model
 from quillmill.operators import messages as M
+from quillmill.operators import seen as seen_of
 from quillmill.operators.seen import Seen
 from quillmill.plans import build
 
@@ -33,6 +35,39 @@ def test_fresh_rows_of_later_builds(spark, tmp_path):
     assert Seen(str(tmp_path / "none")).fresh(later).count() == 502
 
 
+def test_builds_with_a_folder_of_fingerprints_write_rows_once(spark, tmp_path, monkeypatch):
+    """Rows are written once, or twice where a table is known; fingerprints are made once, and joined without rows."""
+    written, printed = [], []
+    for module in (build, curate, seen_of):
+        monkeypatch.setattr(module, "cut", lambda df, name="t", *a, f=module.cut: written.append((name, df.columns)) or f(df, name, *a))
+    monkeypatch.setattr(M, "fingerprint", lambda *a, f=M.fingerprint: printed.append(a) or f(*a))
+    made, folder = examples(spark, ["one", "one", "two", "three"]), str(tmp_path / "seen")
+    assert build.build_examples(made, seen=folder).counts["kept"] == 3
+    assert [name for name, _ in written] == ["curated"] and len(printed) == 1
+    written.clear()
+    more = examples(spark, ["two", "four", "five"]).select("seq", M.fingerprint(F.col("messages")).alias("told"))
+    assert {r.seq for r in Seen(folder).fresh(more, "told").collect()} == {1, 2}
+    assert written[0] == ("fingerprinted", ["seq", "told", "_may"]) and written[1] == ("new", ["_new"])
+    again = build.build_examples(examples(spark, ["TWO", "four", "six", "six"]), seen=folder, steps=[("dedup", curate.dedup), ("min_length", lambda df: df.where("seq < 9"))])
+    assert again.counts["kept"] == 2 and again.train.columns == ["seq", "sub", "source", "messages"] and Seen(folder).known(spark).count() == 5
+
+
+def test_rows_that_a_full_sieve_lets_through_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(seen_of, "BITS_MOST", 64)
+    for known in (7, 100):  # a sieve with many false hits; none
+        folder = str(tmp_path / str(known))
+        Seen(folder).remember(examples(spark, [f"old {i}" for i in range(known)]))
+        rows = examples(spark, [*(f"old {i}" for i in range(known)), *(f"new {i}" for i in range(300))])
+        assert {r.seq for r in Seen(folder).fresh(rows).collect()} == set(range(known, known + 300))
+        rows = rows.select("seq", F.when(F.col("seq") < known + 9, M.fingerprint(F.col("messages"))).alias("fp"))  # null is new
+        assert {r.seq for r in Seen(folder).fresh(rows, "fp").collect()} == set(range(known, known + 300))
+
+
+def test_one_spaced():
+    for text in ("", " ", "a", "\t a\n\n b\x1c\x1d", "a\xa0\u2003 \u3000b ", "x" + "".join(map(chr, range(0x3002))) + "y", "  " * 999 + "é" + " " * 77 + "z"):
+        assert T.one_spaced(text) == " ".join(text.split())
+
+
 def test_counts_are_taken_in_one_write(spark, monkeypatch):
     written = []
     monkeypatch.setattr(curate, "cut", lambda df, name, *a: written.append(name) or df.sparkSession.createDataFrame(df.collect(), df.schema))
