@@ -11,6 +11,7 @@ folder, asks only for what no journal holds.
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import re
 import uuid
@@ -97,18 +98,19 @@ def reply_key(kind: str, prompts: Wording, *asked_with) -> Column:
 
 
 class Journal:
-    """Replies of one task, by key, in files that only grow; earlier attempts of the task are read first."""
+    """Replies of one task, by key, in files that only grow; of earlier attempts of the task the keys are read first,
+    line by line, so that a worker holds no replies."""
 
     def __init__(self, folder: str, run: str):
         context = TaskContext.get()
         self.files, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         self.files.create_dir(root, recursive=True)
         stem = f"{root}/{run}-{context.partitionId()}-"
-        self.known: dict[str, dict] = {}
+        self.known: set[str] = set()
         for info in self.files.get_file_info(fs.FileSelector(root)):
             if info.path.startswith(stem):
-                with self.files.open_input_stream(info.path) as file:
-                    self.known |= {r["key"]: r for r in map(_whole_record, file.read().decode(errors="replace").split("\n")) if r}
+                with io.TextIOWrapper(self.files.open_input_stream(info.path), "utf-8", errors="replace", newline="\n") as file:
+                    self.known.update(r["key"] for r in map(_whole_record, file) if r)
         self.out = self.files.open_output_stream(f"{stem}{context.attemptNumber()}-{uuid.uuid4().hex}.jsonl")
 
     def add(self, record: dict) -> None:

@@ -1,6 +1,8 @@
 """Builds that know earlier ones, replies that are kept, and counts taken while rows pass."""
 
 import os
+import pickle
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +65,26 @@ def test_rows_that_a_full_sieve_lets_through_stay(spark, tmp_path, monkeypatch):
         assert {r.seq for r in Seen(folder).fresh(rows, "fp").collect()} == set(range(known, known + 300))
 
 
+def test_fake_providers_of_workers_keep_no_texts():
+    """A record of calls grew with all texts of a task; replies still come in turn."""
+    talk = [{"role": "user", "content": "x" * 99}]
+    for fake in (P.FakeProvider(["a", "b"], record=False), pickle.loads(pickle.dumps(P.FakeProvider(["a", "b"])))):
+        assert [fake.complete(talk).text for _ in range(3)] == ["a", "b", "b"] and fake.calls == [] and fake.number == 3
+    here = P.FakeProvider(["a", "b"])
+    assert here.complete(talk).text == "a" and len(here.calls) == 1 and pickle.loads(pickle.dumps(here)).complete(talk).text == "b"
+
+
+def test_journals_hold_keys_of_earlier_attempts(tmp_path, monkeypatch):
+    monkeypatch.setattr(model.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3, attemptNumber=lambda: 1))
+    first = model.Journal(str(tmp_path), "run")
+    for i in range(3):
+        first.add({"key": f"k{i}", "pairs": [["é\u2028\r", "b" * 999]], "error": None})
+    first.out.write(b'{"key": "cut')
+    first.out.close()
+    (tmp_path / "run-4-0-x.jsonl").write_text('{"key": "other"}\n')
+    assert model.Journal(str(tmp_path), "run").known == {"k0", "k1", "k2"}
+
+
 def test_one_spaced():
     for text in ("", " ", "a", "\t a\n\n b\x1c\x1d", "a\xa0\u2003 \u3000b ", "x" + "".join(map(chr, range(0x3002))) + "y", "  " * 999 + "é" + " " * 77 + "z"):
         assert T.one_spaced(text) == " ".join(text.split())
