@@ -17,7 +17,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -142,10 +142,10 @@ def generate_with_model(
     rows = cut(rows.withColumn("key", reply_key(kind, prompts, model_name, per_chunk, max_retries, temperature)), "asked")
     small, run_name = F.col("small"), uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, journal = None, Journal(replies, run_name)
         for batch in batches:
-            for key, text in batch.itertuples(index=False):
+            for key, text in ((k.as_py(), t.as_py()) for k, t in zip(batch.column("key"), batch.column("text"), strict=True)):  # one text at a time
                 if key in journal.known:
                     continue
                 model = model or provider()
@@ -154,7 +154,7 @@ def generate_with_model(
                 except GenerationError as e:
                     journal.add({"key": key, "pairs": [], "error": str(e)})
         journal.out.close()
-        yield pd.DataFrame({"done": [len(journal.known)]})
+        yield pa.RecordBatch.from_pydict({"done": [len(journal.known)]})
 
     def known() -> DataFrame:
         found = spark.read.schema(_REPLY).option("mode", "DROPMALFORMED").json(replies).where("key is not null")
@@ -163,7 +163,7 @@ def generate_with_model(
     wanted = rows.where(small).groupBy("key").agg(F.min("text").alias("text"))
     if paths.exists(spark, replies):
         wanted = wanted.join(known().where("error is null").select("key"), "key", "left_anti")  # what failed is asked again
-    cut(cut(wanted, "wanted").mapInPandas(run, "done long"), "asked")
+    cut(cut(wanted, "wanted").mapInArrow(run, "done long"), "asked")
     got = known() if paths.exists(spark, replies) else spark.createDataFrame([], _REPLY)
     made = rows.where(small).drop("small").join(got, "key").select("seq", "sub", "source", "text", "error", F.posexplode_outer("pairs").alias("i", "pair"))
     made = made.select("seq", (F.col("sub") + F.coalesce("i", F.lit(0))).alias("sub"), "source", "text", F.col("pair")[0].alias("question"), F.col("pair")[1].alias("answer"), "error")

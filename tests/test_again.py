@@ -2,6 +2,7 @@
 
 import os
 import pickle
+import re
 from types import SimpleNamespace
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import quillmill
 from quillmill import providers as P
+from quillmill.functions import counters
 from quillmill.functions import text as T
 from quillmill.operators import curate, model
 from quillmill.operators import messages as M
@@ -85,6 +87,16 @@ def test_journals_hold_keys_of_earlier_attempts(tmp_path, monkeypatch):
     assert model.Journal(str(tmp_path), "run").known == {"k0", "k1", "k2"}
 
 
+def test_tokens_counted_by_batches_are_those_of_the_pattern(spark, monkeypatch):
+    texts = ["", " ", "a", "_a1 b-c\n", "Größe: 3½ €!", "漢字 x́ \u2028٣a", "🙂🙂 a🙂b", "\x1c\x85\xa0.", "word " * 50 + "end"]
+    rows = spark.createDataFrame([(texts + [None],)], "t array<string>")
+    got = rows.select(counters.APPROX.sizes(F.col("t")).alias("a"), F.transform("t", lambda x: F.coalesce(T.approx_tokens(x), F.lit(0))).alias("b")).first()
+    assert got.a == got.b and got.a[0] == 0 and got.a[-1] == 0
+    assert "ArrowEvalPython" in rows.select(counters.APPROX.total(F.col("t")))._jdf.queryExecution().toString()
+    monkeypatch.setattr(counters, "SLICE", 3)
+    assert [counters._pieces(x) for x in texts] == [len(re.findall(r"\w+|[^\w\s]", x)) for x in texts]
+
+
 def test_one_spaced():
     for text in ("", " ", "a", "\t a\n\n b\x1c\x1d", "a\xa0\u2003 \u3000b ", "x" + "".join(map(chr, range(0x3002))) + "y", "  " * 999 + "é" + " " * 77 + "z"):
         assert T.one_spaced(text) == " ".join(text.split())
