@@ -109,7 +109,7 @@ def blocks(lines: DataFrame) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("n", "line")))
     text = F.regexp_replace(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), r"^\n+|\n+$", "")
     made = told.where("not gap").groupBy("seq", F.col("gaps").alias("at")).agg(F.first("source").alias("source"), text.alias("text"))
-    return made.where(T.strip(F.col("text")) != "").select("seq", "source", "at", "text")
+    return made.where(T.strip(F.col("text")) != "").select("seq", "source", "at", T.opened(F.col("text")).alias("text"))
 
 
 def _ranges(walk: bool, reach: int, sep: int):
