@@ -41,3 +41,8 @@ def test_sealed_texts_are_blocks(spark):
 
 def test_chunk_long_paragraphs(spark, folder):
     equal(spark, folder, "chunk_long_paragraphs")
+
+
+@pytest.mark.parametrize("name", ["chunk_paragraphs"])
+def test_other_blocks(spark, folder, name):
+    equal(spark, folder, name)
