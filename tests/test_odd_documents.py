@@ -43,6 +43,6 @@ def test_chunk_long_paragraphs(spark, folder):
     equal(spark, folder, "chunk_long_paragraphs")
 
 
-@pytest.mark.parametrize("name", ["chunk_paragraphs", "chunk_windows", "chunked_dedup", "chunked_split"])
+@pytest.mark.parametrize("name", ["chunk_paragraphs", "chunk_windows", "chunked_dedup", "chunked_split", "text_blocks"])
 def test_other_blocks(spark, folder, name):
     equal(spark, folder, name)
